@@ -222,6 +222,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     hits = contamination_hits(docs, items, id_col, text_col, **options)
     hits = cut(hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), _covered(F.col("hits")).alias("_n")))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    bad = (F.col("_n") > 0) & (F.col("_n") * 20 >= count_words(F.col(text_col)))
-    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(hits, ["_k1", "_k2"], "left")
-    return joined.filter(F.coalesce(~bad, F.lit(True))).select(*docs.columns)
+    bad = (F.col("_n") > 0) & (F.col("_n") * 20 >= count_words(F.col("_row")[text_col]))
+    joined = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2")).join(hits, ["_k1", "_k2"], "left")
+    return joined.filter(F.coalesce(~bad, F.lit(True))).select("_row.*")

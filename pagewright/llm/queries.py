@@ -19,6 +19,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.simhash import simhash_report
+
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.langid import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.spm import spm_report
+
+    return spm_report(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.secret_scan import secret_report
 
@@ -28,5 +46,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
+    "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -176,27 +176,29 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = cut(marks)
     text = F.col(text_col)
     k1, k2 = row_key(F.col(id_col), text)
-    maybe = reduce(lambda a, b: a | b, [_may_match(k, text) for k in NAMES])
-    maybe = F.coalesce(maybe, F.lit(False))
+    maybe = F.coalesce(reduce(lambda a, b: a | b, [_may_match(k, text) for k in NAMES]), F.lit(False))
+    marked = docs.filter(maybe).select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
+    marked = marked.join(marks.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
+    whole = F.col("_row")[text_col]
+    new = F.when(F.col("_marks").isNull(), whole).otherwise(_replace(whole, F.col("_marks")))
+    marked = marked.select(F.col("_row").withField(text_col, new).alias("_row")).select("_row.*")
+    return docs.filter(~maybe).unionByName(marked)
+
+
+def _replace(text: Column, marks: Column) -> Column:
+    """The text with the sorted, possibly overlapping marks replaced by their labels."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.lit("").alias("open"))
 
     def step(acc: Column, m: Column) -> Column:
         label = F.when(m["cls"] == "example", "[EXAMPLE]").otherwise("[SECRET]")
-        starts = m["start"] >= acc["at"]
+        starts = (m["start"] >= acc["at"]) | (acc["open"] == "")
         kept = F.substring(text, (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int"))
-        upgraded = F.when((acc["open"] == "[EXAMPLE]") & (label == "[SECRET]"), label).otherwise(acc["open"])
         return F.struct(
             F.when(starts, F.concat(acc["out"], acc["open"], kept)).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], m["end"]).alias("at"),
-            F.when(starts, label).otherwise(upgraded).alias("open"),
+            F.when(starts | (label == "[SECRET]"), label).otherwise(acc["open"]).alias("open"),
         )
 
-    folded = F.aggregate(F.col("_marks"), zero, step)
-    redacted = F.concat(folded["out"], folded["open"], F.substr(text, (folded["at"] + 1).cast("int")))
-    marked = (
-        docs.filter(maybe)
-        .withColumns({"_k1": k1, "_k2": k2})
-        .join(marks.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
-        .withColumn(text_col, F.when(F.col("_marks").isNull(), text).otherwise(redacted))
+    return F.aggregate(
+        marks, zero, step, lambda acc: F.concat(acc["out"], acc["open"], F.substr(text, (acc["at"] + 1).cast("int")))
     )
-    return docs.filter(~maybe).unionByName(marked.select(*docs.columns))
