@@ -31,6 +31,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.spm import spm_report
 
@@ -48,6 +60,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }
