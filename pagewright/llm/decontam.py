@@ -52,20 +52,24 @@ def _minima(grams: str, window: int) -> Column:
     )
 
 
-def _short_hashes(words: str, lengths: list[int]) -> Column:
-    """Hashes of all runs of the lengths that short items have, tagged by the length."""
+def _run_hashes(words: str, m: int) -> Column:
+    """Hash of each run of m words, tagged by m."""
     w = F.col(words)
-    return F.concat(
-        *[
-            F.transform(
-                F.slice(w, F.lit(1), F.greatest(F.size(w) - m + 1, F.lit(0))),
-                lambda x, i, m=m: F.xxhash64(F.lit(m), x, *[F.get(w, i + j) for j in range(1, m)]),
-            )
-            for m in lengths
-        ]
+    return F.transform(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - m + 1, F.lit(0))),
+        lambda x, i: F.xxhash64(F.lit(m), x, *[F.get(w, i + j) for j in range(1, m)]),
     )
 
 
+def _short_hashes(words: str, lengths: list[int]) -> Column:
+    """Hashes of all runs of the lengths that short items have."""
+    return F.concat(*[_run_hashes(words, m) for m in lengths])
+
+
+def _sites(hashes: Column, m: int) -> Column:
+    return F.transform(hashes, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.lit(m).alias("m")))
+
+
 def contamination_hits(
     docs: DataFrame,
     items: DataFrame,
@@ -134,12 +138,7 @@ def contamination_hits(
 
     again = keyed.join(shared, ["k1", "k2"]).select("k1", "k2", "xs", words_of(F.col("text")).alias("w"))
     again = again.select("k1", "k2", "xs", "w", _gram_hashes("w", gram).alias("g"))
-    sites = F.transform(F.col("g"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.lit(gram).alias("m")))
-    for m in lengths:
-        sites = F.concat(
-            sites,
-            F.transform(_short_hashes("w", [m]), lambda x, i, m=m: F.struct(x.alias("x"), i.alias("i"), F.lit(m).alias("m"))),
-        )
+    sites = F.concat(_sites(F.col("g"), gram), *[_sites(_run_hashes("w", m), m) for m in lengths])
     sites = F.filter(sites, lambda s: F.array_contains(F.col("xs"), s["x"]))
     around = F.transform(
         sites,
