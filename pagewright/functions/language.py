@@ -79,13 +79,17 @@ def recognizer_plan(codes: Column) -> Column:
     )
 
 
+def _among(codes: Column, pack: list[str]) -> Column:
+    return F.filter(codes, lambda c: _member(c, pack))
+
+
 def line_language(text: Column, hints: Column) -> Column:
     """The one hinted language that fits the line's script. Without hints only scripts of one language decide."""
     tag = script_tag(text)
     by_tag = {"Cyrl": dims.CYRILLIC, "Kore": dims.KOREAN, "Jpan": ["ja"], "Hani": dims.CJK, "Latn": dims.LATIN}
     fit = F.array().cast("array<string>")
     for t, pack in by_tag.items():
-        fit = F.when(tag == t, F.filter(hints, lambda c, pack=pack: _member(c, pack))).otherwise(fit)
+        fit = F.when(tag == t, _among(hints, pack)).otherwise(fit)
     single = F.when(F.size(fit) == 1, F.get(fit, F.lit(0)))
     alone = F.when(tag == "Kore", F.lit("ko")).when(tag == "Jpan", F.lit("ja"))
     return F.when(F.size(hints) == 0, alone).otherwise(single)

@@ -52,12 +52,17 @@ def character_centres(
 
 def word_spans(text: Column) -> Column:
     """array of (first, last): maximal runs of characters that are no white space, by index."""
-    chars = F.split(text, "")
-    space = lambda c: c.rlike(r"(?U)^\s$")
-    at = F.transform(chars, lambda c, i: F.when(~space(c) & (c != ""), i))
-    starts = F.filter(F.transform(at, lambda i, k: F.when(i.isNotNull() & ((k == 0) | F.get(at, k - 1).isNull()), i)), lambda i: i.isNotNull())
-    ends = F.filter(F.transform(at, lambda i, k: F.when(i.isNotNull() & F.get(at, k + 1).isNull(), i)), lambda i: i.isNotNull())
-    return F.arrays_zip(starts.alias("first"), ends.alias("last"))
+    words = F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"))
+    gaps = F.split(text, r"(?U)\S+")
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.char_length(g).alias("gap"), F.char_length(w).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first: int, last: int>>").alias("out"))
+
+    def step(s: Column, w: Column) -> Column:
+        first = s["at"] + w["gap"]
+        span = F.struct(first.alias("first"), (first + w["n"] - 1).alias("last"))
+        return F.struct((first + w["n"]).alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["out"])
 
 
 def word_boxes(quad: Column, text: Column, centres: Column) -> Column:

@@ -255,11 +255,16 @@ def crop_regions(images: DataFrame, quads: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                image = decode_bmp(r.content)
+                try:
+                    image = decode_bmp(r.content)
+                except ValueError:
+                    rows += [(r.image_id, box["box_idx"], None, None, None) for box in r.boxes]
+                    continue
                 for box in r.boxes:
                     crop = perspective_crop(image, np.array([(p["x"], p["y"]) for p in box["quad"]]))
                     rows.append((r.image_id, box["box_idx"], crop.shape[1], crop.shape[0], crop.tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "box_idx", "width", "height", "pixels"])
+            out = pd.DataFrame(rows, columns=["image_id", "box_idx", "width", "height", "pixels"])
+            yield out.astype({"width": "Int32", "height": "Int32"})
 
     boxes = quads.groupBy("image_id").agg(F.collect_list(F.struct("box_idx", "quad")).alias("boxes"))
     return images.join(boxes, "image_id").select("image_id", "content", "boxes").mapInPandas(run, shape)

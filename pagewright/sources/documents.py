@@ -29,32 +29,37 @@ def _levels(schema: T.StructType, path: str = "") -> list[tuple[str, T.StructTyp
     return out
 
 
+def _below(objects: Column, name: str) -> Column:
+    """The objects that a member of some JSON objects holds, alone or in an array."""
+    values = F.transform(objects, lambda j: F.get_json_object(j, f"$.{name}"))
+    spread = F.transform(values, lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)))
+    return F.filter(F.flatten(spread), lambda v: v.isNotNull())
+
+
 def _objects(json: Column, path: str) -> Column:
     """array<string> of the JSON objects at a dotted path, through arrays."""
     found = F.array(json)
     for name in path.split(".") if path else []:
-        values = F.transform(found, lambda j, name=name: F.get_json_object(j, f"$.{name}"))
-        spread = F.transform(values, lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)))
-        found = F.filter(F.flatten(spread), lambda v: v.isNotNull())
+        found = _below(found, name)
     return found
 
 
+def _level_errors(json: Column, path: str, known: list[str], required: list[str]) -> Column:
+    where = f"{path}." if path else ""
+    texts = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    keys = F.transform(_objects(json, path), lambda j: F.coalesce(F.json_object_keys(j), texts([])))
+    unknown = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(k, texts(known)))))
+    missing = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(texts(required), k))))
+    return F.concat(
+        F.transform(unknown, lambda n: F.concat(F.lit(f"unknown member {where}"), n)),
+        F.transform(missing, lambda n: F.concat(F.lit(f"missing member {where}"), n)),
+    )
+
+
 def strict_errors(json: Column) -> Column:
     """Members that the format does not know, and required ones that are missing, at every level."""
-    errors = F.array().cast("array<string>")
-    for path, schema, _ in _levels(ANNOTATION):
-        known = F.array(*[F.lit(f.name) for f in schema])
-        required = F.array(*[F.lit(n) for n in REQUIRED.get(path, [])]).cast("array<string>")
-        where = f"{path}." if path else ""
-        keys = F.transform(_objects(json, path), lambda j: F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")))
-        unknown = F.flatten(F.transform(keys, lambda k: F.array_except(k, known)))
-        missing = F.flatten(F.transform(keys, lambda k, required=required: F.array_except(required, k)))
-        errors = F.concat(
-            errors,
-            F.transform(F.array_distinct(unknown), lambda n, where=where: F.concat(F.lit(f"unknown member {where}"), n)),
-            F.transform(F.array_distinct(missing), lambda n, where=where: F.concat(F.lit(f"missing member {where}"), n)),
-        )
-    return errors
+    levels = [_level_errors(json, path, schema.names, REQUIRED.get(path, [])) for path, schema, _ in _levels(ANNOTATION)]
+    return F.concat(*levels)
 
 
 def parse_documents(rows: DataFrame, json: str = "json", validate: bool = True) -> DataFrame:
