@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ def _as_letters(words: Column, among: Column) -> Column:
 
 def word_error_rate(reference: Column, prediction: Column) -> Column:
     """Edits by words between Unicode white space. Words become letters, whose edit distance is the words'."""
-    r, p = tokens(reference), tokens(prediction)
-    among = F.array_union(r, p)
-    return error_rate(F.levenshtein(_as_letters(r, among), _as_letters(p, among)), F.size(r))
+    pair = F.struct(tokens(reference).alias("r"), tokens(prediction).alias("p"))
+    spelled = lambda s, among: F.levenshtein(_as_letters(s["r"], among), _as_letters(s["p"], among))
+    edits = _let(pair, lambda s: _let(F.array_union(s["r"], s["p"]), lambda among: spelled(s, among)))
+    return error_rate(edits, F.size(tokens(reference)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, though body may use it in further lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def evaluate(reference: Column, prediction: Column) -> Column:

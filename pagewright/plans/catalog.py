@@ -151,7 +151,7 @@ def tsv_words(spark: Session, sf_dir: str) -> DataFrame:
 
 def tsv_lines(spark: Session, sf_dir: str) -> DataFrame:
     lines = tsv.tsv_text_lines(tsv.tsv_words(tsv.read_tsv_lines(inputs.tsv_documents(spark, sf_dir)), 0.5))
-    return lines.select("image_id", "line_id", "x", "y", "width", "height", "text", F.round("confidence", 6).alias("confidence"), F.size("words").cast("long").alias("n_words"))
+    return lines.select("image_id", "line_id", "x", "y", "width", "height", "text", F.round("confidence", 9).alias("confidence"), F.size("words").cast("long").alias("n_words"))
 
 
 def tsv_pages(spark: Session, sf_dir: str) -> DataFrame:

@@ -1 +1,299 @@
-ORACLES = {}
+"""DuckDB SQL with the results of the registered queries."""
+
+from __future__ import annotations
+
+from pagewright import dims
+from pagewright.plans import catalog, inputs
+
+LINES = inputs.LINES
+ORDERED = f"""
+base as ({LINES}),
+gaps as (select *, case when abs((y + height / 2) - lag(y + height / 2) over d) <= 0.5 * least(height, lag(height) over d)
+                   then 0 else 1 end as brk from base window d as (partition by image_id order by y, x, position)),
+rows_ as (select *, sum(brk) over (partition by image_id order by y, x, position rows unbounded preceding) as row_ from gaps),
+ordered as (select *, row_number() over (partition by image_id order by row_, x, y, position) - 1 as ord from rows_)
+"""
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    text = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    body = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return f"select * from (values {body}) as t({columns})"
+
+
+def _pairs(table: dict[str, str], name: str) -> str:
+    return f"{name} as ({_values(list(table.items()), 'k, v')})"
+
+
+QUAD = """
+q as (select line_id, width as w, height as h, x as x0, y as y0, x + width as x1, y + 3 as y1, x + width + 5 as x2, y + height + 3 as y2,
+      x + 5 as x3, y + height as y3 from base),
+g as (select *, (sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0)) + sqrt((x2-x3)*(x2-x3) + (y2-y3)*(y2-y3))) / 2 as gw,
+      (sqrt((x3-x0)*(x3-x0) + (y3-y0)*(y3-y0)) + sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1))) / 2 as gh from q)
+"""
+
+SIZES = "list_value({})".format(", ".join(str(p[7]) for p in dims.PROFILES))
+TILES = f"""
+with p as (select p_partkey, (p_partkey * 37) % 6000 + 100 as len, {SIZES}[p_partkey % 4 + 1] as tile from part),
+s as (select *, len - tile as span, greatest(tile - greatest(tile // 8, 1), 1) as stride from p),
+n as (select *, case when len <= tile then 0 else (span + stride - 1) // stride end as steps from s),
+e as (select *, unnest(range(0, steps + 1)) as i from n)
+select p_partkey, i as tile_no, case when steps = 0 then 0 else span * i // steps end as tile_start from e
+"""
+
+#: Fixed letters of the scripts, for RE2.
+LETTERS = {"latin": r"[A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}]", "cyrillic": r"[\x{0400}-\x{052F}]", "korean": r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}]"}
+
+
+def _share(column: str, script: str) -> str:
+    letters = rf"length(regexp_replace({column}, '[^\p{{L}}]', '', 'g'))"
+    own = rf"(length({column}) - length(regexp_replace(regexp_replace({column}, '[^\p{{L}}]', '', 'g'), '{LETTERS[script]}', '', 'g')) - (length({column}) - {letters}))"
+    return f"(case when {letters} = 0 then 0.0 else cast({own} as double) / {letters} end)"
+
+
+TAG = (
+    r"case when regexp_matches({0}, '[\x{{0400}}-\x{{052F}}]') then 'Cyrl' "
+    r"when regexp_matches({0}, '[\x{{1100}}-\x{{11FF}}\x{{3130}}-\x{{318F}}\x{{AC00}}-\x{{D7AF}}]') then 'Kore' "
+    r"when regexp_matches({0}, '[\x{{3040}}-\x{{30FF}}]') then 'Jpan' when regexp_matches({0}, '[\x{{3400}}-\x{{9FFF}}]') then 'Hani' "
+    r"when regexp_matches({0}, '\p{{L}}') then 'Latn' end"
+)
+HAS = {
+    "latin": rf"regexp_matches(text, '{LETTERS['latin']}')",
+    "cyrillic": rf"regexp_matches(text, '{LETTERS['cyrillic']}')",
+    "korean": rf"regexp_matches(text, '{LETTERS['korean']}')",
+}
+CANDIDATES = f"""
+recognizers as ({inputs.RECOGNIZERS}), words as ({inputs.WORDS}), candidates as ({inputs.CANDIDATES}),
+shares as (select *, case recognizer when 'latin' then {_share('text', 'latin')} when 'cyrillic' then {_share('text', 'cyrillic')}
+           when 'korean' then {_share('text', 'korean')} end as f from candidates where confidence >= 0.8),
+ranked as (select *, row_number() over (partition by image_id, box_idx order by
+           case when f is null then confidence when f > 0 then confidence + 0.004 * f * f else confidence - 0.08 end desc, confidence desc,
+           case recognizer when 'latin' then 1 when 'cyrillic' then 2 when 'korean' then 3 else 0 end, encode(text)) as place from shares)
+"""
+
+TSV = r"""
+w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda s: s <> '') as ws from documents),
+e as (select doc_id, unnest(ws) as word, unnest(range(0, len(ws))) as i from w),
+kept as (select doc_id as image_id, i, i + 3 as position, word as text, cast((i * 37 + doc_id) % 101 as double) / 100 as confidence,
+         i // 100 as blk, i // 10 as ln, cast((i % 10) * 60 as double) as l, cast(i // 10 * 20 as double) as t,
+         cast(length(word) * 8 as double) as wd from e where cast((i * 37 + doc_id) % 101 as double) / 100 >= 0.5)
+"""
+
+POSTERIORS = """
+p as (select vec_id as item, unnest(embedding)::double as score, unnest(range(0, len(embedding))) as nth from embeddings),
+best as (select item, nth // 4 as step, max(score) as score, arg_max(nth % 4, (score, nth)) as token from p group by item, nth // 4),
+lagged as (select *, lag(token, 1, -1) over (partition by item order by step) as prev from best),
+kept as (select item, step, token, least(1, greatest(0, score)) as score from lagged where token <> 0 and token <> prev)
+"""
+
+WORD_BOXES = r"""
+with t as (select item_id, text, length(text) as n, regexp_extract_all(text, '\S+') as ws, string_split_regex(text, '\S+') as gaps from benchmark),
+e as (select item_id, n, unnest(range(0, len(ws))) as k, ws, gaps from t),
+s as (select item_id, n, k, list_sum(list_transform(gaps[1:k + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:k], lambda g: length(g))), 0) as first_,
+      length(ws[k + 1]) as len_ from e),
+f as (select *, first_ + len_ - 1 as last_ from s),
+b as (select *, case when first_ = 0 then 0.0 else ((first_ - 0.5) / (n + 2) + (first_ + 0.5) / (n + 2)) / 2 end as l,
+      case when last_ = n - 1 then 1.0 else ((last_ + 0.5) / (n + 2) + (last_ + 1.5) / (n + 2)) / 2 end as r from f)
+select item_id, k as word_no, round(10 + n * 8.0 * l, 6) as x0, round(10 + n * 8.0 * r, 6) as x1 from b
+"""
+
+TURNS = r"""
+r as (select conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as text from conversations),
+p as (select *, lead(text) over (partition by conv_id order by turn, text) as next from r),
+pairs as (select * from p where next is not null and text is not null)
+"""
+
+OVERLAP = f"""
+with recursive base as ({LINES}),
+a as (select image_id, position, x, y, width, height, row_number() over (partition by image_id order by width * height desc, position) as k from base),
+f as (
+  select image_id, k, [{{'x': x, 'y': y, 'w': width, 'h': height, 'p': position}}] as kept from a where k = 1
+  union all
+  select a.image_id, a.k, case when len(list_filter(f.kept, lambda s:
+      greatest(least(s.x + s.w, a.x + a.width) - greatest(s.x, a.x), 0) * greatest(least(s.y + s.h, a.y + a.height) - greatest(s.y, a.y), 0)
+      / least(s.w * s.h, a.width * a.height) >= 0.65)) > 0 then f.kept
+    else list_append(f.kept, {{'x': a.x, 'y': a.y, 'w': a.width, 'h': a.height, 'p': a.position}}) end
+  from f join a on a.image_id = f.image_id and a.k = f.k + 1
+),
+done as (select image_id, arg_max(kept, k) as kept from f group by image_id)
+select image_id, unnest(list_transform(kept, lambda s: s.p)) as position from done
+"""
+
+WIDTHS = f"""
+with recursive base as ({LINES}),
+c as (select image_id, line_id as box_idx, cast(ceil(width * 48 / height) as bigint) as width,
+      row_number() over (partition by image_id order by ceil(width * 48 / height), line_id) as k from base),
+f as (
+  select image_id, k, box_idx, width, 0::bigint as batch, 1 as n, width as widest from c where k = 1
+  union all
+  select c.image_id, c.k, c.box_idx, c.width,
+    case when z.close_ then f.batch + 1 else f.batch end, case when z.close_ then 1 else f.n + 1 end,
+    case when z.close_ then c.width else greatest(f.widest, c.width) end
+  from f join c on c.image_id = f.image_id and c.k = f.k + 1,
+  lateral (select f.n + 1 > 8 or greatest(f.widest, c.width) * (f.n + 1) > 8192 or (f.n >= 2 and c.width > greatest(256, f.widest * 1.85)) as close_) z
+)
+select image_id, box_idx, width, batch from f
+"""
+
+MATCHES = f"""
+with recursive base as ({LINES}),
+r as (select image_id, line_id as idx, x, y, width as w, height as h, row_number() over (partition by image_id order by line_id) as k from base),
+m as (select image_id, list({{'i': line_id, 'x': x + line_id % 29, 'y': y, 'w': width, 'h': height}} order by line_id) as preds
+      from base where line_id % 9 <> 0 group by image_id),
+f as (
+  select r.image_id, 0::bigint as k, null::bigint as ref, null::bigint as hit, []::bigint[] as used from r where k = 1
+  union all
+  select r.image_id, r.k, r.idx, z.hit, case when z.hit is null then f.used else list_append(f.used, z.hit) end
+  from f join r on r.image_id = f.image_id and r.k = f.k + 1 join m on m.image_id = r.image_id,
+  lateral (select list_sort(list_filter(list_transform(list_filter(m.preds, lambda p: not list_contains(f.used, p.i)), lambda p: {{
+      'o': greatest(least(p.x + p.w, r.x + r.w) - greatest(p.x, r.x), 0) * greatest(least(p.y + p.h, r.y + r.h) - greatest(p.y, r.y), 0)
+         / (p.w * p.h + r.w * r.h - greatest(least(p.x + p.w, r.x + r.w) - greatest(p.x, r.x), 0) * greatest(least(p.y + p.h, r.y + r.h) - greatest(p.y, r.y), 0)),
+      'i': -p.i}}), lambda p: p.o >= 0.5), 'DESC')[1].i * -1 as hit) z
+),
+matched as (select image_id, ref as ref_idx, hit as pred_idx from f where hit is not null)
+"""
+
+REQUESTS = "requests as (select * from (values {}) as t(request_id, request))".format(
+    ", ".join(f"({i}, {r!r}::varchar[])" for i, r in catalog.REQUESTS)
+)
+
+
+def _list(codes: list[str]) -> str:
+    return "[" + ", ".join(f"'{c}'" for c in codes) + "]"
+
+
+PLANS = f"""
+{REQUESTS}, {_pairs(dims.ALIAS, 'alias')},
+words_ as (select request_id, unnest(request) as raw, unnest(range(0, len(request))) as i, len(request) as n from requests),
+clean as (select *, replace(lower(trim(raw)), '_', '-') as s from words_),
+coded as (select request_id, i, n, raw, coalesce(a.v, split_part(s, '-', 1)) as code from clean left join alias a on s = a.k
+          where not (n = 1 and lower(trim(raw)) = 'auto')),
+agg as (select request_id, list(code) as codes, string_agg(case when not list_contains({_list(dims.SUPPORTED)}, code) then raw end, ',' order by i) as bad
+        from coded group by request_id),
+flags as (select r.request_id, coalesce(len(codes), 0) = 0 as auto, coalesce(bad, '') as unsupported,
+  coalesce(list_has_any(codes, {_list(dims.LATIN)}), false) as lg, coalesce(list_has_any(codes, {_list(dims.CYRILLIC)}), false) as cy,
+  coalesce(list_has_any(codes, {_list(dims.CJK)}), false) as cj, coalesce(list_has_any(codes, {_list(dims.KOREAN)}), false) as ko,
+  coalesce(list_has_any(codes, {_list([c for c in dims.LATIN if c != 'en'])}), false) as la from requests r left join agg using (request_id)),
+plans as (select request_id, auto or cj or (lg::int + cy::int + cj::int + ko::int > 1) or (lg and not la) as "primary", auto or la as latin,
+  auto or cy as cyrillic, auto or ko as korean, unsupported from flags)
+"""
+MODEL_ROWS = f"models as ({_values([(m, b) for m, b, _ in dims.MODELS], 'model, bytes')})"
+
+CODES = f"""
+with {_pairs(dims.ALIAS, 'alias')}, {_pairs(dims.ALIAS3, 'alias3')}, {_pairs(dims.WHOLE3, 'whole3')},
+raws as (select distinct lang as raw from documents where lang is not null union {_values([(s,) for s in catalog.SPELLINGS], 'raw')}),
+c as (select raw, lower(trim(raw)) as s, replace(lower(trim(raw)), '_', '-') as d from raws)
+select raw, coalesce(a.v, split_part(d, '-', 1)) as code, list_contains({_list(dims.SUPPORTED)}, coalesce(a.v, split_part(d, '-', 1))) as supported,
+       coalesce(w.v, b.v, s) as code3
+from c left join alias a on d = a.k left join whole3 w on s = w.k left join alias3 b on regexp_extract(s, '^[^-_]*') = b.k
+"""
+
+VALID = f"""
+with {ORDERED},
+p as (select *, case when line_id % 17 = 0 then 0 else ord end as o from ordered),
+d as (select *, row_number() over (partition by image_id, o order by position) > 1 as again from p),
+a as (select image_id, count_if(again) as n_order, count_if(x + width > 1000 or y + height > 600) as n_outside, count_if(line_id % 13 = 0) as n_confidence,
+      count_if(line_id % 19 = 0) as n_language from d group by image_id)
+select image_id, n_order, n_outside, n_confidence, n_language, case when image_id % 3 = 0 then 1 else 0 end as n_sha, 1 as n_tags,
+       n_order + n_outside + n_confidence + n_language + case when image_id % 3 = 0 then 1 else 0 end + 1 as n_errors from a
+"""
+
+ORACLES = {
+    "reading_order": f"with {ORDERED} select image_id, line_id, cast(row_ as bigint) as row, ord as line_order from ordered",
+    "rebuild_text": f"""with {ORDERED},
+t as (select *, {TRIM.format('text')} as a, {TRIM.format('coalesce(corrected_text, text)')} as b from ordered),
+j as (select image_id, coalesce(string_agg(case when not ignored and a <> '' then a end, chr(10) order by ord), '') as text,
+      coalesce(string_agg(case when not ignored and b <> '' then b end, chr(10) order by ord), '') as fixed from t group by image_id)
+select image_id, text, nullif(fixed, text) as corrected_text from j""",
+    "line_bounds": f"""with base as ({LINES}), {QUAD}
+select line_id, x0 as x, y0 as y, x2 - x0 as width, y2 - y0 as height,
+       round(abs(x0*y1 - x1*y0 + x1*y2 - x2*y1 + x2*y3 - x3*y2 + x3*y0 - x0*y3) / 2, 6) as area from g""",
+    "crop_geometry": f"""with base as ({LINES}), {QUAD}
+select line_id, round(gw, 6) as width, round(gh, 6) as height, round((x0 + x1 + x2 + x3) / 4, 6) as cx, round((y0 + y1 + y2 + y3) / 4, 6) as cy,
+       round(atan2(y1 - y0, x1 - x0), 6) as angle, round(gw * gh * 1.4 / (2 * (gw + gh)), 6) as delta,
+       greatest(1, least(3200, cast(ceil(w * 48 / h) as bigint))) as rec_width from g""",
+    "overlap_dedup": OVERLAP,
+    "tile_offsets": TILES,
+    "tiled_images": """with p as (select p_partkey, (p_partkey * 37) % 4000 + 100 as w, (p_partkey * 91) % 4000 + 100 as h from part)
+select p_partkey, greatest(w, h) > 1920 and greatest(w, h) >= 2 * least(w, h) as tiled from p""",
+    "crop_batches": f"""with base as ({LINES}),
+b as (select image_id, line_id as box_idx, width / height as ratio, (row_number() over (partition by image_id order by width / height, line_id) - 1) // 8 as batch from base)
+select image_id, box_idx, batch, round(greatest(1, max(ratio) over (partition by image_id, batch)), 6) as batch_max_ratio from b""",
+    "width_batches": WIDTHS,
+    "script_tags": f"""with words as ({inputs.WORDS}), t as (select text from documents union all select word from words)
+select {TAG.format('text')} as tag, count(*) as n from t group by 1""",
+    "script_fractions": f"with words as ({inputs.WORDS}) select n, "
+    + ", ".join(f"round({_share('word', s)}, 6) as {s}" for s in LETTERS)
+    + " from words",
+    "language_codes": CODES,
+    "recognizer_plans": f"with {PLANS} select * from plans",
+    "required_models": f"""with {PLANS}, {MODEL_ROWS},
+needed as (select request_id, unnest(['v6-small-det', case when "primary" then 'v6-small-rec' end, case when latin then 'v5-latin-rec' end,
+  case when cyrillic then 'v5-eslav-rec' end, case when korean then 'v5-korean-rec' end]) as model from plans where unsupported = '')
+select request_id, count(*) as models, cast(sum(bytes) as bigint) as bytes from needed join models using (model) group by request_id""",
+    "line_languages": f"""with words as ({inputs.WORDS}), t as (select n, {TAG.format('word')} as tag from words)
+select n, case tag when 'Kore' then 'ko' when 'Jpan' then 'ja' end as free,
+       case tag when 'Cyrl' then 'ru' when 'Hani' then 'zh' when 'Latn' then 'de' end as hinted from t""",
+    "select_candidate": f"with {CANDIDATES} select image_id, box_idx, recognizer, text, round(confidence, 6) as confidence from ranked where place = 1",
+    "candidate_alternatives": f"""with {CANDIDATES},
+firsts as (select *, row_number() over (partition by image_id, box_idx, text order by place) as nth, first_value(text) over (partition by image_id, box_idx order by place) as best from ranked)
+select image_id, box_idx, coalesce(string_agg(case when nth = 1 and text <> best then text end, '|' order by place), '') as others from firsts group by 1, 2""",
+    "route_crops": f"""with {CANDIDATES},
+found as (select distinct image_id, box_idx from candidates),
+prim as (select image_id, box_idx, text, confidence from candidates where recognizer = 'primary'),
+j as (select f.image_id, f.box_idx, text, confidence, f.image_id % 2 <> 0 as auto, f.image_id % 3 <> 1 as "primary",
+      f.image_id % 3 <> 2 as latin, f.image_id % 5 <> 2 as cyrillic, f.image_id % 5 <> 3 as korean from found f left join prim p using (image_id, box_idx)),
+u as (
+  select image_id, box_idx, 'latin' as specialist from j where latin and (not auto or confidence is null or confidence < 0.99 or {HAS['latin']})
+  union all
+  select image_id, box_idx, 'cyrillic' from j where cyrillic and case when auto then confidence is null or confidence < 0.99 or {HAS['cyrillic']}
+    else not "primary" or confidence is null or confidence < 0.82 or {HAS['cyrillic']} end
+  union all
+  select image_id, box_idx, 'korean' from j where korean and (not auto or confidence is null or confidence < 0.99 or {HAS['korean']}))
+select * from u""",
+    "tsv_words": f"with {TSV} select image_id, position, text, round(confidence, 6) as confidence from kept",
+    "tsv_lines": f"""with {TSV},
+g as (select image_id, blk, ln, min(l) as x, min(t) as y, max(l + wd) - min(l) as width, max(t + 16) - min(t) as height, string_agg(text, ' ' order by i) as text,
+      sum(confidence * greatest(length(text), 1)) / sum(greatest(length(text), 1)) as confidence, count(*) as n_words from kept group by image_id, blk, ln)
+select image_id, printf('line-%04d', row_number() over (partition by image_id order by blk, ln)) as line_id, x, y, width, height, text,
+       round(confidence, 9) as confidence, n_words from g""",
+    "tsv_pages": "select doc_id as image_id, 640.0::double as width, 4000.0::double as height from documents",
+    "ctc_decode": f"""with {POSTERIORS},
+d as (select item, string_agg(case token when 1 then 'a' when 2 then 'b' else ' ' end, '' order by step) as text, avg(score) as confidence, count(*) as n from kept group by item)
+select vec_id as item, coalesce(text, '') as text, round(coalesce(confidence, 0), 6) as confidence, coalesce(n, 0) as n from embeddings left join d on item = vec_id""",
+    "word_boxes": WORD_BOXES,
+    "character_errors": f"""with {TURNS}, e as (select *, levenshtein(text, next) as edits from pairs)
+select conv_id, turn, edits, length(text) as reference_units, text = next as exact_match,
+       round(case when length(text) > 0 then edits / length(text) when edits > 0 then 1 else 0 end, 6) as rate from e""",
+    "validate_documents": VALID,
+    "document_json": f"with {ORDERED} select image_id, true as same_text, count(*) as n_lines, 0 as n_errors from ordered group by image_id",
+    "sha256_verify": """select cast(doc_id as varchar) as name, case when doc_id % 10 = 5 then 'missing' when doc_id % 10 = 4 then 'size'
+       when doc_id % 10 = 3 then 'checksum' else 'ok' end as status from documents""",
+    "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values([(p[0], p[1], p[2], p[7]) for p in dims.PROFILES], 'quality, det, rec, max_side')})
+select quality, max_side, d.bytes + r.bytes as bytes from profiles join models d on det = d.model join models r on rec = r.model""",
+    "detection_matches": f"{MATCHES} select * from matched",
+    "detection_scores": f"""{MATCHES},
+n as (select image_id, count(*) as refs, count_if(line_id % 9 <> 0) as preds from base group by image_id),
+h as (select image_id, count(*) as hits from matched group by image_id),
+j as (select n.image_id, coalesce(hits, 0) as hits, coalesce(hits, 0) / preds as p, coalesce(hits, 0) / refs as r from n left join h using (image_id))
+select image_id, hits, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as h_mean from j""",
+    "dictionary_entries": _values([("m", 1, "x"), ("m", 2, "it's"), ("m", 3, "é"), ("m", 4, "  ")], "model, position, entry"),
+    "worker_responses": _values(
+        [
+            ('{"id":1,"ok":true,"result":{"method":"info","languages":[]}}',),
+            ('{"id":2,"ok":true,"result":{"method":"recognize","languages":["de","en"]}}',),
+            ('{"id":3,"ok":false,"error":"image is missing"}',),
+            ('{"id":4,"ok":false,"error":"min_confidence must be between 0 and 1"}',),
+            ('{"id":5,"ok":false,"error":"unknown method"}',),
+            ('{"ok":false,"error":"request is not a JSON object"}',),
+            ('{"ok":false,"error":"unknown member extra"}',),
+            ('{"id":7,"ok":false,"error":"unsupported languages xx"}',),
+        ],
+        "response",
+    ),
+    "image_headers": _values(
+        [(0, "png", 640, 320, None), (1, "bmp", 2, 3, None), (2, "jpeg", None, None, None), (3, None, None, None, "image format is not supported"), (4, None, None, None, "image is empty")],
+        "n, format, width, height, error",
+    ),
+}
