@@ -117,7 +117,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     middle = max(0, len(raw) // 2 - 40)
                     for part in (raw, raw[middle : middle + 80]):
                         out.append((lang, features(part).astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["lang", "x"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "x"])
 
     chosen = sample(docs, id_col, text_col, lang_col, per_lang)
     chosen = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))

@@ -155,7 +155,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpu
                 for a, k, e, ok in base_matches(text)[:200]:
                     if e - a < 200 and (k != 2 or e - a > 8):
                         out.append((describe(text, a, k, e), int(ok)))
-            yield pd.DataFrame(out, columns=["x", "y"])
+            if out:
+                yield pd.DataFrame(out, columns=["x", "y"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     share = int(1_000_000 * min(1.0, limit / max(1, docs.count())))
@@ -173,8 +174,8 @@ def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
     kept span is left out."""
     base = [sorted((a, k, e) for a, k, e, ok in base_matches(t or "") if ok) for t in texts]
     loose = [(i, a, k, e) for i, t in enumerate(texts) for a, k, e in loose_matches(t or "")]
-    x = np.array([describe(texts[i], a, k, e) for i, a, k, e in loose], dtype=float).reshape(len(loose), -1)
-    scores = model["trees"].score(x)
+    x = np.array([describe(texts[i], a, k, e) for i, a, k, e in loose], dtype=float)
+    scores = model["trees"].score(x) if loose else []
     added: dict[int, list] = {}
     for (i, a, k, e), s in zip(loose, scores):
         if s >= model["cuts"][k]:
