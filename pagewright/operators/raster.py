@@ -160,7 +160,8 @@ def heatmap_regions(heatmaps: DataFrame, threshold: float = 0.2, box_threshold:
                 heat = np.asarray(r.data, dtype=np.float32)[-r.heat_width * r.heat_height :].reshape(r.heat_height, r.heat_width)
                 found = extract_regions(heat, (r.source_width, r.source_height), threshold, box_threshold, unclip)
                 rows += [{"image_id": r.image_id, "position": i, **f} for i, f in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return heatmaps.select("image_id", "heat_width", "heat_height", "data", "source_width", "source_height").mapInPandas(run, shape)
 
