@@ -16,7 +16,7 @@ COLUMNS = 12
 
 def _number(raw: Column, kind: str) -> Column:
     """A number without white space around it, else null."""
-    plain = raw.rlike(r"^[+-]?[0-9]+$") if kind == "int" else raw.rlike(r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)$")
+    plain = raw.rlike("^[+-]?[0-9]+$") if kind == "int" else raw.rlike(r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf(?:inity)?|nan)$")
     return F.when(plain, raw.try_cast(kind))
 
 
@@ -26,19 +26,29 @@ def read_tsv_lines(documents: DataFrame, key: str = "image_id", tsv: str = "tsv"
     The first line and blank lines are skipped; the last column keeps tabs. A line with too few columns or with a
     column that is no number has an error and no values.
     """
-    lines = documents.select(key, F.posexplode(F.split(tsv, "\r?\n")).alias("n", "raw")).filter((F.col("n") > 0) & (F.trim("raw") != ""))
-    c = F.split("raw", "\t", COLUMNS)
-    lines = lines.select(key, (F.col("n") + 1).alias("position"), c.alias("c"))
-    parsed = {k: _number(F.get("c", F.lit(i - 1)), "int") for k, i in INTS.items()}
-    parsed |= {k: _number(F.get("c", F.lit(i - 1)), "double") for k, i in NUMBERS.items()}
-    needed = ("level", "left", "top", "width", "height")
-    rows = lines.select(key, "position", F.size("c").alias("_n"), *[v.alias(k) for k, v in parsed.items()], F.get("c", F.lit(11)).alias("text"))
-    word = [F.when((F.col("level") == 5) & F.col(k).isNull(), F.lit(k)) for k in ("conf", "page", "block", "par", "line")]
-    bad = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in needed], *word))
-    error = F.when(F.col("_n") < COLUMNS, F.format_string("line %d: expected 12 columns", "position")).when(
-        F.size(bad) > 0, F.format_string("line %d: invalid %s", F.col("position"), F.get(bad, F.lit(0)))
+    # columns are parsed before the lines are dealt out, so that later filters do not parse them again
+    split = F.transform(F.split(tsv, "\r?\n"), lambda line: F.split(line, "\t", COLUMNS))
+    lines = documents.select(key, F.posexplode(F.transform(split, _parse_line)).alias("n", "row"))
+    lines = lines.filter((F.col("n") > 0) & ~F.col("row.blank")).select(key, (F.col("n") + 1).alias("position"), "row.*")
+    error = F.when(F.col("width_in_columns") < COLUMNS, F.format_string("line %d: expected 12 columns", "position")).when(
+        F.col("bad").isNotNull(), F.format_string("line %d: invalid %s", "position", "bad")
+    )
+    return lines.withColumn("error", error).drop("blank", "width_in_columns", "bad")
+
+
+def _parse_line(c: Column) -> Column:
+    """The columns of one split line, and the first of those it needs that is no number."""
+    cell = lambda i: F.get(c, F.lit(i - 1))
+    values = {k: _number(cell(i), "int") for k, i in INTS.items()} | {k: _number(cell(i), "double") for k, i in NUMBERS.items()}
+    always = F.coalesce(*[F.when(values[k].isNull(), F.lit(k)) for k in ("level", "left", "top", "width", "height")])
+    word = F.coalesce(*[F.when(values[k].isNull(), F.lit(k)) for k in ("conf", "page", "block", "par", "line")])
+    return F.struct(
+        (utrim(F.array_join(c, "")) == "").alias("blank"),
+        F.size(c).alias("width_in_columns"),
+        *[v.alias(k) for k, v in values.items()],
+        cell(COLUMNS).alias("text"),
+        F.coalesce(always, F.when(cell(1) == "5", word)).alias("bad"),
     )
-    return rows.withColumn("error", error).drop("_n")
 
 
 def tsv_pages(rows: DataFrame, key: str = "image_id") -> DataFrame:
