@@ -25,7 +25,8 @@ from pagewright.llm.boosting import BoostedTrees, threshold_for
 #: Fixed base patterns, in the order in which kinds are listed.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    # the look-behind only spares the search the rest of a long run of digits: a match always starts a run
+    "ip": re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -63,11 +64,32 @@ def passes(kind: str, s: str) -> bool:
     return 10 <= len(digits) <= 15
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the email pattern, found from each @ to both sides, in time linear in the text."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
 def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, number of the kind, end, passes) of all base matches, leftmost and non-overlapping for each kind."""
     out = []
     for k, (kind, pattern) in enumerate(BASE.items()):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text or kind == "ip" and "." not in text:
+        if kind == "email":
+            out += [(a, k, b, True) for a, b in emails(text)]
+            continue
+        if kind == "phone" and "+" not in text or kind == "ip" and "." not in text:
             continue
         out += [(m.start(), k, m.end(), passes(kind, m[0])) for m in pattern.finditer(text)]
     return out
@@ -191,6 +213,11 @@ def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
 
 
 
+def line(spans: list[tuple[int, int, int]]) -> str:
+    """kind:start:end of sorted spans, comma-joined."""
+    return ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in spans)
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind; code points, end exclusive) of every row.
 

@@ -157,6 +157,15 @@ def test_pii_base_and_loose(spark, edge, none):
     assert pii.redact("a +1 988 555 2485 b", [(2, 3, 17)]) == "a [PHONE] b"
 
 
+def test_pii_patterns_on_random_and_long_texts():
+    rng = random.Random(8)
+    for n in range(3000):
+        t = "".join(rng.choice("ab1.@%+- 9()") for _ in range(rng.randint(0, 40)))
+        spans = sorted((a, k, e) for a, k, e, ok in pii.base_matches(t) if ok)
+        assert brute.sha(pii.line(spans)) == brute.pii(t)[-1], t
+    assert pii.base_matches("a" * 10**6 + " " + "1" * 10**6 + " x@y.zz")[-1][1] == 2
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 4))
