@@ -225,7 +225,7 @@ def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
         .select("label", "vector", (F.col("own") + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
     joined = rows.join(state, ["label", "vector"], "left")
-    linked = F.col("n_links") > 0
+    linked = (F.col("n_links") > 0) & F.col("vec_id").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select(
         "vec_id", F.when(linked, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id")
