@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,7 +235,7 @@ def perspective_crop(rgb: np.ndarray, quad: np.ndarray) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """RGB pixels of an uncompressed 24-bit BMP, the one format that needs no decoder."""
+    """RGB pixels of an uncompressed 24-bit BMP."""
     start = int.from_bytes(data[10:14], "little")
     w, h = int.from_bytes(data[18:22], "little"), int.from_bytes(data[22:26], "little", signed=True)
     if data[:2] != b"BM" or int.from_bytes(data[28:30], "little") != 24 or int.from_bytes(data[30:34], "little"):
@@ -244,10 +245,75 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return pixels[::-1] if h > 0 else pixels
 
 
+def decode_png(data: bytes, max_pixels: int = 50_000_000) -> np.ndarray:
+    """RGB pixels of a PNG with 8 bits a sample, not interlaced: grey, RGB or palette, with or without alpha."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG image")
+    chunks: dict[bytes, bytes] = {}
+    at = 8
+    while at + 8 <= len(data):
+        size, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        chunks[name] = chunks.get(name, b"") + data[at + 8 : at + 8 + size]
+        at += 12 + size
+    head = chunks.get(b"IHDR", b"")
+    if len(head) < 13:
+        raise ValueError("PNG image without a header")
+    w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[9])
+    if head[8] != 8 or head[12] or samples is None or not 0 < w * h <= max_pixels:
+        raise ValueError("this kind of PNG image can't be decoded here")
+    try:
+        raw = zlib.decompressobj().decompress(chunks.get(b"IDAT", b""), h * (w * samples + 1))
+    except zlib.error as e:
+        raise ValueError("damaged PNG image") from e
+    if len(raw) != h * (w * samples + 1):
+        raise ValueError("PNG image is cut off")
+    rows = np.frombuffer(raw, np.uint8).reshape(h, w * samples + 1)
+    out = np.zeros((h, w, samples), np.uint8)
+    above = np.zeros((w, samples), np.int64)
+    for y in range(h):
+        above = _unfilter(int(rows[y, 0]), rows[y, 1:].reshape(w, samples).astype(np.int64), above)
+        out[y] = above
+    if head[9] == 3:
+        palette = np.zeros((256, 3), np.uint8)
+        given = np.frombuffer(chunks.get(b"PLTE", b""), np.uint8).reshape(-1, 3)
+        palette[: len(given)] = given
+        return palette[out[..., 0]]
+    return out[..., :3] if samples > 2 else np.repeat(out[..., :1], 3, axis=2)
+
+
+def _unfilter(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A row's samples from its filtered ones and the row above."""
+    if kind == 0:
+        return row
+    if kind == 1:
+        return np.cumsum(row, axis=0) % 256
+    if kind == 2:
+        return (row + above) % 256
+    left, corner = np.zeros(row.shape[1], np.int64), np.zeros(row.shape[1], np.int64)
+    out = np.empty_like(row)
+    for x in range(len(row)):
+        up = above[x]
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            p = left + up - corner
+            a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        left = out[x] = (row[x] + guess) % 256
+        corner = up
+    return out
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """RGB pixels; an error for the formats that need a decoder which is not installed."""
+    return decode_png(data) if data[:4] == b"\x89PNG" else decode_bmp(data)
+
+
 def crop_regions(images: DataFrame, quads: DataFrame) -> DataFrame:
     """image_id, box_idx, width, height, pixels (RGB bytes) of each quad.
 
-    images: image_id, content (BMP). quads: image_id, box_idx, quad. The join shuffles images once; a crop of no
+    images: image_id, content (PNG or BMP). quads: image_id, box_idx, quad. The join shuffles images once; a crop of no
     readable image has null pixels.
     """
     shape = "image_id long, box_idx long, width int, height int, pixels binary"
@@ -257,7 +323,7 @@ def crop_regions(images: DataFrame, quads: DataFrame) -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 try:
-                    image = decode_bmp(r.content)
+                    image = decode_image(r.content)
                 except ValueError:
                     rows += [(r.image_id, box["box_idx"], None, None, None) for box in r.boxes]
                     continue

@@ -256,6 +256,31 @@ def test_crops_and_tensors(spark):
     assert bytes(got[1].pixels) == pixels.tobytes() and got[2].pixels is None
 
 
+def test_png_decoding():
+    import zlib
+
+    rng = np.random.default_rng(2)
+    for kind, samples in ((2, 3), (6, 4), (0, 1), (4, 2)):
+        image = rng.integers(0, 256, (7, 5, samples))
+        lines_, above = [], np.zeros((5, samples), int)
+        for y, row in enumerate(image):
+            left = np.vstack([np.zeros((1, samples), int), row[:-1]])
+            corner = np.vstack([np.zeros((1, samples), int), above[:-1]])
+            p = left + above - corner
+            d = np.abs(np.stack([p - left, p - above, p - corner]))
+            paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
+            guess = [0, left, above, (left + above) // 2, paeth][y % 5]
+            lines_.append(bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+            above = row
+        chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + b"crc."
+        head = (5).to_bytes(4, "big") + (7).to_bytes(4, "big") + bytes([8, kind, 0, 0, 0])
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines_))) + chunk(b"IEND", b"")
+        want = image[..., :3] if samples > 2 else np.repeat(image[..., :1], 3, axis=2)
+        assert (raster.decode_image(data) == want).all(), kind
+        with pytest.raises(ValueError):
+            raster.decode_image(data[:60])
+
+
 def document(spark, **changes):
     base = {
         "schema_version": "annotation.v1", "coordinate_system": "pixel_top_left", "image": {"id": "i", "file_name": "i.png", "width": 20, "height": 10},
