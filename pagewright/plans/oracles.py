@@ -199,7 +199,32 @@ select image_id, n_order, n_outside, n_confidence, n_language, case when image_i
        n_order + n_outside + n_confidence + n_language + case when image_id % 3 = 0 then 1 else 0 end + 1 as n_errors from a
 """
 
+#: A row of the edit distance table a step: the row above is `prev`; one-element lists carry the column numbers.
+WORD_ERRORS = f"""
+with recursive {TURNS},
+k as (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as a,
+      list_filter(string_split_regex(next, '\\s+'), lambda w: w <> '') as b from pairs),
+f as (
+  select conv_id, turn, a, b, 0::bigint as i, range(0, len(b) + 1) as prev from k
+  union all
+  select conv_id, turn, a, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]),
+    lambda acc, y: list_append(acc, least(prev[y[1] + 1] + 1, acc[len(acc)] + 1, prev[y[1]] + case when a[i + 1] = b[y[1]] then 0 else 1 end)), [i + 1])
+  from f where i < len(a)
+),
+e as (select conv_id, turn, len(a) as n, prev[len(prev)] as edits from f where i = len(a))
+select conv_id, turn, edits, n as reference_units, round(case when n > 0 then edits / n when edits > 0 then 1 else 0 end, 6) as rate from e
+"""
+
+REGIONS = """
+with p as (select p_partkey as image_id, (p_partkey * 7) % 20 + 11.5 as cx, 12.5 as cy, 2 * 23 * 9 * 1.4 / (2 * (23 + 9)) as grow from part),
+e as (select image_id, greatest(0, floor((cx - (23 + grow) / 2) * 10 + 0.5)) as l, least(640, floor((cx + (23 + grow) / 2) * 10 + 0.5)) as r,
+      greatest(0, floor((cy - (9 + grow) / 2) * 10 + 0.5)) as t, least(320, floor((cy + (9 + grow) / 2) * 10 + 0.5)) as b from p)
+select image_id, 0 as position, cast(l as double) as x, cast(t as double) as y, cast(r - l as double) as width, cast(b - t as double) as height, 0.93::double as score from e
+"""
+
 ORACLES = {
+    "word_errors": WORD_ERRORS,
+    "heatmap_regions": REGIONS,
     "reading_order": f"with {ORDERED} select image_id, line_id, cast(row_ as bigint) as row, ord as line_order from ordered",
     "rebuild_text": f"""with {ORDERED},
 t as (select *, {TRIM.format('text')} as a, {TRIM.format('coalesce(corrected_text, text)')} as b from ordered),

@@ -20,24 +20,6 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-def test_word_errors_against_plain_distance(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from pagewright.plans.catalog import _turns, word_errors
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, above = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        return row[-1]
-
-    texts = {(r.conv_id, r.turn): (r.text.split(), r.next.split()) for r in _turns(spark, sf_dir).collect()}
-    rows = word_errors(spark, sf_dir).orderBy("conv_id", F.col("turn")).collect()
-    assert rows and all(r.edits == distance(*texts[r.conv_id, r.turn]) for r in rows)
-
-
 def test_heatmap_regions_of_blocks(spark, sf_dir):
     rows = QUERIES["heatmap_regions"](spark, sf_dir).collect()
     assert rows and all(r.width > 240 and r.height > 80 and r.score > 0.9 for r in rows)
