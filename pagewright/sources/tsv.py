@@ -28,7 +28,8 @@ def read_tsv_lines(documents: DataFrame, key: str = "image_id", tsv: str = "tsv"
     """
     # columns are parsed before the lines are dealt out, so that later filters do not parse them again
     split = F.transform(F.split(tsv, "\r?\n"), lambda line: F.split(line, "\t", COLUMNS))
-    lines = documents.select(key, F.posexplode(F.transform(split, _parse_line)).alias("n", "row"))
+    parsed = F.transform(F.transform(split, _parse_line), _check_line)
+    lines = documents.select(key, F.posexplode(parsed).alias("n", "row"))
     lines = lines.filter((F.col("n") > 0) & ~F.col("row.blank")).select(key, (F.col("n") + 1).alias("position"), "row.*")
     error = F.when(F.col("width_in_columns") < COLUMNS, F.format_string("line %d: expected 12 columns", "position")).when(
         F.col("bad").isNotNull(), F.format_string("line %d: invalid %s", "position", "bad")
@@ -37,20 +38,24 @@ def read_tsv_lines(documents: DataFrame, key: str = "image_id", tsv: str = "tsv"
 
 
 def _parse_line(c: Column) -> Column:
-    """The columns of one split line, and the first of those it needs that is no number."""
+    """The columns of one split line."""
     cell = lambda i: F.get(c, F.lit(i - 1))
     values = {k: _number(cell(i), "int") for k, i in INTS.items()} | {k: _number(cell(i), "double") for k, i in NUMBERS.items()}
-    always = F.coalesce(*[F.when(values[k].isNull(), F.lit(k)) for k in ("level", "left", "top", "width", "height")])
-    word = F.coalesce(*[F.when(values[k].isNull(), F.lit(k)) for k in ("conf", "page", "block", "par", "line")])
     return F.struct(
-        (utrim(F.array_join(c, "")) == "").alias("blank"),
+        (~F.array_join(c, "").rlike(r"(?U)\S")).alias("blank"),
         F.size(c).alias("width_in_columns"),
         *[v.alias(k) for k, v in values.items()],
         cell(COLUMNS).alias("text"),
-        F.coalesce(always, F.when(cell(1) == "5", word)).alias("bad"),
     )
 
 
+def _check_line(row: Column) -> Column:
+    """The line with the first of the columns it needs that is no number: words need more of them."""
+    first = lambda names: F.coalesce(*[F.when(row[k].isNull(), F.lit(k)) for k in names])
+    always = first(("level", "left", "top", "width", "height"))
+    return row.withField("bad", F.coalesce(always, F.when(row["level"] == 5, first(("conf", "page", "block", "par", "line")))))
+
+
 def tsv_pages(rows: DataFrame, key: str = "image_id") -> DataFrame:
     """Size of each page: the last line of level 1, negative sizes as 0."""
     last = rows.filter((F.col("level") == 1) & F.col("error").isNull()).groupBy(key)
