@@ -41,6 +41,7 @@ def features(text: bytes) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 1e-4) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss, by accelerated gradient steps. y: -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    y = y.astype(np.float32)  # single precision throughout, else each product copies x
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
