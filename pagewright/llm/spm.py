@@ -13,7 +13,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -169,9 +169,9 @@ def _chunks(texts: list[str | None]) -> Iterator[slice]:
     yield slice(start, len(texts))
 
 
-@cache
+@lru_cache(maxsize=1)
 def _encoder(shared) -> Encoder:
-    """One encoder for each worker process and broadcast model; its caches serve later tasks too."""
+    """One encoder for each worker process and broadcast model; its caches serve later tasks, an older one's go."""
     return Encoder(shared.value)
 
 
