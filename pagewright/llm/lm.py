@@ -9,7 +9,7 @@ has. The attention model reads these ids of the words before a place and predict
 
 so that probabilities of all known words and of the unknown word sum to one in every context. Counts cover every training token.
 The weights are trained in numpy: each task trains on its share of the training texts from the same start, and
-weights are averaged; the share of texts is a parameter, so what training reads grows with the corpus. Texts are
+weights are averaged. Every training text is trained on, copies as often as they occur. Texts are
 scored in overlapping windows with one masked attention for a batch of windows; every token counts once, with at
 least WINDOW - STRIDE tokens of context where the text has them.
 """
@@ -104,8 +104,8 @@ def backward(w: dict, kept: tuple, z: np.ndarray, i1: np.ndarray, i2: np.ndarray
     dx = dh + (dqkv.reshape(-1, 3 * d) @ w["qkv"].T).reshape(m, t, d)
     g = {"out": h.reshape(-1, d).T @ flat, "qkv": x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d), "pos": dx.sum(axis=0)}
     for name, i in (("e1", i1), ("e2", i2)):
-        g[name] = np.zeros_like(w[name])
-        np.add.at(g[name], i.reshape(-1), dx.reshape(-1, d))
+        cells = (i.reshape(-1, 1) * d + np.arange(d)).reshape(-1)
+        g[name] = np.bincount(cells, dx.reshape(-1), w[name].size).reshape(w[name].shape).astype(w[name].dtype)
     return g
 
 
@@ -335,9 +335,7 @@ def score_chunk(vocab: Vocabulary, w: dict, texts: list[list[bytes]]) -> dict:
     }
 
 
-def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_share: float = 1 / 16, model_path: str = MODEL_PATH
-) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null texts are empty: one token, the end. Rows with a null id are training rows. Rarer words than the held ones
@@ -351,8 +349,7 @@ def score_texts(
     setup["ends"] = ends["c"] if ends else 0
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(setup)
-    share = int(1_000_000 * train_share)
-    weights = train(training.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share), shared)
+    weights = train(training, shared)
     shared_weights = sc.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -209,6 +209,15 @@ def test_scores(spark, sf_dir, monkeypatch):
     assert lm.score_texts(docs.limit(0)).collect() == []
 
 
+def test_weights_learn_from_every_training_text(spark, monkeypatch):
+    docs = [(i, f"text {i % 40} of some words") for i in range(200)] + [(None, "no id"), (500, None)]
+    seen, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda rows, *rest: seen.extend(r.text for r in rows.collect()) or train(rows, *rest))
+    assert lm.score_texts(frame(spark, docs)).count() == len(docs)
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    assert Counter(seen) == Counter(t for d, t in docs if not held(d))
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights().items()}
