@@ -183,8 +183,8 @@ def word_boxes(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: Session, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation with the next one; other characters than ASCII are question marks."""
-    rows = _rows(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    """Each turn of a conversation with the next one."""
+    rows = _rows(spark, sf_dir, "conversations")
     pairs = rows.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
     return pairs.filter("next is not null and text is not null").select("conv_id", "turn", "text", "next")
 

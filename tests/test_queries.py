@@ -25,6 +25,26 @@ def test_heatmap_regions_of_blocks(spark, sf_dir):
     assert rows and all(r.width > 240 and r.height > 80 and r.score > 0.9 for r in rows)
 
 
+def test_errors_count_code_points_of_any_script(spark, tmp_path):
+    texts = ["é è 漢字", "è é 漢子", "à\u3000b\u2003c", "à b d", "Привет мир", "Привет мир", "😀 x", "", "ж"]
+    rows = [(1, i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    chars = {r.turn: (r.edits, r.reference_units, r.exact_match) for r in QUERIES["character_errors"](spark, str(tmp_path)).collect()}
+    words = {r.turn: (r.edits, r.reference_units) for r in QUERIES["word_errors"](spark, str(tmp_path)).collect()}
+    pairs = dict(enumerate(zip(texts, texts[1:])))
+    assert chars == {i: (edits(a, b), len(a), a == b) for i, (a, b) in pairs.items()}
+    assert words == {i: (edits(a.split(), b.split()), len(a.split())) for i, (a, b) in pairs.items()}
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
