@@ -5,7 +5,8 @@ as phone numbers without a country code, number groups of identity cards and acc
 they overlap the base spans and one another. Boosted trees score each proposal by its form and its surroundings.
 They learn from two sources: synthetic sentences with planted values and look-alikes (dates, versions, prices,
 part numbers), and a bounded sample of the corpus in which base matches that pass their check are positive and
-those that fail it are negative. A threshold for each generator, set on a held-out part, selects the redactions.
+those that fail it are negative. A threshold for each loose generator, set on held-out proposals of that generator
+alone, selects the redactions, so that the number of base matches in a corpus does not move it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.boosting import BoostedTrees, threshold_for
+from pagewright.session import stored
 
 #: Fixed base patterns, in the order in which kinds are listed.
 BASE = {
@@ -109,8 +111,8 @@ def loose_matches(text: str) -> list[tuple[int, int, int]]:
 _DIGIT = re.compile("[0-9]{2}")
 
 
-def describe(text: str, start: int, kind: int, end: int) -> list[float]:
-    """Form of the span and of its surroundings."""
+def describe(text: str, start: int, kind: int, end: int, loose: bool) -> list[float]:
+    """Form of the span and of its surroundings; the last number tells loose generators from base patterns."""
     s = text[start:end]
     digits = re.sub("[^0-9]", "", s)
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
@@ -120,7 +122,7 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
         float(bool(digits) and luhn(digits)), s.count("."), s.count("-") + s.count(" "), s.count("/"), float("(" in s),
         float(s[:1] == "0"), float(bool(CUES.search(before))), float(bool(CUES.search(after))),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), float(before[-1:] in ("$", "€", "£", "#", "v")),
-        float(before[-2:-1] == ":"), sum(c.isalpha() for c in s),
+        float(before[-2:-1] == ":"), sum(c.isalpha() for c in s), float(loose),
     ]
 
 
@@ -155,38 +157,44 @@ def synthetic(n: int = 1500, seed: int = 7) -> list[tuple[str, int, int, int, in
 
 
 def fit(samples: list[tuple[list[float], int]], precision: float = 0.97) -> dict:
-    """Trees and a threshold for each kind from (features, label); every fourth sample only calibrates."""
+    """Trees and a threshold for each kind's loose generator from (features, label); every fourth sample only calibrates."""
     x = np.array([s[0] for s in samples], dtype=float)
     y = np.array([s[1] for s in samples], dtype=float)
     held = np.arange(len(y)) % 4 == 3
     trees = BoostedTrees().fit(x[~held], y[~held])
-    scores = trees.score(x[held])
-    cuts = [threshold_for(scores[x[held][:, 0] == k], y[held][x[held][:, 0] == k], precision) for k in range(len(KINDS))]
+    held &= x[:, -1] == 1
+    kinds, labels, scores = x[held][:, 0], y[held], trees.score(x[held])
+    cuts = [threshold_for(scores[kinds == k], labels[kinds == k], precision) for k in range(len(KINDS))]
     return {"trees": trees, "cuts": np.array(cuts)}
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus_rows: int = 5000) -> dict:
     """A model from synthetic sentences and the base matches of about corpus_rows documents (the sample's bound,
-    drawn by a hash of id and text)."""
+    drawn by a hash of id and text). Of each base kind, about 5 * corpus_rows matches of these documents at most count,
+    drawn by a hash of id, text and place."""
     limit = corpus_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text in b["text"]:
-                for a, k, e, ok in base_matches(text)[:200]:
+            for key, text in zip(b["key"], b["text"]):
+                for a, k, e, ok in base_matches(text):
                     if e - a < 200 and (k != 2 or e - a > 8):
-                        out.append((describe(text, a, k, e), int(ok)))
+                        out.append((key, k, a, describe(text, a, k, e, False), int(ok)))
             if out:
-                yield pd.DataFrame(out, columns=["x", "y"])
+                yield pd.DataFrame(out, columns=["key", "kind", "start", "x", "y"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     share = int(1_000_000 * min(1.0, limit / max(1, docs.count())))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
-    rows = chosen.mapInPandas(run, "x array<double>, y int").collect()
-    samples = sorted((list(r["x"]), r["y"]) for r in rows)[: 20 * limit]
+    chosen = rows.withColumn("key", F.xxhash64("doc_id", "text")).filter(F.pmod("key", F.lit(1_000_000)) < share)
+    found = stored(chosen.select("key", "text").mapInPandas(run, "key long, kind int, start long, x array<double>, y int"))
+    drawn = F.pmod(F.xxhash64("key", "kind", "start"), F.lit(1_000_000))
+    wanted = F.lit(False)
+    for kind, n in found.groupBy("kind").count().collect():
+        wanted |= (F.col("kind") == kind) & (drawn < int(1_000_000 * min(1.0, 5 * limit / n)))
+    samples = sorted((list(r["x"]), r["y"]) for r in found.filter(wanted).select("x", "y").collect())
     random.Random(1).shuffle(samples)
-    samples = samples + [(describe(t, a, k, e), y) for t, a, k, e, y in synthetic()]
+    samples = samples + [(describe(t, a, k, e, True), y) for t, a, k, e, y in synthetic()]
     random.Random(2).shuffle(samples)
     return fit(samples)
 
@@ -196,7 +204,7 @@ def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
     kept span is left out."""
     base = [sorted((a, k, e) for a, k, e, ok in base_matches(t or "") if ok) for t in texts]
     loose = [(i, a, k, e) for i, t in enumerate(texts) for a, k, e in loose_matches(t or "")]
-    x = np.array([describe(texts[i], a, k, e) for i, a, k, e in loose], dtype=float)
+    x = np.array([describe(texts[i], a, k, e, True) for i, a, k, e in loose], dtype=float)
     scores = model["trees"].score(x) if loose else []
     added: dict[int, list] = {}
     for (i, a, k, e), s in zip(loose, scores):

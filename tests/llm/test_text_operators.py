@@ -157,6 +157,22 @@ def test_pii_base_and_loose(spark, edge, none):
     assert pii.redact("a +1 988 555 2485 b", [(2, 3, 17)]) == "a [PHONE] b"
 
 
+def test_pii_threshold_is_that_of_loose_forms(spark):
+    alike = ["we meet at noon dot sharp then", "part nothing at rest dot here sat", "the line at anode dot tin"]
+    for n in (0, 3000):
+        docs = [(i, f"write to user{i}@host{i % 7}.org today") for i in range(n)] + [(10**6, alike[0])]
+        model = pii.train(frame(spark, docs))
+        assert [every for _, every in pii.find(alike, model)] == [[], [], []], n
+
+
+def test_pii_sample_reads_whole_documents(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(pii, "fit", lambda samples: got.extend(samples))
+    pii.train(frame(spark, [(1, " ".join(f"u{i}@x.org" for i in range(300)) + " 999.1.1.1 +12 345 678 901")]))
+    base = Counter(x[0] for x, _ in got if not x[-1])
+    assert base[0] == 300 and base[1] == 1 and base[3] == 1
+
+
 def test_pii_patterns_on_random_and_long_texts():
     rng = random.Random(8)
     for n in range(3000):
