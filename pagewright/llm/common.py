@@ -1,9 +1,14 @@
-"""Columns that several operators of this subpackage share."""
+"""Columns and batch work that several operators of this subpackage share."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,3 +39,47 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
+#: Arrow types of the columns that batch work makes, by their Spark names.
+ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()), "array<struct<start: int, end: int, kind: string>>": pa.list_(_SPAN),
+}
+#: Code points of texts that are worked on at once: a bound of memory, not of results.
+CHUNK_CHARS = 1_500_000
+
+
+def slices(batch: pa.RecordBatch, text: str, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `chars` code points of text each, at least one row a run."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > chars:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n + 1
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def map_rows(rows: DataFrame, uses: list[str], new: dict[str, str], start: Callable[[], Callable[..., dict]]) -> DataFrame:
+    """rows without the columns `uses`, with the columns `new` (name to type) that start()(*lists) gives.
+
+    start() runs once a task; what it returns is called with the values of `uses`, the first of which is the text
+    whose length bounds a call. All other columns pass as Arrow data, so that long ids stay exact beside nulls.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in uses]
+    names = [f.name for f in kept] + list(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for part in slices(batch, uses[0]):
+                made = work(*[part.column(c).to_pylist() for c in uses])
+                columns = [part.column(f.name) for f in kept] + [pa.array(made[c], ARROW[t]) for c, t in new.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    made = [T.StructField(c, T.DataType.fromDDL(t)) for c, t in new.items()]
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in kept] + made))

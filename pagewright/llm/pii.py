@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.boosting import BoostedTrees, threshold_for
+from pagewright.llm.common import map_rows
 from pagewright.session import stored
 
 #: Fixed base patterns, in the order in which kinds are listed.
@@ -233,15 +234,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, **options))
     shape = "array<struct<start: int, end: int, kind: string>>"
+    named = lambda spans: [{"start": a, "end": e, "kind": KINDS[k]} for a, k, e in spans]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        named = lambda spans: [{"start": a, "end": e, "kind": KINDS[k]} for a, k, e in spans]
-        for b in batches:
-            found = find(b["text"].tolist(), shared.value)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "base": [named(x) for x, _ in found], "spans": [named(y) for _, y in found]})
+    def start():
+        def work(texts: list) -> dict:
+            found = find(texts, shared.value)
+            return {"base": [named(x) for x, _ in found], "spans": [named(y) for _, y in found]}
+
+        return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id long, base {shape}, spans {shape}")
+    return map_rows(rows, ["text"], {"base": shape, "spans": shape}, start)
 
 
 def pii_report(docs: DataFrame, **options) -> DataFrame:

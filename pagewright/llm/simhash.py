@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import row_key
+from pagewright.llm.common import map_rows, row_key
 from pagewright.llm.components import connected_components
 from pagewright.session import cut
 
@@ -62,17 +62,15 @@ def _signed(x: int) -> int:
 def add_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, k1, k2 and fp (64 bits as a signed long) of every row. Null texts have no words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = [_signed(fingerprint(t, size)) for t in b.pop("text")]
-            yield b.assign(fp=np.array(fps, dtype=np.int64))
+    def start():
+        return lambda texts: {"fp": np.array([_signed(fingerprint(t, size)) for t in texts], dtype=np.int64)}
 
     kept = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         *row_key(F.col(id_col), F.col(text_col)),
         F.col(text_col).cast("string").alias("text"),
     )
-    return kept.mapInPandas(run, "doc_id long, k1 long, k2 long, fp long")
+    return map_rows(kept, ["text"], {"fp": "long"}, start)
 
 
 def _connect(fps: np.ndarray, radius: int, out: list[np.ndarray]) -> None:
