@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding with a forward pass shared between words with a common prefix.
 
 Pieces never cross a word mark, so the distinct marked words of a chunk are encoded once. Sorted, they form a trie
-that is walked depth-first; each node keeps the one best state of its prefix, the last piece of its segmentation,
-and words below it start from there. A piece t may follow a piece s if the tokenizer's own merges give exactly
-(s, t) for their concatenation; for merge-ranked pieces a sequence in which each neighbour pair may follow one
-another is the tokenizer's result, and each prefix has exactly one last piece. The ids equal the public library's.
+that is walked depth-first; each node keeps the forward score of its prefix - the greatest sum of piece scores over
+the segmentations allowed - and the last piece that reaches it, and words below it start from there.
+
+For a model whose scores are log probabilities every segmentation is allowed. In a merge-ranked model a piece t may
+follow a piece s only if the tokenizer's own merges give exactly (s, t) for their concatenation: a sequence in which
+each neighbour pair may follow one another is the tokenizer's result, so one segmentation of a prefix is left and the
+ids equal the public library's.
 """
 
 from __future__ import annotations
@@ -13,19 +16,20 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import map_rows
+
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words kept between chunks, and code points of texts encoded at once: bounds of memory, not of results.
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 500_000
-CHUNK_CHARS = 3_000_000
+#: Words and pairs that a task keeps between chunks: bounds of memory, not of results.
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 
 
 def read_pieces(path: str = MODEL_PATH) -> dict:
@@ -41,6 +45,8 @@ def read_pieces(path: str = MODEL_PATH) -> dict:
         "bytes": {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)},
         "unknown": sp.unk_id(),
         "size": n,
+        # merge ranks are whole numbers; log probabilities are not
+        "ranked": all(sp.get_score(i) == int(sp.get_score(i)) for i in plain),
     }
 
 
@@ -49,7 +55,7 @@ class Encoder:
 
     def __init__(self, model: dict):
         self.ids, self.scores, self.byte_ids = model["ids"], model["scores"], model["bytes"]
-        self.unknown = model["unknown"]
+        self.unknown, self.ranked = model["unknown"], model["ranked"]
         ends: dict[str, set[int]] = {}
         for piece in self.ids:
             if len(piece) > 1:
@@ -70,23 +76,44 @@ class Encoder:
         self.out[self.unknown] = " ⁇ ".encode()
 
     def merge(self, text: str) -> list[str]:
-        """The tokenizer's merges, best score first and leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The tokenizer's merges, best score first and leftmost among equals.
+
+        Neighbour pairs wait in a heap; a pair whose parts have changed since is passed over. Time n log n.
+        """
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        waiting: list[tuple[float, int, str]] = []
+        scores = self.scores
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts):
+                pair = parts[i] + parts[j]
+                score = scores.get(pair)
+                if score is not None:
+                    heappush(waiting, (-score, i, pair))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while waiting:
+            _, i, pair = heappop(waiting)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
+                continue
+            parts[i], parts[j] = pair, None
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def may_follow(self, s: str, t: str) -> bool:
+        """Whether the merges of s + t give these two pieces. s is empty at the start of a word."""
         if len(self.follows) > CACHE_PAIRS:
             self.follows.clear()
-        got = self.follows[s, t] = self.merge(s + t) == [s, t]
+        got = self.follows[s, t] = self.merge(s + t) == ([s, t] if s else [t])
         return got
 
     def _pack(self, pieces: Iterable[str]) -> bytes:
@@ -99,41 +126,44 @@ class Encoder:
             return np.array([self.byte_ids[b] for b in raw], dtype="<u4").tobytes()
         return np.array([self.unknown], dtype="<u4").tobytes()
 
+    def _extend(self, word: str, score: list[float], last: list[str]) -> None:
+        """Forward scores and last pieces of the prefixes of word that are longer than those in score and last."""
+        ids, scores, lengths, follows, ranked = self.ids, self.scores, self.lengths, self.follows, self.ranked
+        single = (1,)
+        for end in range(len(score), len(word) + 1):
+            best, by = float("-inf"), ""
+            for n in lengths.get(word[end - 2 : end], single) if end > 1 else single:
+                piece = word[end - n : end] if n <= end else ""
+                if piece not in ids:
+                    continue
+                start = end - n
+                if ranked:
+                    pair = last[start], piece
+                    ok = follows.get(pair)
+                    if self.may_follow(*pair) if ok is None else ok:
+                        best, by = score[start] + scores[piece], piece  # the only segmentation that is allowed
+                        break
+                elif score[start] + scores[piece] > best:
+                    best, by = score[start] + scores[piece], piece
+            score.append(best)
+            last.append(by)
+
     def add_words(self, words: Iterable[str]) -> None:
         """Encodes the words into the cache, depth-first over their trie."""
-        prefix = ""  # the path from the root, with the last piece of each of its prefixes
-        last: list[str] = [""]
-        ids, lengths, follows, whole = self.ids, self.lengths, self.follows, {}
+        prefix = ""  # the path from the root, with the forward score and the last piece of each of its prefixes
+        score, last = [0.0], [""]
         for word in sorted(words):
             if word[0] not in self.known:
                 self.cache[word] = self._single(word)
                 continue
-            if word.startswith(MARK * 2):  # runs of marks hold pieces of equal score: merged directly
+            if self.ranked and word.startswith(MARK * 2):  # equal scores in a run of marks go by place: merged directly
                 self.cache[word] = self._pack(self.merge(word))
                 continue
             shared, most = 0, min(len(prefix), len(word))
             while shared < most and prefix[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[end - 2 : end], (1,)) if end > 1 else (1,):
-                    if n > end:
-                        continue
-                    piece = word[end - n : end]
-                    if piece not in ids:
-                        continue
-                    if n < end:
-                        pair = last[end - n], piece
-                        ok = follows.get(pair)
-                        if self.may_follow(*pair) if ok is None else ok:
-                            break
-                    else:
-                        alone = whole.get(piece)
-                        if alone is None:
-                            alone = whole[piece] = self.merge(piece) == [piece]
-                        if alone:
-                            break
-                last.append(piece)
+            del score[shared + 1 :], last[shared + 1 :]
+            self._extend(word, score, last)
             prefix = word
             pieces, at = [], len(word)
             while at:
@@ -159,53 +189,34 @@ class Encoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _chunks(texts: list[str | None]) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > CHUNK_CHARS:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    yield slice(start, len(texts))
-
-
-@lru_cache(maxsize=1)
-def _encoder(shared) -> Encoder:
-    """One encoder for each worker process and broadcast model; its caches serve later tasks, an older one's go."""
-    return Encoder(shared.value)
-
-
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, ids (array of int), n_tokens, n_bytes, ids_sha256 (of the ids as 4 little-endian bytes each) and
     round_trip (decoding gives the text back).
 
-    Null and empty texts have no ids. A literal word mark in a text decodes to a space, as in the public library;
-    round_trip compares after that. No shuffle: every batch is encoded where it is read.
+    Null and empty texts have no ids; a null id stays null; repeated rows have a row each; an empty table gives an
+    empty result; other columns are ignored. A literal word mark in a text decodes to a space, as in the public
+    library; round_trip compares after that. No shuffle: every batch is encoded where it is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(model_path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared)
-        for b in batches:
-            all_texts = b["text"].tolist()
-            for part in _chunks(all_texts):
-                texts = all_texts[part]
-                if not texts:
-                    continue
-                ids = encoder.encode(texts)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b["doc_id"].iloc[part],
-                        "ids": [x.astype("<i4") for x in ids],
-                        "n_tokens": [len(x) for x in ids],
-                        "n_bytes": [len((t or "").encode()) for t in texts],
-                        "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-                        "round_trip": [encoder.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)],
-                    }
-                )
+    def start():
+        encoder = Encoder(shared.value)
+
+        def work(texts: list[str | None]) -> dict:
+            ids = encoder.encode(texts)
+            return {
+                "ids": [x.view("<i4") for x in ids],
+                "n_tokens": [len(x) for x in ids],
+                "n_bytes": [len((t or "").encode()) for t in texts],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "round_trip": [encoder.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)],
+            }
+
+        return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_sha256 string, round_trip boolean")
+    new = {"ids": "array<int>", "n_tokens": "long", "n_bytes": "long", "ids_sha256": "string", "round_trip": "boolean"}
+    return map_rows(rows, ["text"], new, start)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:
@@ -214,7 +225,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", mode
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)
         for b in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x, dtype=np.int64)) for x in b], dtype=object)
 

@@ -298,3 +298,41 @@ def test_id_edges(edge, none):
     assert len(rows) == edge.count() and all(r.round_trip for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (2, 3)} == {0}
     assert spm.spm_report(none).collect() == []
+
+
+def test_forward_scores_of_a_probability_model():
+    """Every segmentation is tried: the encoder's has the greatest sum."""
+    rng = random.Random(6)
+    pieces = [spm.MARK, *"abc"] + sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(30)} | {spm.MARK + "ab", spm.MARK + "c"})
+    scores = {p: -rng.random() * 5 - 0.5 for p in pieces}
+    ids = {p: i for i, p in enumerate(pieces)}
+    encoder = spm.Encoder({"ids": ids, "scores": scores, "bytes": {}, "unknown": len(ids), "size": len(ids) + 1, "ranked": False})
+
+    def best(word):
+        top = [0.0] + [-math.inf] * len(word)
+        for e in range(1, len(word) + 1):
+            top[e] = max((top[s] + scores[word[s:e]] for s in range(e) if word[s:e] in scores), default=-math.inf)
+        return top[-1]
+
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(6)) for _ in range(50)]
+    for t, got in zip(texts, encoder.encode(texts)):
+        words = (spm.MARK + t.replace(" ", spm.MARK)).split(spm.MARK)[1:]
+        assert encoder.decode(got) == t
+        assert sum(scores[pieces[i]] for i in got) == pytest.approx(sum(best(spm.MARK + w) for w in words))
+
+
+def test_runs_of_spaces_take_little_time():
+    import time
+
+    start = time.process_time()
+    ids = spm.Encoder(spm.read_pieces()).encode([" " * 100_000 + "x"])[0]
+    assert len(ids) > 1000 and time.process_time() - start < 5
+
+
+BIG = [(2**60 + 1, "one text of some words"), (None, "no id at all"), (2**60 + 3, "another text, of others")]
+
+
+@pytest.mark.parametrize("query", [simhash.simhash_report, pii.pii_report, spm.spm_report, lm.score_texts, langid.language_report])
+def test_long_ids_stay_exact_beside_nulls(spark, query):
+    rows = spark.createDataFrame([(i, t, "en") for i, t in BIG], "doc_id long, text string, lang string").coalesce(1)
+    assert {r.doc_id for r in query(rows).collect()} == {i for i, _ in BIG}
