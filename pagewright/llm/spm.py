@@ -32,6 +32,40 @@ CACHE_WORDS = 200_000
 CACHE_PAIRS = 200_000
 
 
+def merge(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
+    """The tokenizer's merges of a text, best score first and leftmost among equals, and the two parts of the last one.
+
+    Neighbour pairs wait in a heap; a pair whose parts have changed since is passed over. Time n log n.
+    """
+    parts: list[str | None] = list(text)
+    before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    waiting: list[tuple[float, int, str]] = []
+    final = None
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(parts):
+            pair = parts[i] + parts[after[i]]
+            score = scores.get(pair)
+            if score is not None:
+                heappush(waiting, (-score, i, pair))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while waiting:
+        _, i, pair = heappop(waiting)
+        j = after[i]
+        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
+            continue
+        final = parts[i], parts[j]
+        parts[i], parts[j] = pair, None
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [p for p in parts if p is not None], final
+
+
 def read_pieces(path: str = MODEL_PATH) -> dict:
     """Pieces, scores and byte pieces of a model file."""
     import sentencepiece
@@ -39,9 +73,11 @@ def read_pieces(path: str = MODEL_PATH) -> dict:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
     return {
         "ids": {sp.id_to_piece(i): i for i in plain},
-        "scores": {sp.id_to_piece(i): sp.get_score(i) for i in plain},
+        "scores": scores,
+        "halves": {p: merge(p, scores)[1] for p in scores if len(p) > 1},
         "bytes": {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)},
         "unknown": sp.unk_id(),
         "size": n,
@@ -56,6 +92,7 @@ class Encoder:
     def __init__(self, model: dict):
         self.ids, self.scores, self.byte_ids = model["ids"], model["scores"], model["bytes"]
         self.unknown, self.ranked = model["unknown"], model["ranked"]
+        self.halves = model["halves"]
         ends: dict[str, set[int]] = {}
         for piece in self.ids:
             if len(piece) > 1:
@@ -75,46 +112,34 @@ class Encoder:
             self.out[i] = bytes([byte])
         self.out[self.unknown] = " ⁇ ".encode()
 
-    def merge(self, text: str) -> list[str]:
-        """The tokenizer's merges, best score first and leftmost among equals.
-
-        Neighbour pairs wait in a heap; a pair whose parts have changed since is passed over. Time n log n.
-        """
-        parts: list[str | None] = list(text)
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        waiting: list[tuple[float, int, str]] = []
-        scores = self.scores
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts):
-                pair = parts[i] + parts[j]
-                score = scores.get(pair)
-                if score is not None:
-                    heappush(waiting, (-score, i, pair))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while waiting:
-            _, i, pair = heappop(waiting)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
-                continue
-            parts[i], parts[j] = pair, None
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return [p for p in parts if p is not None]
+    def _stands(self, piece: str) -> bool:
+        """Whether the merges of a piece's text give the piece."""
+        halves = self.halves.get(piece) if len(piece) > 1 else (piece,)
+        return halves is not None and "".join(halves) == piece
 
     def may_follow(self, s: str, t: str) -> bool:
-        """Whether the merges of s + t give these two pieces. s is empty at the start of a word."""
+        """Whether the merges of s + t give these two pieces. s is empty at the start of a word.
+
+        Merges are undone from the last one back. The pieces stay apart unless the parts that meet at their border
+        at some time are a pair that merges before the part that was undone; of equal scores the left one comes first.
+        """
         if len(self.follows) > CACHE_PAIRS:
             self.follows.clear()
-        got = self.follows[s, t] = self.merge(s + t) == ([s, t] if s else [t])
-        return got
+        scores, halves = self.scores, self.halves
+        ok = self._stands(t) and (not s or self._stands(s))
+        left, right, least, ties = s, t, float("-inf"), False  # a pair merges earlier if its score is above `least`, or equal in `ties`
+        while ok and s:
+            score = scores.get(left + right)
+            if score is not None and (score > least or ties and score == least):
+                ok = False
+            elif len(left) > 1 and (len(right) == 1 or scores[left] < scores[right]):
+                least, ties, left = scores[left], False, halves[left][1]
+            elif len(right) > 1:
+                least, ties, right = scores[right], True, halves[right][0]
+            else:
+                break
+        self.follows[s, t] = ok
+        return ok
 
     def _pack(self, pieces: Iterable[str]) -> bytes:
         return array("I", map(self.ids.__getitem__, pieces)).tobytes()
@@ -157,7 +182,7 @@ class Encoder:
                 self.cache[word] = self._single(word)
                 continue
             if self.ranked and word.startswith(MARK * 2):  # equal scores in a run of marks go by place: merged directly
-                self.cache[word] = self._pack(self.merge(word))
+                self.cache[word] = self._pack(merge(word, self.scores)[0])
                 continue
             shared, most = 0, min(len(prefix), len(word))
             while shared < most and prefix[shared] == word[shared]:

@@ -306,7 +306,7 @@ def test_forward_scores_of_a_probability_model():
     pieces = [spm.MARK, *"abc"] + sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(30)} | {spm.MARK + "ab", spm.MARK + "c"})
     scores = {p: -rng.random() * 5 - 0.5 for p in pieces}
     ids = {p: i for i, p in enumerate(pieces)}
-    encoder = spm.Encoder({"ids": ids, "scores": scores, "bytes": {}, "unknown": len(ids), "size": len(ids) + 1, "ranked": False})
+    encoder = spm.Encoder({"ids": ids, "scores": scores, "bytes": {}, "unknown": len(ids), "size": len(ids) + 1, "ranked": False, "halves": {}})
 
     def best(word):
         top = [0.0] + [-math.inf] * len(word)
@@ -321,6 +321,19 @@ def test_forward_scores_of_a_probability_model():
         assert sum(scores[pieces[i]] for i in got) == pytest.approx(sum(best(spm.MARK + w) for w in words))
 
 
+def test_pairs_of_pieces_follow_the_merges():
+    model = spm.read_pieces()
+    encoder, rng = spm.Encoder(model), random.Random(2)
+    short = [p for p in model["ids"] if len(p) < 5 and p.strip(spm.MARK)]
+    for _ in range(20_000):
+        s, t = rng.choice(short), rng.choice(short)
+        if spm.MARK not in t:
+            assert encoder.may_follow(s, t) == (spm.merge(s + t, model["scores"])[0] == [s, t]), (s, t)
+    for s in "ab", "aa", "e", "th", "▁t":
+        assert encoder.may_follow("", s) == (spm.merge(s, model["scores"])[0] == [s])
+        assert encoder.may_follow(s, s[-1]) == (spm.merge(s + s[-1], model["scores"])[0] == [s, s[-1]])
+
+
 def test_runs_of_spaces_take_little_time():
     import time
 
