@@ -45,7 +45,7 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.strin
 #: Arrow types of the columns that batch work makes, by their Spark names.
 ARROW = {
     "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
-    "array<int>": pa.list_(pa.int32()), "array<struct<start: int, end: int, kind: string>>": pa.list_(_SPAN),
+    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<struct<start: int, end: int, kind: string>>": pa.list_(_SPAN),
 }
 #: Code points of texts that are worked on at once: a bound of memory, not of results.
 CHUNK_CHARS = 1_500_000
@@ -53,7 +53,9 @@ CHUNK_CHARS = 1_500_000
 
 def slices(batch: pa.RecordBatch, text: str, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch with about `chars` code points of text each, at least one row a run."""
-    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+    column = batch.column(text)
+    length = pc.binary_length if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pc.utf8_length
+    sizes = pc.fill_null(length(column), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(sizes):
         if size and size + n > chars:

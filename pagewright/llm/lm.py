@@ -1,399 +1,493 @@
 """Language-model scores from a causal self-attention model.
 
 A word is known by the ids of its first and last subword: the longest prefix and suffix that a public vocabulary
-has. The attention model reads these ids of the words before a place and predicts the class of the next word
-(classes are made of first subwords); within its class a word has the share that corpus-wide counts give it:
+has. Every subword has a vector and a class of its own use: over all training texts it is counted after which
+frequent subwords (up to LAGS words back) it stands, and the counts' leading directions give the vectors, their
+clusters the classes. The attention model reads the vectors of the words before a place and predicts the class of
+the next word's first subword; within the class the subword, and within the subword the word, have the shares that
+corpus-wide counts give them (c: the word's count, M: the sum of c + 1 over the words of the class):
 
-    p(word | context) = (1 - base(unknown)) * p(class | context) * base(word) / base(class)
-    base(word) = (c + 1) / (N + V + 1),  base(unknown) = 1 / (N + V + 1)
+    p(word | context) = p(class | context) * (c + 1) / (M + 1)
 
-so that probabilities of all known words and of the unknown word sum to one in every context. Counts cover every training token.
-The weights are trained in numpy: each task trains on its share of the training texts from the same start, and
-weights are averaged. Every training text is trained on, copies as often as they occur. Texts are
-scored in overlapping windows with one masked attention for a batch of windows; every token counts once, with at
-least WINDOW - STRIDE tokens of context where the text has them.
+An unknown word counts as one event of its class with c = 0, so that probabilities sum to one in every context.
+
+The weights are trained in numpy in synchronous rounds. A hash deals the training texts over ROUNDS; in each round
+the tasks sum the gradients over all windows of the round's texts, and one step is made from the sum. Every training
+token is a target once, copies as often as they occur, and the result does not depend on how rows are partitioned.
+Texts are scored in overlapping windows with one masked attention for a batch of windows; every token counts once,
+with at least WINDOW - STRIDE tokens of context where the text has them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import crc_mod
+from pagewright.llm.common import crc_mod, map_rows
 from pagewright.llm.spm import MARK, MODEL_PATH, read_pieces
 from pagewright.session import stored
 
-CLASSES, BUCKETS, DIM = 48, 256, 16
+CLASSES, DIM, BINS, LAGS = 32, 16, 32, 4
 WINDOW, STRIDE = 32, 24
+ROUNDS, RATE = 16, 0.1
+END = CLASSES - 1
 #: Most frequent words that every task holds; the counts of all others are joined.
 HELD_WORDS = 200_000
-#: Distinct words of a training task that are counted before it passes them on; words that a scoring task keeps.
-FLUSH_WORDS, CACHE_WORDS = 300_000, 400_000
-CHUNK_CHARS = 1_500_000
-SHAPES = {"e1": (BUCKETS, DIM), "e2": (BUCKETS, DIM), "pos": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "out": (DIM, CLASSES)}
-
+#: Distinct words of a counting task before it passes them on; words that an encoding task keeps.
+FLUSH_WORDS, CACHE_WORDS = 500_000, 400_000
+#: Tokens of texts, and windows, that are worked on at once: bounds of memory, not of results.
+CHUNK_TOKENS, BATCH = 300_000, 64
+SHAPES = {"pos": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "out": (DIM, CLASSES)}
 
-def start_weights(seed: int = 5) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {k: (rng.standard_normal(s) * (0.3 if k != "out" else 0.1)).astype(np.float32) for k, s in SHAPES.items()}
 
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
-def attend(w: dict, i1: np.ndarray, i2: np.ndarray) -> tuple:
-    """The state at each place of each window, and what it is made of: masked attention over the places up to it.
 
-    The attention weights are not divided by their sums, which are returned beside them.
-    """
-    x = w["e1"][i1]
-    x += w["e2"][i2]
-    x += w["pos"]
-    m, t, d = x.shape
-    qkv = (x.reshape(-1, d) @ w["qkv"]).reshape(m, t, 3 * d)
-    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = np.matmul(q * np.float32(1 / np.sqrt(d)), k.transpose(0, 2, 1))
-    np.clip(a, -30, 30, out=a)
-    np.exp(a, out=a)
-    a *= np.tri(t, dtype=np.float32)
-    sums = a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v)
-    h /= sums
-    h += x
-    return h, (x, q, k, v, a, sums)
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, c over all tokens of docs (text); the empty word is the end of a text."""
 
+    def flushed(counts: Counter) -> pa.RecordBatch:
+        words = pa.array(list(counts), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
-def forward(w: dict, i1: np.ndarray, i2: np.ndarray, bias: np.ndarray) -> tuple:
-    """Log probabilities (natural) of the classes at each place of each window, and what backward() needs."""
-    h, (x, q, k, v, a, sums) = attend(w, i1, i2)
-    a /= sums
-    m, t, d = x.shape
-    z = (h.reshape(-1, d) @ w["out"]).reshape(m, t, -1) + bias
-    z -= z.max(axis=2, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-    return z, (x, q, k, v, a, h)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                counts.update(tokens(t))
+                counts[b""] += 1
+                if len(counts) > FLUSH_WORDS:
+                    yield flushed(counts)
+                    counts = Counter()
+        if counts:
+            yield flushed(counts)
 
+    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-def log_likelihood(w: dict, i1: np.ndarray, i2: np.ndarray, bias: np.ndarray, use: np.ndarray, aim: np.ndarray) -> np.ndarray:
-    """Log probability (natural) of the class `aim` at each used place."""
-    z = attend(w, i1, i2)[0][use] @ w["out"]
-    z += bias
-    np.clip(z, -60, 60, out=z)
-    picked = z[np.arange(len(z)), aim]
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1))
 
-
-def backward(w: dict, kept: tuple, z: np.ndarray, i1: np.ndarray, i2: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
-    """Gradients of the mean negative log probability."""
-    x, q, k, v, a, h = kept
-    m, t, d = x.shape
-    dz = np.exp(z)
-    np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-    dz *= (weight / max(1.0, weight.sum()))[..., None]
-    flat = dz.reshape(-1, dz.shape[2])
-    dh = (flat @ w["out"].T).reshape(m, t, d)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(d))
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], axis=2)
-    dx = dh + (dqkv.reshape(-1, 3 * d) @ w["qkv"].T).reshape(m, t, d)
-    g = {"out": h.reshape(-1, d).T @ flat, "qkv": x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d), "pos": dx.sum(axis=0)}
-    for name, i in (("e1", i1), ("e2", i2)):
-        cells = (i.reshape(-1, 1) * d + np.arange(d)).reshape(-1)
-        g[name] = np.bincount(cells, dx.reshape(-1), w[name].size).reshape(w[name].shape).astype(w[name].dtype)
-    return g
+_SHORT = (3, 2, 1)
 
 
 class Vocabulary:
-    """Subword ids, classes and counts of words; a word new to a task is looked up once."""
-
-    def __init__(self, setup: dict):
-        self.pieces, self.class_of = setup["pieces"], setup["class_of"]
-        self.longest = max(map(len, self.pieces), default=1)
-        self.held: dict[bytes, int] = setup["held"]
-        self.setup = setup
+    """First and last subword and count of words; a word new to a task is looked up once."""
+
+    def __init__(self, pieces: dict[str, int], held: dict[bytes, int]):
+        self.pieces, self.held = pieces, held
+        # lengths to try for a prefix or suffix by its four outer characters, longest first
+        self.heads, self.tails = {}, {}
+        for ends, part in ((self.heads, slice(4)), (self.tails, slice(-4, None))):
+            found: dict[str, set[int]] = {}
+            for p in pieces:
+                if len(p) > 3:
+                    found.setdefault(p[part], {1, 2, 3}).add(len(p))
+            ends.update((k, tuple(sorted(v, reverse=True))) for k, v in found.items())
+        self.clear()
+
+    def clear(self) -> None:
         self.row: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self._parts: list[list[tuple]] = []
-        self.table = np.empty((0, 4), np.int64)
-
-    def _ends(self, word: str) -> tuple[int, int]:
-        marked = MARK + word
-        n = len(marked)
-        first = next((i for k in range(min(n, self.longest), 0, -1) if (i := self.pieces.get(marked[:k])) is not None), 0)
-        last = next((i for k in range(min(n, self.longest), 0, -1) if (i := self.pieces.get(marked[n - k :])) is not None), 0)
-        return first, last
-
-    def first_id(self, word: str) -> int:
-        return self._ends(word)[0]
+        self.table = np.empty((0, 3), np.int64)
+
+    def ends(self, word: str) -> tuple[int, int]:
+        """Ids of the longest prefix and suffix of the marked word that are subwords, or 0."""
+        marked, get = MARK + word, self.pieces.get
+        first = last = None
+        for k in self.heads.get(marked[:4], _SHORT):
+            if (first := get(marked[:k])) is not None:
+                break
+        for k in self.tails.get(marked[-4:], _SHORT):
+            if (last := get(marked[-k:])) is not None:
+                break
+        return first or 0, last or 0
 
     def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word in the table of (bucket of first id, bucket of last id, class, count or -1)."""
+        """Row of each word in the table of (first id, last id, count or -1)."""
         at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return at
-        new = {words[i] for i in missing}
+        new = {words[i] for i in missing.tolist()}
         if len(self.row) + len(new) > CACHE_WORDS:
-            self.row, self.words, self.table = {}, [], np.empty((0, 4), np.int64)
+            self.clear()
             new, missing = set(words), np.arange(len(words))
-        fresh = []
-        for w in sorted(new):
-            first, last = self._ends(w.decode())
-            self.row[w] = len(self.words)
-            self.words.append(w)
-            of = self.class_of.get(first, first % (CLASSES - 1))
-            fresh.append((1 + first % (BUCKETS - 1), 1 + last % (BUCKETS - 1), of, self.held.get(w, -1)))
-        self.table = np.concatenate([self.table, np.array(fresh, np.int64)])
-        at[missing] = [self.row[words[i]] for i in missing]
+        new = list(new)
+        self.row.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words += new
+        fresh = np.empty((len(new), 3), np.int64)
+        fresh[:, :2] = [self.ends(w.decode()) for w in new]
+        fresh[:, 2] = np.fromiter(map(self.held.get, new, repeat(-1)), np.int64, len(new))
+        self.table = np.concatenate([self.table, fresh])
+        again = [words[i] for i in missing.tolist()]
+        at[missing] = np.fromiter(map(self.row.__getitem__, again), np.int64, len(again))
         return at
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts of the given lengths that stand one after another: place of each window's tokens (rows of
-    WINDOW), which of them count, and the text of each window."""
-    n = np.where(lengths <= WINDOW, 1, 1 + -(-(lengths - WINDOW) // STRIDE))
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    local = k[:, None] * STRIDE + np.arange(WINDOW)
-    counts = (local < lengths[text][:, None]) & ((k == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    starts = np.cumsum(lengths) - lengths
-    return starts[text][:, None] + np.minimum(local, lengths[text][:, None] - 1), counts, text
-
-
-def arrange(vocab: Vocabulary, texts: list[list[bytes]]) -> tuple:
-    """Input ids, targets and lengths of texts with a start before and an end after their words."""
-    rows = vocab.rows([w for t in texts for w in t])
-    t = vocab.table[rows]
-    lengths = np.array([len(x) + 1 for x in texts])
-    ends = np.cumsum(lengths) - 1
-    inner = np.ones(lengths.sum(), bool)
-    inner[ends] = False
-    target = np.full(len(inner), CLASSES - 1)
-    target[inner] = t[:, 2]
-    i1, i2 = np.zeros(len(inner), np.int64), np.zeros(len(inner), np.int64)
-    before = np.ones(len(inner), bool)
-    before[ends - lengths + 1] = False
-    i1[before], i2[before] = t[:, 0], t[:, 1]
-    return rows, t, lengths, inner, i1, i2, target
-
-
-def _chunks(texts: list) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > CHUNK_CHARS:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, c over all tokens of docs (text); the empty word is the end of a text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                counts.update(tokens(t))
-                counts[b""] += 1
-                if len(counts) > FLUSH_WORDS:
-                    yield pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())})
-                    counts = Counter()
-        if counts:
-            yield pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())})
-
-    return docs.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def prepare(counts: DataFrame, model_path: str = MODEL_PATH) -> dict:
-    """What tasks need: subwords, classes, base shares of the classes, and the counts of the most frequent words.
+    """Subwords, the mass (sum of c + 1 over the words) of each first subword, and the counts of the most frequent words.
 
     Only sums by subword (as many as the vocabulary has), sums by magnitude and HELD_WORDS words reach the driver.
     """
-    pieces = read_pieces(model_path)["ids"]
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    setup = {"pieces": pieces, "class_of": {}, "held": {}, "n": total["n"] or 0, "v": total["v"] or 0}
-    lookup = Vocabulary(setup)
+    model = read_pieces(model_path)
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == "", F.col("c"))).alias("ends")).first()
+    setup = {"pieces": model["ids"], "size": model["size"], "held": {}, "n": total["n"] or 0, "v": total["v"] or 0, "ends": total["ends"] or 0}
+    lookup = Vocabulary(setup["pieces"], {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(piece=[lookup.first_id(w) for w in b.pop("word")])
-
-    by_piece = counts.filter("word <> ''").mapInPandas(run, "c long, piece int").groupBy("piece")
-    by_piece = by_piece.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
-    top = by_piece.sort_values(["c", "piece"], ascending=[False, True])["piece"].tolist()[: CLASSES * 2 // 3]
-    rest = CLASSES - 1 - len(top)
-    setup["class_of"] = {p: i for i, p in enumerate(top)} | {p: len(top) + p % rest for p in by_piece["piece"].tolist() if p not in set(top)}
-    mass = np.zeros(CLASSES)
-    for p, c, v in by_piece.itertuples(index=False):
-        mass[setup["class_of"][p]] += c + v
-    ends = counts.filter("word = ''").first()
-    mass[-1] = ends["c"] + 1 if ends else 0
-    setup["base"] = setup["n"] + setup["v"] + 1
-    setup["log_class"] = np.log(np.maximum(mass, 1e-12) / setup["base"])
-    size = F.floor(F.log2("c") * 16).cast("int")
+            yield b.assign(piece=[lookup.ends(w)[0] for w in b.pop("word")])
+
+    by_piece = counts.filter("word <> ''").mapInPandas(run, "c long, piece int").groupBy("piece").agg(F.sum(F.col("c") + 1).alias("m")).toPandas()
+    setup["mass"] = np.zeros(model["size"])
+    setup["mass"][by_piece["piece"].to_numpy(np.int64)] = by_piece["m"].to_numpy(np.float64)
+    size = _magnitude()
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(size.alias("size")).count().collect()), reverse=True)
     least, words = None, 0
     for s, n in sizes:
         if words + n > HELD_WORDS:
             break
         least, words = s, words + n
-    setup["least"] = 2**62 if least is None else least
+    setup["least"] = 2**31 - 1 if least is None else least
     if least is not None:
         held = counts.filter(size >= least).toPandas()
         setup["held"] = dict(zip((w.encode() for w in held["word"]), held["c"].tolist()))
     return setup
 
 
-@lru_cache(maxsize=1)
-def _vocabulary(shared) -> Vocabulary:
-    """One table of words for each worker process and broadcast setup; an older setup's table goes."""
-    return Vocabulary(shared.value)
+def _magnitude():
+    return F.floor(F.log2("c") * 16).cast("int")
 
 
-def train(docs: DataFrame, shared, rate: float = 0.02, batch: int = 128) -> dict[str, np.ndarray]:
-    """Averaged weights of the tasks, each weighted by the windows that it learned from. docs: text."""
+def encode(rows: DataFrame, shared) -> DataFrame:
+    """rows with text replaced by what the later steps read, written to the shared folder.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = _vocabulary(shared)
-        bias = shared.value["log_class"].astype(np.float32)
-        w = start_weights()
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-        step = seen = 0
-        for b in batches:
-            texts = b["text"].tolist()
-            for part in _chunks(texts):
-                _, _, lengths, _, i1, i2, target = arrange(vocab, [tokens(t) for t in texts[part]])
-                place, counts, _ = windows(lengths)
-                order = np.random.default_rng(step).permutation(len(place))
-                for s in range(0, len(order), batch):
-                    at = order[s : s + batch]
-                    p = place[at]
-                    z, kept = forward(w, i1[p], i2[p], bias)
-                    step += 1
-                    seen += len(at)
-                    for k, g in backward(w, kept, z, i1[p], i2[p], target[p], counts[at].astype(np.float32)).items():
-                        m, v = moment[k]
-                        m += 0.1 * (g - m)
-                        v += 0.01 * (g * g - v)
-                        w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        if seen:
-            flat = np.concatenate([w[k].reshape(-1) for k in SHAPES]).astype(np.float64)
-            yield pd.DataFrame({"seen": [float(seen)], "w": [flat]})
-
-    each = docs.select("text").mapInPandas(run, "seen double, w array<double>").select("seen", F.posexplode("w").alias("i", "x"))
-    mean = each.groupBy("i").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x"))
-    flat = mean.toPandas().sort_values("i")["x"].to_numpy(np.float32)
-    if not len(flat):
-        return start_weights()
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        out[k] = flat[at : at + np.prod(s)].reshape(s)
+    n_tokens (with the end), n_known and base over the held words and the end, first and last (the words' subword
+    ids, two bytes each), rare and times (distinct words that are not held, and how often they occur).
+    """
+    setup = {k: shared.value[k] for k in ("n", "v", "ends")}
+    log_base = np.log10(setup["n"] + setup["v"] + 1)
+
+    def start():
+        vocab = Vocabulary(shared.value["pieces"], shared.value["held"])
+
+        def work(texts: list) -> dict:
+            split = [tokens(t) for t in texts]
+            at = vocab.rows([w for t in split for w in t])
+            first, last, c = vocab.table[at].T if len(at) else np.empty((3, 0), np.int64)
+            lengths = np.array([len(t) for t in split])
+            of = np.repeat(np.arange(len(split)), lengths)
+            held = c >= 0
+            base = np.bincount(of[held], np.log10(c[held] + 1.0) - log_base, len(split)) + np.log10(setup["ends"] + 1) - log_base
+            known = np.bincount(of[held], minlength=len(split)) + (setup["ends"] > 0)
+            cuts = np.cumsum(lengths)
+            pairs, times = np.unique(of[~held] * 2**32 + at[~held], return_counts=True)
+            spans = np.searchsorted(pairs, np.arange(len(split) + 1) * 2**32).tolist()
+            words = [vocab.words[i].decode() for i in (pairs & (2**32 - 1)).tolist()]
+            times = times.tolist()
+            ids = [[x[e - n : e].tobytes() for e, n in zip(cuts, lengths)] for x in (first.astype("<u2"), last.astype("<u2"))]
+            return {
+                "n_tokens": lengths + 1, "n_known": known, "base": base, "first": ids[0], "last": ids[1],
+                "rare": [words[a:b] for a, b in zip(spans, spans[1:])], "times": [times[a:b] for a, b in zip(spans, spans[1:])],
+            }
+
+        return work
+
+    new = {"n_tokens": "long", "n_known": "long", "base": "double", "first": "binary", "last": "binary", "rare": "array<string>", "times": "array<int>"}
+    made = map_rows(rows, ["text"], new, start).sortWithinPartitions("round")
+    # row groups are small and sorted by round, so that a round reads about its own rows
+    return stored(made, {"parquet.block.size": str(2 << 20)})
+
+
+def _batches(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+    """The named columns as lists, for texts with about CHUNK_TOKENS tokens at a time. The first holds ids."""
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in names]
+        start = size = 0
+        for i, x in enumerate(columns[0]):
+            size += len(x) // 2 + 1
+            if size > CHUNK_TOKENS:
+                yield [c[start : i + 1] for c in columns]
+                start, size = i + 1, 0
+        if start < len(columns[0]):
+            yield [c[start:] for c in columns]
+
+
+def cooccurrences(encoded: DataFrame, bins: np.ndarray, size: int) -> np.ndarray:
+    """How often each subword, as a word's first or last, follows a word that begins with each of the bins' subwords
+    within LAGS words. Tasks pass on one row of sums a subword."""
+    bin_of = np.full(2**16, -1, np.int64)
+    bin_of[bins] = np.arange(len(bins))
+    none = 2**16 - 1
+    gap = np.full(LAGS, none, "<u2").tobytes()
+    names = ["piece", *[f"b{i}" for i in range(BINS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size * BINS, np.int64)
+        for ids in _batches(batches, "first", "last"):
+            first, last = (np.frombuffer(gap.join(x), "<u2").astype(np.int64) for x in ids)
+            near = bin_of[first]
+            for lag in range(1, LAGS + 1):
+                use = (near[:-lag] >= 0) & (first[lag:] != none)
+                for x in (first, last):
+                    sums += np.bincount(x[lag:][use] * BINS + near[:-lag][use], minlength=size * BINS)
+        table = sums.reshape(size, BINS)
+        some = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(table[some, i]) for i in range(BINS)]], names=names)
+
+    shape = "piece long, " + ", ".join(f"b{i} long" for i in range(BINS))
+    found = encoded.select("first", "last").mapInArrow(run, shape).groupBy("piece").agg(*[F.sum(c).alias(c) for c in names[1:]]).toPandas()
+    out = np.zeros((size, BINS))
+    out[found["piece"].to_numpy(np.int64)] = found[names[1:]].to_numpy(np.float64)
+    return out
+
+
+def clusters(x: np.ndarray, mass: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
+    """k-means by mass: the cluster of each row. It starts from the heaviest row and then the ones farthest off by mass."""
+    chosen = [int(np.argmax(mass))]
+    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        chosen.append(int(np.argmax(far * mass)))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    centres = x[chosen]
+    for _ in range(rounds):
+        of = np.argmin((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1)
+        weight = np.bincount(of, mass, k)
+        sums = np.stack([np.bincount(of, x[:, j] * mass, k) for j in range(x.shape[1])], axis=1)
+        centres = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1e-300)[:, None], centres)
+    return of
+
+
+def subword_model(cooc: np.ndarray, setup: dict) -> dict:
+    """Vector and class of each subword, and the base log probability of each class.
+
+    Rows of vec and classes behind the subwords: `size` stands for the start of a text (input), size + 1 for its end (target).
+    """
+    mass, size = setup["mass"], setup["size"]
+    total = cooc.sum(axis=1, keepdims=True)
+    mean = cooc.sum(axis=0) / max(1.0, cooc.sum())
+    x = np.sqrt((cooc + 20 * mean) / (total + 20)) - np.sqrt(mean)
+    # directions with a fixed sign, so that equal counts give equal vectors
+    _, _, axes = np.linalg.svd((x * mass[:, None]).T @ x)
+    axes = axes[:DIM] * np.sign(axes[:DIM][np.arange(DIM), np.abs(axes[:DIM]).argmax(axis=1)])[:, None]
+    vec = x @ axes.T
+    vec /= np.sqrt(max(1e-12, ((vec**2).sum(axis=1) * mass).sum() / max(1.0, mass.sum())))
+    of = clusters(x, mass, CLASSES - 1)
+    by_class = np.append(np.bincount(of, mass, CLASSES - 1) + 1, setup["ends"] + 1)
+    centres = np.zeros((CLASSES, DIM))
+    for j in range(DIM):
+        centres[:-1, j] = np.bincount(of, vec[:, j] * mass, CLASSES - 1) / by_class[:-1]
+    return {
+        "vec": np.concatenate([vec, np.zeros((2, DIM))]).astype(np.float32),
+        "class_of": np.append(of, [END, END]).astype(np.uint8),
+        "log_class": np.log(by_class / (setup["n"] + setup["v"] + 1)),
+        "centres": centres,
+        "size": size,
+    }
+
+
+def start_weights(centres: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    """Attention that reads all places nearly alike, and classes that look for their own centre."""
+    rng = np.random.default_rng(seed)
+    qkv = rng.standard_normal(SHAPES["qkv"]) * 0.1
+    qkv[:, 2 * DIM :] += np.eye(DIM)
+    return {"pos": np.zeros(SHAPES["pos"]), "qkv": qkv, "out": 0.3 * centres.T}
+
+
+def single(w: dict) -> dict:
+    return {k: v.astype(np.float32) for k, v in w.items()}
+
+
+_LOWER = np.tri(WINDOW, dtype=np.float32)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays; a product with ones is faster than sum() for short rows."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
+
+
+def attend(w: dict, x: np.ndarray) -> tuple:
+    """The state at each place of each window, and what it is made of: masked attention over the places up to it."""
+    x = x + w["pos"]
+    m, t, d = x.shape
+    qkv = (x.reshape(-1, d) @ w["qkv"]).reshape(m, t, 3 * d)
+    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+    a = np.matmul(q * x.dtype.type(1 / np.sqrt(d)), k.transpose(0, 2, 1))
+    np.clip(a, -30, 30, out=a)
+    np.exp(a, out=a)
+    a *= _LOWER
+    a /= _sums(a)
+    h = np.matmul(a, v)
+    h += x
+    return h, (x, q, k, v, a)
+
+
+def probabilities(w: dict, h: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of the classes, for rows of states."""
+    z = h @ w["out"]
+    z += bias
+    np.clip(z, -60, 60, out=z)
+    np.exp(z, out=z)
+    z /= _sums(z)
+    return z
+
+
+def gradients(w: dict, x: np.ndarray, target: np.ndarray, use: np.ndarray, bias: np.ndarray) -> dict:
+    """Gradients of the sum of negative log probabilities (natural) of the target classes at the used places."""
+    h, (x, q, k, v, a) = attend(w, x)
+    m, t, d = x.shape
+    flat = probabilities(w, h.reshape(-1, d), bias)
+    flat[np.arange(len(flat)), target.reshape(-1)] -= 1
+    flat *= use.reshape(-1, 1)
+    dh = (flat @ w["out"].T).reshape(m, t, d)
+    da = np.matmul(dh, v.transpose(0, 2, 1))
+    dv = np.matmul(a.transpose(0, 2, 1), dh)
+    da -= _sums(da * a)
+    ds = np.multiply(da, a, out=da)
+    ds *= x.dtype.type(1 / np.sqrt(d))
+    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], axis=2).reshape(-1, 3 * d)
+    dx = dh + (dqkv @ w["qkv"].T).reshape(m, t, d)
+    return {"pos": dx.sum(axis=0), "qkv": x.reshape(-1, d).T @ dqkv, "out": h.reshape(-1, d).T @ flat}
+
+
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts of the given lengths that stand one after another: place of each window's tokens (rows of
+    WINDOW), which of them count, and the text of each window."""
+    n = np.where(lengths <= WINDOW, 1, 1 + -(-(lengths - WINDOW) // stride))
+    text = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    local = k[:, None] * stride + np.arange(WINDOW)
+    counts = (local < lengths[text][:, None]) & ((k == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - stride))
+    starts = np.cumsum(lengths) - lengths
+    return starts[text][:, None] + np.minimum(local, lengths[text][:, None] - 1), counts, text
+
+
+def arrange(model: dict, firsts: list[bytes], lasts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, input ids and target classes of texts with a start before and an end after their words."""
+    start, end = (np.array([model["size"] + i], "<u2").tobytes() for i in (0, 1))
+    lengths = np.array([len(f) // 2 + 1 for f in firsts])
+    i1, i2 = (np.frombuffer(b"".join(start + x for x in ids), "<u2") for ids in (firsts, lasts))
+    target = model["class_of"][np.frombuffer(b"".join(x + end for x in firsts), "<u2")]
+    return lengths, i1, i2, target
+
+
+def train(encoded: DataFrame, model: dict) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS steps. encoded: training rows (round, first, last). Sums of gradients reach the driver."""
+    bias = (model["log_class"] - np.log(np.exp(model["log_class"]).sum())).astype(np.float32)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    w = start_weights(model["centres"])
+    moment = {k: (np.zeros(s), np.zeros(s)) for k, s in SHAPES.items()}
+    for step in range(1, ROUNDS + 1):
+        total = _summed(encoded.filter(F.col("round") == step - 1), shared, single(w), bias)
+        if not total["n"]:
+            continue
+        for k, g in total["g"].items():
+            m, v = moment[k]
+            g = g / total["n"]
+            m += 0.2 * (g - m)
+            v += 0.05 * (g * g - v)
+            w[k] = w[k] - RATE * (1 - (step - 1) / ROUNDS) * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-6)
+    return w
+
+
+def _summed(rows: DataFrame, shared, w: dict, bias: np.ndarray) -> dict:
+    """Number of targets and summed gradients over all windows of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        sums, n = {k: np.zeros(s) for k, s in SHAPES.items()}, 0
+        for ids in _batches(batches, "first", "last"):
+            lengths, i1, i2, target = arrange(model, *ids)
+            place, counts, _ = windows(lengths, WINDOW)
+            for s in range(0, len(place), BATCH):
+                p, use = place[s : s + BATCH], counts[s : s + BATCH]
+                x = model["vec"][i1[p]]
+                x += model["vec"][i2[p]]
+                for k, g in gradients(w, x, target[p], use.astype(np.float32), bias).items():
+                    sums[k] += g
+                n += int(use.sum())
+        if n:
+            flat = np.concatenate([[n], *[sums[k].reshape(-1) for k in SHAPES]])
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["g"])
+
+    each = rows.select("first", "last").mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("i", "x"))
+    flat = each.groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy(np.float64)
+    out, at = {"n": flat[0] if len(flat) else 0, "g": {}}, 1
+    for k, s in SHAPES.items() if len(flat) else ():
+        out["g"][k] = flat[at : at + np.prod(s)].reshape(s)
         at += np.prod(s)
     return out
 
 
-def score_chunk(vocab: Vocabulary, w: dict, texts: list[list[bytes]]) -> dict:
-    """For each text: tokens, known tokens, base and model score over words whose count the task holds, and the
-    other words (text, row of the vocabulary, times, gain of the model over the base)."""
-    setup = vocab.setup
-    rows, t, lengths, inner, i1, i2, target = arrange(vocab, texts)
-    bias = setup["log_class"].astype(np.float32)
+def gains(model: dict, w: dict, firsts: list[bytes], lasts: list[bytes]) -> np.ndarray:
+    """For each text the log10 of the model's probability over the base's."""
+    lengths, i1, i2, target = arrange(model, firsts, lasts)
+    log_class = model["log_class"]
+    bias = (log_class - np.log(np.exp(log_class).sum())).astype(np.float32)
     place, counts, _ = windows(lengths)
     gain = np.zeros(len(i1))
-    for s in range(0, len(place), 512):
-        p, use = place[s : s + 512], counts[s : s + 512]
+    for s in range(0, len(place), BATCH):
+        p, use = place[s : s + BATCH], counts[s : s + BATCH]
+        x = model["vec"][i1[p]]
+        x += model["vec"][i2[p]]
         at = p[use]
-        aim = target[at]
-        gain[at] = log_likelihood(w, i1[p], i2[p], bias, use, aim) - setup["log_class"][aim]
-    gain = gain / np.log(10) + np.log10(max(1e-12, 1 - 1 / setup["base"]))
-    of = np.repeat(np.arange(len(texts)), lengths)[inner]
-    c = t[:, 3]
-    held = c >= 0
-    summed = np.bincount(of[held], gain[inner][held], len(texts)).astype(float) + (gain[~inner] if setup["ends"] else 0)
-    log_base = np.log10(setup["base"])
-    base = np.bincount(of[held], np.log10(c[held] + 1) - log_base, len(texts)).astype(float)
-    ends = setup["ends"]
-    base += np.log10(ends + 1) - log_base
-    known = np.bincount(of[held], minlength=len(texts)) + (ends > 0)
-    pairs, at, times = np.unique(of[~held] * 2**32 + rows[~held], return_inverse=True, return_counts=True)
-    other_gain = np.bincount(at, gain[inner][~held], len(pairs))
-    return {
-        "n_tokens": lengths, "n_known": known, "base": base, "gain": summed,
-        "other": (pairs >> 32, pairs & (2**32 - 1), times, other_gain),
-    }
+        picked = probabilities(w, attend(w, x)[0][use], bias)[np.arange(len(at)), target[at]]
+        gain[at] = np.log(np.maximum(picked, 1e-30)) - log_class[target[at]]
+    return np.add.reduceat(gain, np.cumsum(lengths) - lengths) / np.log(10)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    Null texts are empty: one token, the end. Rows with a null id are training rows. Rarer words than the held ones
-    are joined with their counts, each text's distinct words once.
+    Null texts are empty: one token, the end. Rows with a null id are training rows. Repeated rows are trained on and
+    scored one by one. Without a training row the score is the base's. An empty table gives an empty result; other
+    columns are ignored. Rarer words than the held ones are joined with their counts, each text's distinct words once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    training = rows.filter(crc_mod(F.col("doc_id"), 7) != 2)
-    counts = stored(count_words(training))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    training = crc_mod(F.col("doc_id"), 7) != 2
+    counts = stored(count_words(rows.filter(training)))
     setup = prepare(counts, model_path)
-    ends = counts.filter("word = ''").first()
-    setup["ends"] = ends["c"] if ends else 0
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(setup)
-    weights = train(training, shared)
-    shared_weights = sc.broadcast(weights)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = _vocabulary(shared)
-        for b in batches:
-            texts = b["text"].tolist()
-            rid, ids = b["rid"].to_numpy(), b["doc_id"]
-            for part in _chunks(texts):
-                s = score_chunk(vocab, shared_weights.value, [tokens(t) for t in texts[part]])
-                own = rid[part]
-                yield pd.DataFrame(
-                    {
-                        "rid": own, "doc_id": ids.iloc[part].astype("Int64"), "word": [f" {r}" for r in own], "times": 0,
-                        "n_tokens": s["n_tokens"], "n_known": s["n_known"], "base": s["base"], "gain": s["gain"],
-                    }
-                )
-                text, row, times, gain = s["other"]
-                if not len(text):
-                    continue
-                yield pd.DataFrame(
-                    {
-                        "rid": own[text], "doc_id": pd.array([None] * len(text), "Int64"), "word": [vocab.words[r].decode() for r in row],
-                        "times": times, "n_tokens": 0, "n_known": 0, "base": 0.0, "gain": gain,
-                    }
-                )
-
-    shape = "rid long, doc_id long, word string, times long, n_tokens long, n_known long, base double, gain double"
-    long_rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text").mapInPandas(run, shape)
-    rare = counts.filter(F.floor(F.log2("c") * 16).cast("int") < setup["least"]).filter("word <> ''")
-    joined = long_rows.join(rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log_base = float(np.log10(setup["base"]))
-    summed = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * (F.log10(F.col("c") + 1) - log_base)).alias("base_score"),
-        F.sum(F.when((F.col("times") == 0) | (F.col("c") > 0), F.col("gain")).otherwise(0.0)).alias("gain"),
+    shared = docs.sparkSession.sparkContext.broadcast(setup)
+    # the round that a training text belongs to; none for others
+    dealt = F.when(training, F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")).alias("round")
+    encoded = encode(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", dealt), shared)
+    learned = {}
+    if setup["n"]:
+        used = encoded.filter("round is not null")
+        bins = np.argsort(-setup["mass"], kind="stable")[:BINS]
+        model = subword_model(cooccurrences(used, bins, setup["size"]), setup)
+        learned = {"model": model, "w": single(train(used, model))}
+    learned = docs.sparkSession.sparkContext.broadcast(learned)
+
+    def start():
+        known = learned.value
+        if not known:
+            return lambda firsts, lasts: {"gain": np.zeros(len(firsts))}
+        return lambda firsts, lasts: {"gain": gains(known["model"], known["w"], firsts, lasts)}
+
+    kept = encoded.select("rid", "doc_id", "n_tokens", "n_known", "base", "first", "last")
+    scored = map_rows(kept, ["first", "last"], {"gain": "double"}, start)
+    rare = counts.filter(_magnitude() < setup["least"]).filter("word <> ''")
+    words = encoded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    log_base = float(np.log10(setup["n"] + setup["v"] + 1))
+    joined = words.join(rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    others = joined.groupBy("rid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also_known"),
+        F.sum(F.col("times") * (F.log10(F.col("c") + 1) - log_base)).alias("also_base"),
     )
-    return summed.select(
+    base = F.col("base") + F.coalesce("also_base", F.lit(0.0))
+    return scored.join(others, "rid", "left").select(
         "doc_id",
         (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"),
         "n_tokens",
-        "n_known",
+        (F.col("n_known") + F.coalesce("also_known", F.lit(0))).alias("n_known"),
         F.lit(setup["n"]).cast("long").alias("train_tokens"),
-        "base_score",
-        (F.col("base_score") + F.col("gain")).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("gain")).alias("score"),
     )

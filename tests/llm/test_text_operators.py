@@ -223,48 +223,117 @@ def test_scores(spark, sf_dir, monkeypatch):
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert lm.score_texts(docs.limit(0)).collect() == []
+    alone = lm.score_texts(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)).collect()
+    assert alone and all(r.held_out and not r.n_known and r.score == r.base_score == 0 for r in alone)
+
+
+def test_score_edges(edge, none):
+    rows = lm.score_texts(edge).collect()
+    assert len(rows) == edge.count() and lm.score_texts(none).collect() == []
+    assert {r.n_tokens for r in rows if r.doc_id in (2, 3, 4)} == {1}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
 
 
 def test_weights_learn_from_every_training_text(spark, monkeypatch):
     docs = [(i, f"text {i % 40} of some words") for i in range(200)] + [(None, "no id"), (500, None)]
-    seen, train = [], lm.train
-    monkeypatch.setattr(lm, "train", lambda rows, *rest: seen.extend(r.text for r in rows.collect()) or train(rows, *rest))
+    seen, summed = [], lm._summed
+    monkeypatch.setattr(lm, "_summed", lambda rows, *rest: seen.append((rows.count(), summed(rows, *rest))) or seen[-1][1])
     assert lm.score_texts(frame(spark, docs)).count() == len(docs)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
-    assert Counter(seen) == Counter(t for d, t in docs if not held(d))
+    used = [t for d, t in docs if not held(d)]
+    assert len(seen) == lm.ROUNDS and sum(n for n, _ in seen) == len(used)
+    assert sum(s["n"] for _, s in seen) == sum(len(lm.tokens(t)) + 1 for t in used)
 
 
-def test_attention_gradients_and_causality():
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    few, many = ({r.doc_id: r for r in lm.score_texts(docs.repartition(n)).collect()} for n in (2, 32))
+    assert all(few[d].score == pytest.approx(many[d].score, rel=1e-6) for d in few)
+    held = [r for r in few.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """The score of each text, word by word and without windows in common, from the same weights."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("the of and der die und la que with mit of".split()) for _ in range(rng.choice([0, 1, 5, 40, 90])))) for i in range(80)]
+    docs += [(80, "unseen wordsx the Of"), (81, None)]
+    kept, train, subword_model = {}, lm.train, lm.subword_model
+    monkeypatch.setattr(lm, "subword_model", lambda *a: kept.setdefault("model", subword_model(*a)))
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("w", train(*a)))
+    rows = {r.doc_id: r for r in lm.score_texts(frame(spark, docs)).collect()}
+    model, w = kept["model"], kept["w"]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(t for d, text in docs if not held(d) for t in [*lm.tokens(text), b""])
+    vocab = lm.Vocabulary(lm.read_pieces()["ids"], {})
+    first = lambda t: vocab.ends(t.decode())[0]
+    mass = Counter()
+    for t, c in counts.items():
+        mass[lm.END if not t else int(model["class_of"][first(t)])] += c + 1
+
+    def log_p(text):
+        seq, total = [*lm.tokens(text), b""], 0.0
+        for i, t in enumerate(seq):
+            k = 0 if i < lm.WINDOW else 1 + (i - lm.WINDOW) // lm.STRIDE
+            start = k * lm.STRIDE
+            inputs = [None, *seq[:-1]][start : i + 1]
+            x = np.array([w["pos"][j] + (0 if u is None else sum(model["vec"][e] for e in vocab.ends(u.decode()))) for j, u in enumerate(inputs)])
+            q, keys, v = np.split(x @ w["qkv"], 3, axis=1)
+            a = np.exp(np.clip(keys @ q[-1] / np.sqrt(lm.DIM), -30, 30))
+            h = (a / a.sum()) @ v + x[-1]
+            prior = np.array([mass[c] + (c != lm.END) for c in range(lm.CLASSES)], float)
+            z = np.exp(h @ w["out"]) * prior / prior.sum()
+            c = lm.END if not t else int(model["class_of"][first(t)])
+            total += math.log10(z[c] / z.sum() * (counts[t] + 1) / prior[c])
+        return total
+
+    for d, text in docs:
+        assert rows[d].score == pytest.approx(log_p(text), rel=1e-4), d
+
+
+def test_first_and_last_subwords_are_the_longest():
+    pieces = spm.read_pieces()["ids"]
+    vocab, rng = lm.Vocabulary(pieces, {}), random.Random(3)
+    for word in ["".join(rng.choice("thenrétion'x漢") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + ["the", "t", "😀"]:
+        marked = spm.MARK + word
+        first = next((pieces[marked[:k]] for k in range(len(marked), 0, -1) if marked[:k] in pieces), 0)
+        last = next((pieces[marked[-k:]] for k in range(len(marked), 0, -1) if marked[-k:] in pieces), 0)
+        assert vocab.ends(word) == (first, last), word
+
+
+def test_attention_gradients_and_causality(monkeypatch):
     rng = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) for k, v in lm.start_weights().items()}
-    i1, i2 = rng.integers(0, lm.BUCKETS, (2, 3, lm.WINDOW))
-    target, weight = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW))
-    bias = np.zeros(lm.CLASSES)
+    w = lm.start_weights(rng.standard_normal((lm.CLASSES, lm.DIM)))
+    w["pos"] = rng.standard_normal(w["pos"].shape) * 0.1
+    x = rng.standard_normal((3, lm.WINDOW, lm.DIM))
+    target, use = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW))
+    bias = rng.standard_normal(lm.CLASSES)
+    monkeypatch.setattr(lm, "_LOWER", lm._LOWER.astype(np.float64))
 
     def loss():
-        z, _ = lm.forward(w, i1, i2, bias)
-        return -(np.take_along_axis(z, target[..., None], 2)[..., 0] * weight).sum() / weight.sum()
+        p = lm.probabilities(w, lm.attend(w, x)[0].reshape(-1, lm.DIM), bias)
+        return -(np.log(p[np.arange(len(p)), target.reshape(-1)]) * use.reshape(-1)).sum()
 
-    z, kept = lm.forward(w, i1, i2, bias)
-    g = lm.backward(w, kept, z, i1, i2, target, weight)
+    g = lm.gradients(w, x, target, use, bias)
     for k in w:
-        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
-        w[k][at] += 1e-5
-        high = loss()
-        w[k][at] -= 2e-5
-        low = loss()
-        w[k][at] += 1e-5
-        assert (high - low) / 2e-5 == pytest.approx(g[k][at], rel=1e-2, abs=1e-7), k
-    later = i1.copy()
+        for at in [np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape), (1, 1)]:
+            w[k][at] += 1e-5
+            high = loss()
+            w[k][at] -= 2e-5
+            low = loss()
+            w[k][at] += 1e-5
+            assert (high - low) / 2e-5 == pytest.approx(g[k][at], rel=1e-4, abs=1e-6), k
+    later = x.copy()
     later[:, 20:] = 3
-    assert np.allclose(lm.forward(w, later, i2, bias)[0][:, :20], z[:, :20])
+    assert np.allclose(lm.attend(w, later)[0][:, :20], lm.attend(w, x)[0][:, :20])
 
 
 def test_every_token_counts_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 200])
-    place, counts, text = lm.windows(lengths)
-    seen = np.bincount(place[counts], minlength=lengths.sum())
-    assert (seen == 1).all() and len(text) == len(place)
+    for stride in (lm.STRIDE, lm.WINDOW):
+        place, counts, text = lm.windows(lengths, stride)
+        seen = np.bincount(place[counts], minlength=lengths.sum())
+        assert (seen == 1).all() and len(text) == len(place)
 
 
 TEXTS = ["", "  a   b", " xﬁ \t\r\n", "漢字 かな 😀 \x00", "    ", "aaaaaaaaaaaa" * 20, "١٢٣ Привет мир", "foo" + " " * 50 + "bar", "The quick brown fox. " * 300]
