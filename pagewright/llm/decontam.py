@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import ascii_lower, row_key
-from pagewright.session import cut
+from pagewright.session import cut, stored
 
 SPAN = 13
 GRAM = 6
+#: Fingerprints of the items that every task may hold; with more of them they are joined.
+HELD_PRINTS = 20_000
 #: Fixed separator: every ASCII character that is neither a letter nor a digit.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -118,28 +120,35 @@ def contamination_hits(
         # of an item's own hashes only the one over all its words counts
         short = short.filter(F.col("x") == _whole_hash(lengths))
         postings = postings.unionByName(short)
-    postings = cut(postings)
+    keys = ["x", "il", "im", "ir", "need"]
+    postings = cut(postings.groupBy(*keys).agg(F.collect_set("item").alias("items")))
     wanted = postings.select("x").distinct()
+    few = [r[0] for r in wanted.limit(HELD_PRINTS + 1).collect()]
 
     keyed = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
-    spread = keyed.select("k1", "k2", words_of(F.col("text")).alias("w"))
-    spread = spread.select("k1", "k2", "w", _gram_hashes("w", gram).alias("g"))
     prints = F.array_distinct(_minima("g", run))
     if lengths:
         prints = F.array_distinct(F.concat(prints, _short_hashes("w", lengths)))
-    shared = (
-        spread.select("k1", "k2", F.explode(prints).alias("x"))
-        .join(wanted, "x", "left_semi")
-        .groupBy("k1", "k2")
-        .agg(F.collect_set("x").alias("xs"))
-    )
-    shared = cut(shared)
 
+    def grams(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("k1", "k2", *more, words_of(F.col("text")).alias("w"))
+        return rows.select("k1", "k2", *more, "w", _gram_hashes("w", gram).alias("g"))
+
+    if len(few) <= HELD_PRINTS:
+        # every task looks the items' fingerprints up where it reads a text; no text moves
+        known = lambda x: x.isin(few)
+        again, some = grams(keyed), F.exists(prints, known)
+    else:
+        spread = grams(keyed).select("k1", "k2", F.explode(prints).alias("x"))
+        shared = spread.join(wanted, "x", "left_semi").groupBy("k1", "k2").agg(F.collect_set("x").alias("xs"))
+        has = F.map_from_arrays("xs", F.transform("xs", lambda x: F.lit(True)))
+        shared = stored(shared.select("k1", "k2", has.alias("has")))
+        known = lambda x: F.coalesce(F.col("has")[x], F.lit(False))
+        again, some = grams(keyed.join(shared, ["k1", "k2"]), "has"), F.lit(True)
 
-    again = keyed.join(shared, ["k1", "k2"]).select("k1", "k2", "xs", words_of(F.col("text")).alias("w"))
-    again = again.select("k1", "k2", "xs", "w", _gram_hashes("w", gram).alias("g"))
     sites = F.concat(_sites(F.col("g"), gram), *[_sites(_run_hashes("w", m), m) for m in lengths])
-    sites = F.filter(sites, lambda s: F.array_contains(F.col("xs"), s["x"]))
+    # not a filter of rows: pushed down, it would compute the hashes anew for each place
+    sites = F.filter(F.when(some, sites), lambda s: known(s["x"]))
     around = F.transform(
         sites,
         lambda s: F.struct(
@@ -150,16 +159,17 @@ def contamination_hits(
             F.slice(w, s["i"] + s["m"] + 1, F.lit(side)).alias("dr"),
         ),
     )
+    # equal sites of a text, and equal postings of the items, meet once
     hits = again.select("k1", "k2", F.explode(around).alias("d")).select("k1", "k2", "d.*")
+    hits = hits.groupBy("k1", "k2", "x", "dl", "dm", "dr").agg(F.collect_set("i").alias("at"))
     met = hits.join(postings, "x").filter(F.col("dm") == F.col("im"))
     met = met.withColumn("l", _agree("dl", "il")).withColumn("r", _agree("dr", "ir"))
     met = met.filter(F.col("l") + F.size("im") + F.col("r") >= F.col("need"))
-    ranges = met.select(
-        "k1", "k2", "item", (F.col("i") - F.col("l")).alias("start"), (F.col("i") + F.size("im") + F.col("r")).alias("end")
-    )
+    met = met.groupBy("k1", "k2", "at", "l", (F.size("im") + F.col("r")).alias("after")).agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    ranges = met.select("k1", "k2", "items", F.transform("at", lambda i: F.struct((i - F.col("l")).alias("start"), (i + F.col("after")).alias("end"))).alias("hits"))
     return ranges.groupBy("k1", "k2").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("hits"),
-        F.sort_array(F.collect_set("item")).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
 

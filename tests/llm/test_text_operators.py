@@ -22,7 +22,9 @@ def as_set(rows):
     return sorted(map(tuple, rows), key=repr)
 
 
-def test_contamination_of_long_and_short_items(spark):
+@pytest.mark.parametrize("held", [20_000, 3])
+def test_contamination_of_long_and_short_items(spark, monkeypatch, held):
+    monkeypatch.setattr(decontam, "HELD_PRINTS", held)
     rng = random.Random(3)
     vocab = "aa bb cc dd ee Éa".split()
     text = lambda i, n: " , ".join(rng.choice(vocab[: 3 + i % 4]) for _ in range(n))
@@ -44,6 +46,13 @@ def test_every_shared_span_is_found(spark):
     assert [r.doc_id for r in kept.collect()] == [99, 99]
 
 
+def test_repeated_words_do_not_multiply(spark):
+    docs = [(1, "ha " * 3000 + "end"), (2, "ha " * 12), (3, "x " + "ha " * 13 + "y")]
+    items = [(1, "ha " * 600), (2, "ha " * 600), (3, "q " + "ha " * 13)]
+    got = decontam.contamination_report(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    assert as_set(got.collect()) == as_set(brute.contamination(docs, items))
+
+
 def test_contamination_edges(spark, edge, none):
     items = frame(spark, [(1, "ipsum dolor sit amet"), (2, "no id here")], "item_id long, text string")
     rows = [(r.doc_id, r.text) for r in edge.collect()]
