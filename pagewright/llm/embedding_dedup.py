@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.llm.components import connected_components
 from pagewright.session import cut
@@ -56,6 +57,14 @@ def _usable(v) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
+
+
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """node (the least vec_id of equal vectors), label, vector, weight. Equal vectors are one node."""
     equal = rows.filter(F.col("label").isNotNull() & F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
@@ -63,7 +72,9 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
 
 
 def hashed(nodes: DataFrame) -> DataFrame:
-    """node, label, dim, weight, the unit vector, and its bucket in each table (packed and as an array)."""
+    """node, label, dim, weight, the vector (packed as it is, in 4 or 8 bytes a number), and its bucket in each table
+    (packed and as an array)."""
+    width = "<f4" if nodes.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,54 +90,59 @@ def hashed(nodes: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "node": rows["node"], "label": rows["label"], "dim": dim, "weight": rows["weight"],
-                        "unit": [v.tobytes() for v in x], "keys": [k.tobytes() for k in keys],
+                        "raw": [np.asarray(v, width).tobytes() for v in rows["vector"]], "keys": [k.tobytes() for k in keys],
                         "by_table": [k.tolist() for k in keys],
                     }
                 )
 
-    shape = "node long, label string, dim int, weight long, unit binary, keys binary, by_table array<int>"
+    shape = "node long, label string, dim int, weight long, raw binary, keys binary, by_table array<int>"
     return nodes.select("node", F.col("label").cast("string").alias("label"), "vector", "weight").mapInPandas(run, shape)
 
 
 def _compare(a: dict, b: dict | None, table: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links that the rows of a, and those of b, have in this table first, and links with the same components."""
     other = a if b is None else b
-    sims = a["unit"] @ other["unit"].T
-    rows, cols = np.nonzero(sims >= cosine)
+    linked = a["unit"] @ other["unit"].T >= cosine
     if b is None:
-        keep = rows < cols
-        rows, cols = rows[keep], cols[keep]
-    if table and len(rows):
-        fresh = np.concatenate(
-            [
-                ~(a["keys"][rows[i : i + 65536], :table] == other["keys"][cols[i : i + 65536], :table]).any(axis=1)
-                for i in range(0, len(rows), 65536)
-            ]
-        )
-        rows, cols = rows[fresh], cols[fresh]
-    na = np.bincount(rows, other["weight"][cols], len(a["node"])).astype(np.int64)
-    nb = np.bincount(cols, a["weight"][rows], len(other["node"])).astype(np.int64)
-    links = np.stack([a["node"][rows], other["node"][cols]])
-    return na, nb, _forest(links)
-
-
-def _forest(links: np.ndarray) -> np.ndarray:
-    """At most n-1 of the links, with the same components."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for i, (u, v) in enumerate(links.T.tolist()):
-        u, v = find(u), find(v)
-        if u != v:
-            parent[u] = v
-            keep.append(i)
-    return links[:, keep]
+        linked &= ~np.tri(len(linked), dtype=bool)
+    pairs = np.count_nonzero(linked)
+    if table and pairs > 4 * sum(linked.shape):  # dense: table by table over the whole matrix
+        for t in range(table):
+            linked &= a["keys"][:, t, None] != other["keys"][None, :, t]
+    elif table and pairs:
+        rows, cols = np.nonzero(linked)
+        met = (a["keys"][rows, :table] == other["keys"][cols, :table]).any(axis=1)
+        linked[rows[met], cols[met]] = False
+    na = (linked @ other["weight"].astype(np.float64)).astype(np.int64)
+    nb = (a["weight"].astype(np.float64) @ linked).astype(np.int64)
+    if b is None:
+        linked |= linked.T
+    rows, cols = _forest(linked, b is None)
+    return na, nb, np.stack([a["node"][rows], other["node"][cols]])
+
+
+def _forest(linked: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) with the same components, at most one a row and column. own: rows and columns are the same nodes.
+
+    A breadth-first search by rows of the matrix: each node is left once, whatever its number of links.
+    """
+    rows_left = linked.any(axis=1)
+    cols_left = rows_left if own else linked.any(axis=0)
+    out = []
+    for first in np.flatnonzero(rows_left):
+        if not rows_left[first]:
+            continue
+        rows_left[first] = False
+        todo = [(True, first)]
+        while todo:
+            is_row, i = todo.pop()
+            new = np.flatnonzero(linked[i] & cols_left) if is_row else np.flatnonzero(linked[:, i] & rows_left)
+            (cols_left if is_row else rows_left)[new] = False
+            if len(new):
+                ends = np.full(len(new), i), new
+                out.append(ends if is_row else ends[::-1])
+                todo += [(own or not is_row, j) for j in new]
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def bucket_links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -146,20 +162,20 @@ def bucket_links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     paired = own.withColumn("other", partner).select(
         *keys, "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    paired = paired.join(rows.select("node", "weight", "unit", "keys"), "node")
+    paired = paired.join(rows.select("node", "weight", "raw", "keys"), "node")
     group = [*keys, "lo", "hi"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("node", "weight", "unit", "keys", "block")
+        names = ("node", "weight", "raw", "keys", "block")
         open_key, parts = None, []
 
         def close(out: list) -> None:
             size = sum(len(p[0]) for p in parts)
             if size < 2:
                 return
-            node, weight, unit, keys_, block = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
-            _, _, table, _, lo, hi = open_key
-            x = np.frombuffer(b"".join(unit), dtype=np.float64).reshape(size, -1)
+            node, weight, raw, keys_, block = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
+            _, dim, table, _, lo, hi = open_key
+            x = _units(np.frombuffer(b"".join(raw), "<f4" if len(raw[0]) == 4 * dim else "<f8").reshape(size, -1))
             if lo == hi and size <= 64 and np.count_nonzero(x @ x.T >= cosine) <= size:
                 return
             k = np.frombuffer(b"".join(keys_), dtype=np.int32).reshape(size, -1)
@@ -210,8 +226,9 @@ def dedup_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     vectors of different lengths. A row with a null id has no links and a null component. Repeated ids count as
     rows of their own.
     """
+    shape = "array<float>" if getattr(vectors.schema[vector_col].dataType, "elementType", None) == T.FloatType() else "array<double>"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(shape).alias("vector")
     )
     nodes = cut(distinct_vectors(rows))
     found = cut(bucket_links(cut(hashed(nodes)), cosine))
