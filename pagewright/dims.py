@@ -13,26 +13,32 @@ LATIN = (
 ).split()
 SUPPORTED = [*LATIN, *CYRILLIC, *CJK, *KOREAN]
 
-#: Spellings of each two-letter code, besides the code itself.
-SPELLINGS = {
-    "be": "bel", "ca": "cat", "cs": "ces cze", "de": "deu ger german", "nl": "dut nld", "en": "eng", "et": "est",
-    "eu": "eus baq", "fi": "fin", "fr": "fra fre french", "gl": "glg", "hr": "hrv", "hu": "hun", "id": "ind", "is": "isl ice",
-    "it": "ita", "ja": "jpn", "ko": "kor korean", "lv": "lav", "lt": "lit", "no": "nno nob nor", "pl": "pol", "pt": "por",
-    "ro": "ron rum", "ru": "rus", "sk": "slk slo", "sl": "slv", "es": "spa", "sr-latn": "sr-latn rs-latin", "sv": "swe",
-    "tr": "tur", "uk": "ukr", "vi": "vie", "zh": "chi-sim chi-sim-vert zho",
+#: Spellings and the two-letter codes that they stand for.
+ALIAS = {
+    "bel": "be", "cat": "ca", "ces": "cs", "cze": "cs", "dan": "da", "deu": "de", "ger": "de", "german": "de",
+    "eng": "en", "spa": "es", "est": "et", "baq": "eu", "eus": "eu", "fin": "fi", "fra": "fr", "fre": "fr",
+    "french": "fr", "glg": "gl", "hrv": "hr", "hun": "hu", "ind": "id", "ice": "is", "isl": "is", "ita": "it",
+    "jpn": "ja", "kor": "ko", "korean": "ko", "lit": "lt", "lav": "lv", "dut": "nl", "nld": "nl", "nno": "no",
+    "nob": "no", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk",
+    "slv": "sl", "rs-latin": "sr-latn", "sr-latn": "sr-latn", "swe": "sv", "tur": "tr", "ukr": "uk", "vie": "vi",
+    "chi-sim": "zh", "chi-sim-vert": "zh", "zho": "zh",
 }
-SPELLINGS = {k: v.split() for k, v in SPELLINGS.items()}
-ALIAS = {s: code for code, spellings in SPELLINGS.items() for s in spellings}
 
-#: Three-letter codes with the spellings that stand for them.
-CODES3 = {
-    "ara": "ar", "bul": "bg", "ben": "bn", "ces": "cs cze", "dan": "da", "deu": "de ger", "ell": "el gre", "eng": "en", "spa": "es",
-    "est": "et", "fas": "fa per", "fin": "fi", "fra": "fr fre", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id",
-    "ita": "it", "jpn": "ja", "kor": "ko", "lit": "lt", "lav": "lv", "msa": "ms may", "nld": "nl dut", "nor": "no", "pol": "pl",
-    "por": "pt", "ron": "ro rum", "rus": "ru", "slk": "sk slo", "slv": "sl", "srp": "sr", "swe": "sv", "tam": "ta", "tel": "te",
-    "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi",
+#: Spellings and the three-letter codes that they stand for.
+ALIAS3 = {
+    "ar": "ara", "ara": "ara", "ben": "ben", "bn": "ben", "bg": "bul", "bul": "bul", "ces": "ces", "cs": "ces",
+    "cze": "ces", "da": "dan", "dan": "dan", "de": "deu", "deu": "deu", "ger": "deu", "el": "ell", "ell": "ell",
+    "gre": "ell", "en": "eng", "eng": "eng", "est": "est", "et": "est", "fa": "fas", "fas": "fas", "per": "fas",
+    "fi": "fin", "fin": "fin", "fr": "fra", "fra": "fra", "fre": "fra", "he": "heb", "heb": "heb", "hi": "hin",
+    "hin": "hin", "hr": "hrv", "hrv": "hrv", "hu": "hun", "hun": "hun", "id": "ind", "ind": "ind", "it": "ita",
+    "ita": "ita", "ja": "jpn", "jpn": "jpn", "ko": "kor", "kor": "kor", "lav": "lav", "lv": "lav", "lit": "lit",
+    "lt": "lit", "may": "msa", "ms": "msa", "msa": "msa", "dut": "nld", "nl": "nld", "nld": "nld", "no": "nor",
+    "nor": "nor", "pl": "pol", "pol": "pol", "por": "por", "pt": "por", "ro": "ron", "ron": "ron", "rum": "ron",
+    "ru": "rus", "rus": "rus", "sk": "slk", "slk": "slk", "slo": "slk", "sl": "slv", "slv": "slv", "es": "spa",
+    "spa": "spa", "sr": "srp", "srp": "srp", "sv": "swe", "swe": "swe", "ta": "tam", "tam": "tam", "te": "tel",
+    "tel": "tel", "th": "tha", "tha": "tha", "tr": "tur", "tur": "tur", "uk": "ukr", "ukr": "ukr", "vi": "vie",
+    "vie": "vie",
 }
-ALIAS3 = {s: code for code, spellings in CODES3.items() for s in [code, *spellings.split()]}
 WHOLE3 = {"zh-hans": "chi_sim", "zh_cn": "chi_sim", "zh-cn": "chi_sim", "zh-hant": "chi_tra", "zh_tw": "chi_tra", "zh-tw": "chi_tra"}
 
 #: quality, detector, recogniser, detection threshold, box threshold, unclip ratio, batch, longest side, width budget.

@@ -108,8 +108,8 @@ def visible_text(lines: Column, field: str = "text") -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda e: e["t"]), "\n")
 
 
-def document_errors(doc: Column) -> Column:
-    """All errors of an annotation struct, in the order of its members; empty if it is valid."""
+def document_errors(doc: Column, version: str = SCHEMA_VERSION) -> Column:
+    """All errors of an annotation struct, in the order of its members; empty if it is valid. version: compared whole."""
     image, lines, meta = doc["image"], doc["lines"], doc["metadata"]
     width, height = image["width"], image["height"]
     final = F.coalesce(meta["status"].isin(FINAL), F.lit(False))
@@ -117,19 +117,18 @@ def document_errors(doc: Column) -> Column:
     repeated = F.transform(orders, lambda o, i: F.when(F.array_position(orders, o) < i + 1, _text("lines[", i, "].order ", o, " is duplicated")))
     ids = F.flatten(F.transform(lines, lambda n: F.concat(F.array(n["id"]), F.coalesce(F.transform(n["words"], lambda w: w["id"]), _none()))))
     each = F.transform(lines, lambda n, i: line_errors(n, i, width, height, final))
-    version = doc["schema_version"].rlike(rf"(^|\.){SCHEMA_VERSION.replace('.', chr(92) + '.')}$")
     return F.concat(
-        _check(~F.coalesce(version, F.lit(False)), "schema_version is not supported"),
+        _check(~F.coalesce(doc["schema_version"] == version, F.lit(False)), f"schema_version is not {version}"),
         _check(~F.coalesce(doc["coordinate_system"].isin(COORDINATE_SYSTEMS), F.lit(False)), "coordinate_system is not supported"),
         _check(_missing(image["id"]), "image.id must not be empty"),
         _check(_missing(image["file_name"]), "image.file_name must not be empty"),
-        _check(F.coalesce((width <= 0) | (height <= 0), F.lit(True)), "image dimensions must be greater than zero"),
-        _check(~image["sha256"].rlike("^[0-9a-f]{64}$"), "image.sha256 must be 64 lowercase hexadecimal characters"),
+        _check(F.coalesce((width <= 0) | (height <= 0), F.lit(True)), "image width and height must be positive"),
+        _check(~image["sha256"].rlike("^[0-9a-f]{64}$"), "image.sha256 is no SHA-256 in small hexadecimal digits"),
         unique_texts(doc["language_hints"], "language_hints"),
         unique_texts(meta["tags"], "metadata.tags"),
         _check(_blank(meta["group_id"]), "metadata.group_id must not be empty"),
         F.coalesce(_repeats(ids, "id "), _none()),
         F.coalesce(F.array_compact(repeated), _none()),
         F.coalesce(F.flatten(each), _none()),
-        _check(final & (doc["text"] != visible_text(lines)), "text must match non-ignored lines in reading order"),
+        _check(final & (doc["text"] != visible_text(lines)), "text differs from the visible lines in order"),
     )

@@ -17,9 +17,9 @@ Session = SparkSession
 
 REQUESTS = [
     (0, []), (1, ["auto"]), (2, ["en"]), (3, ["de"]), (4, ["de", "en"]), (5, ["ru"]), (6, ["en", "ru"]), (7, ["ko"]), (8, ["ja"]),
-    (9, ["de", "zh"]), (10, ["ru", "ko"]), (11, ["DEU", "ger", "deu"]), (12, ["chi_sim"]), (13, [" ru-RU "]), (14, ["sr-Latn"]), (15, ["xx", "en"]),
+    (9, ["de", "zh"]), (10, ["ru", "ko"]), (11, ["DEU", "ger", "deu"]), (12, ["chi_sim"]), (13, [" ru-RU "]), (14, ["sr-Latn"]), (15, ["xx", "en"]), (16, ["dan"]), (17, ["AUTO"]), (18, ["swe", "ukr", "vie"]),
 ]
-SPELLINGS = ["ru-RU", "jpn", "chi_sim", "ko-KR", "kor", "deu", "sr-Latn", "rs_latin", " German ", "zh-Hant", "zh_TW", "chi_tra", "cze", "xx-YY", "en", "nob"]
+SPELLINGS = ["ru-RU", "jpn", "chi_sim", "ko-KR", "kor", "deu", "sr-Latn", "rs_latin", " German ", "zh-Hant", "zh_TW", "chi_tra", "cze", "xx-YY", "en", "nob", "dan", "swe", "zh-Hans", "gre", "may"]
 
 
 def _rows(spark: Session, sf_dir: str, name: str) -> DataFrame:

@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pagewright import dims
 from pagewright.plans import catalog, inputs
 
+#: Fixed values, written out again so that a slip in the engine's own tables shows.
+LATIN = "af az bs ca cs cy da de en es et eu fi fr ga gl hr hu id is it jv ku la lb lt lv mi ms mt nl no oc pi pl pt qu rm ro sk sl sq sr-latn sv sw tl tr uz vi".split()
+CYRILLIC, CJK, KOREAN = ["be", "ru", "uk"], ["ja", "zh"], ["ko"]
+SUPPORTED = LATIN + CYRILLIC + CJK + KOREAN
+ALIAS = """
+bel be, cat ca, ces cs, cze cs, dan da, deu de, ger de, german de, dut nl, nld nl, eng en, est et, eus eu, baq eu, fin fi, fra fr, fre fr, french fr,
+glg gl, hrv hr, hun hu, ind id, isl is, ice is, ita it, jpn ja, kor ko, korean ko, lav lv, lit lt, nno no, nob no, nor no, pol pl, por pt, ron ro,
+rum ro, rus ru, slk sk, slo sk, slv sl, spa es, sr-latn sr-latn, rs-latin sr-latn, swe sv, tur tr, ukr uk, vie vi, chi-sim zh, chi-sim-vert zh, zho zh
+"""
+ALIAS3 = """
+ar ara, ara ara, ben ben, bn ben, bg bul, bul bul, ces ces, cs ces, cze ces, da dan, dan dan, de deu, deu deu, ger deu, el ell, ell ell, gre ell, en eng,
+eng eng, est est, et est, fa fas, fas fas, per fas, fi fin, fin fin, fr fra, fra fra, fre fra, he heb, heb heb, hi hin, hin hin, hr hrv, hrv hrv, hu hun,
+hun hun, id ind, ind ind, it ita, ita ita, ja jpn, jpn jpn, ko kor, kor kor, lav lav, lv lav, lit lit, lt lit, may msa, ms msa, msa msa, dut nld, nl nld,
+nld nld, no nor, nor nor, pl pol, pol pol, por por, pt por, ro ron, ron ron, rum ron, ru rus, rus rus, sk slk, slk slk, slo slk, sl slv, slv slv, es spa,
+spa spa, sr srp, srp srp, sv swe, swe swe, ta tam, tam tam, te tel, tel tel, th tha, tha tha, tr tur, tur tur, uk ukr, ukr ukr, vi vie, vie vie
+"""
+WHOLE3 = "zh-hans chi_sim, zh_cn chi_sim, zh-cn chi_sim, zh-hant chi_tra, zh_tw chi_tra, zh-tw chi_tra"
+MODELS = [
+    ("v6-tiny-det", 1780590), ("v5-mobile-det", 4826518), ("v6-small-det", 9880512), ("v6-medium-det", 62032837), ("v6-tiny-rec", 4462639),
+    ("v6-small-rec", 21159378), ("v6-medium-rec", 76554979), ("v5-eslav-rec", 7887627), ("v5-latin-rec", 8042023), ("v5-korean-rec", 13418787),
+]
+PROFILES = [
+    ("fast", "v6-tiny-det", "v6-tiny-rec", 960), ("balanced", "v6-small-det", "v6-small-rec", 1280), ("accurate", "v6-small-det", "v6-small-rec", 1600),
+    ("maximum", "v6-medium-det", "v6-medium-rec", 2048),
+]
+
+
+def _spellings(text: str) -> dict[str, str]:
+    return dict(pair.split() for pair in text.split(","))
+
+
 LINES = inputs.LINES
 ORDERED = f"""
 base as ({LINES}),
@@ -33,7 +63,7 @@ g as (select *, (sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0)) + sqrt((x2-x3)*(x2-x3)
       (sqrt((x3-x0)*(x3-x0) + (y3-y0)*(y3-y0)) + sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1))) / 2 as gh from q)
 """
 
-SIZES = "list_value({})".format(", ".join(str(p[7]) for p in dims.PROFILES))
+SIZES = "list_value({})".format(", ".join(str(p[3]) for p in PROFILES))
 TILES = f"""
 with p as (select p_partkey, (p_partkey * 37) % 6000 + 100 as len, {SIZES}[p_partkey % 4 + 1] as tile from part),
 s as (select *, len - tile as span, greatest(tile - greatest(tile // 8, 1), 1) as stride from p),
@@ -98,11 +128,18 @@ b as (select *, case when first_ = 0 then 0.0 else ((first_ - 0.5) / (n + 2) + (
 select item_id, k as word_no, round(10 + n * 8.0 * l, 6) as x0, round(10 + n * 8.0 * r, 6) as x1 from b
 """
 
-TURNS = r"""
-r as (select conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as text from conversations),
-p as (select *, lead(text) over (partition by conv_id order by turn, text) as next from r),
+TURNS = """
+p as (select *, lead(text) over (partition by conv_id order by turn, text) as next from conversations),
 pairs as (select * from p where next is not null and text is not null)
 """
+#: levenshtein counts bytes here: each pair's characters outside ASCII become ASCII characters that the pair does not hold.
+LETTERS_OF_PAIR = f"""
+{TURNS},
+seen as (select *, list_distinct(regexp_extract_all(concat(text, next), '(?s)[^\\x00-\\x7F]')) as wide,
+         list_filter(list_transform(range(1, 128), lambda i: chr(i::int)), lambda c: not contains(concat(text, next), c)) as free from pairs),
+spelled as (select conv_id, turn, text, next, translate(text, array_to_string(wide, ''), array_to_string(free[1:len(wide)], '')) as a,
+            translate(next, array_to_string(wide, ''), array_to_string(free[1:len(wide)], '')) as b from seen)
+"""
 
 OVERLAP = f"""
 with recursive base as ({LINES}),
@@ -164,27 +201,27 @@ def _list(codes: list[str]) -> str:
 
 
 PLANS = f"""
-{REQUESTS}, {_pairs(dims.ALIAS, 'alias')},
+{REQUESTS}, {_pairs(_spellings(ALIAS), 'alias')},
 words_ as (select request_id, unnest(request) as raw, unnest(range(0, len(request))) as i, len(request) as n from requests),
 clean as (select *, replace(lower(trim(raw)), '_', '-') as s from words_),
 coded as (select request_id, i, n, raw, coalesce(a.v, split_part(s, '-', 1)) as code from clean left join alias a on s = a.k
           where not (n = 1 and lower(trim(raw)) = 'auto')),
-agg as (select request_id, list(code) as codes, string_agg(case when not list_contains({_list(dims.SUPPORTED)}, code) then raw end, ',' order by i) as bad
+agg as (select request_id, list(code) as codes, string_agg(case when not list_contains({_list(SUPPORTED)}, code) then raw end, ',' order by i) as bad
         from coded group by request_id),
 flags as (select r.request_id, coalesce(len(codes), 0) = 0 as auto, coalesce(bad, '') as unsupported,
-  coalesce(list_has_any(codes, {_list(dims.LATIN)}), false) as lg, coalesce(list_has_any(codes, {_list(dims.CYRILLIC)}), false) as cy,
-  coalesce(list_has_any(codes, {_list(dims.CJK)}), false) as cj, coalesce(list_has_any(codes, {_list(dims.KOREAN)}), false) as ko,
-  coalesce(list_has_any(codes, {_list([c for c in dims.LATIN if c != 'en'])}), false) as la from requests r left join agg using (request_id)),
+  coalesce(list_has_any(codes, {_list(LATIN)}), false) as lg, coalesce(list_has_any(codes, {_list(CYRILLIC)}), false) as cy,
+  coalesce(list_has_any(codes, {_list(CJK)}), false) as cj, coalesce(list_has_any(codes, {_list(KOREAN)}), false) as ko,
+  coalesce(list_has_any(codes, {_list([c for c in LATIN if c != 'en'])}), false) as la from requests r left join agg using (request_id)),
 plans as (select request_id, auto or cj or (lg::int + cy::int + cj::int + ko::int > 1) or (lg and not la) as "primary", auto or la as latin,
   auto or cy as cyrillic, auto or ko as korean, unsupported from flags)
 """
-MODEL_ROWS = f"models as ({_values([(m, b) for m, b, _ in dims.MODELS], 'model, bytes')})"
+MODEL_ROWS = f"models as ({_values(MODELS, 'model, bytes')})"
 
 CODES = f"""
-with {_pairs(dims.ALIAS, 'alias')}, {_pairs(dims.ALIAS3, 'alias3')}, {_pairs(dims.WHOLE3, 'whole3')},
+with {_pairs(_spellings(ALIAS), 'alias')}, {_pairs(_spellings(ALIAS3), 'alias3')}, {_pairs(_spellings(WHOLE3), 'whole3')},
 raws as (select distinct lang as raw from documents where lang is not null union {_values([(s,) for s in catalog.SPELLINGS], 'raw')}),
 c as (select raw, lower(trim(raw)) as s, replace(lower(trim(raw)), '_', '-') as d from raws)
-select raw, coalesce(a.v, split_part(d, '-', 1)) as code, list_contains({_list(dims.SUPPORTED)}, coalesce(a.v, split_part(d, '-', 1))) as supported,
+select raw, coalesce(a.v, split_part(d, '-', 1)) as code, list_contains({_list(SUPPORTED)}, coalesce(a.v, split_part(d, '-', 1))) as supported,
        coalesce(w.v, b.v, s) as code3
 from c left join alias a on d = a.k left join whole3 w on s = w.k left join alias3 b on regexp_extract(s, '^[^-_]*') = b.k
 """
@@ -202,8 +239,8 @@ select image_id, n_order, n_outside, n_confidence, n_language, case when image_i
 #: A row of the edit distance table a step: the row above is `prev`; one-element lists carry the column numbers.
 WORD_ERRORS = f"""
 with recursive {TURNS},
-k as (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as a,
-      list_filter(string_split_regex(next, '\\s+'), lambda w: w <> '') as b from pairs),
+k as (select conv_id, turn, list_filter(string_split_regex(text, '[\\t\\n\\v\\f\\r\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '') as a,
+      list_filter(string_split_regex(next, '[\\t\\n\\v\\f\\r\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '') as b from pairs),
 f as (
   select conv_id, turn, a, b, 0::bigint as i, range(0, len(b) + 1) as prev from k
   union all
@@ -288,14 +325,14 @@ select image_id, printf('line-%04d', row_number() over (partition by image_id or
 d as (select item, string_agg(case token when 1 then 'a' when 2 then 'b' else ' ' end, '' order by step) as text, avg(score) as confidence, count(*) as n from kept group by item)
 select vec_id as item, coalesce(text, '') as text, round(coalesce(confidence, 0), 6) as confidence, coalesce(n, 0) as n from embeddings left join d on item = vec_id""",
     "word_boxes": WORD_BOXES,
-    "character_errors": f"""with {TURNS}, e as (select *, levenshtein(text, next) as edits from pairs)
+    "character_errors": f"""with {LETTERS_OF_PAIR}, e as (select *, levenshtein(a, b) as edits from spelled)
 select conv_id, turn, edits, length(text) as reference_units, text = next as exact_match,
        round(case when length(text) > 0 then edits / length(text) when edits > 0 then 1 else 0 end, 6) as rate from e""",
     "validate_documents": VALID,
     "document_json": f"with {ORDERED} select image_id, true as same_text, count(*) as n_lines, 0 as n_errors from ordered group by image_id",
     "sha256_verify": """select cast(doc_id as varchar) as name, case when doc_id % 10 = 5 then 'missing' when doc_id % 10 = 4 then 'size'
        when doc_id % 10 = 3 then 'checksum' else 'ok' end as status from documents""",
-    "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values([(p[0], p[1], p[2], p[7]) for p in dims.PROFILES], 'quality, det, rec, max_side')})
+    "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values(PROFILES, 'quality, det, rec, max_side')})
 select quality, max_side, d.bytes + r.bytes as bytes from profiles join models d on det = d.model join models r on rec = r.model""",
     "detection_matches": f"{MATCHES} select * from matched",
     "detection_scores": f"""{MATCHES},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 #: Fixed values of the format.
-SCHEMA_VERSION = "annotation.v1"  # a producer's name may stand before it, with a dot
+SCHEMA_VERSION = "annotation.v1"  # a producer with a longer name passes its own as a parameter
 COORDINATE_SYSTEMS = ["pixel_top_left"]
 STATUSES = ["draft", "reviewed", "verified"]
 DIRECTIONS = ["auto", "left_to_right", "right_to_left", "vertical"]
@@ -51,3 +51,12 @@ REQUIRED = {
     "lines.words": ["id", "quad", "text"],
     "lines.alternatives": ["text", "confidence"],
 }
+
+#: Members with a closed set of values, and whole numbers with bounds.
+ENUMS = {
+    "coordinate_system": COORDINATE_SYSTEMS, "metadata.status": STATUSES, "lines.direction": DIRECTIONS, "lines.legibility": LEGIBILITIES,
+    "lines.source": SOURCES,
+}
+BOUNDS = {"image.width": 2**32 - 1, "image.height": 2**32 - 1, "lines.order": 2**32 - 1, "metadata.engine.elapsed_ms": 2**63 - 1}
+#: Members that may be missing but not null.
+NOT_NULL = ["lines.alternatives", "lines.flags", "metadata.tags", "metadata.sensitive"]

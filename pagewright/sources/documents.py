@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.operators.validate import document_errors
-from pagewright.schema import ANNOTATION, REQUIRED
+from pagewright.schema import ANNOTATION, BOUNDS, ENUMS, NOT_NULL, REQUIRED, SCHEMA_VERSION
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -56,19 +56,61 @@ def _level_errors(json: Column, path: str, known: list[str], required: list[str]
     )
 
 
+#: What a JSON value of each type is called as a variant.
+_KINDS = {
+    T.StringType: ("text", "STRING"), T.LongType: ("a whole number", "BIGINT"), T.FloatType: ("a number", "(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+    T.BooleanType: ("true or false", "BOOLEAN"), T.StructType: ("an object", "OBJECT"),
+}
+
+
+def _kind(kind: T.DataType) -> tuple[str, str]:
+    """What a member must be, and the pattern of its variant's schema."""
+    if isinstance(kind, T.ArrayType):
+        what, pattern = _kind(kind.elementType)
+        return f"an array, each {what}", f"ARRAY<({pattern}|VOID)"
+    return _KINDS[type(kind)]
+
+
+def _member_error(member: Column, name: str, kind: T.DataType, required: bool) -> Column:
+    """The error of a member's value, or null. A missing member is left to another rule."""
+    what, pattern = _kind(kind)
+    schema = F.schema_of_variant(member)
+    wrong = F.when(schema == "VOID", F.lit(required or name in NOT_NULL)).otherwise(~schema.rlike(f"^{pattern}"))
+    error = F.when(wrong, f"{name} must be {what}")
+    if name in ENUMS:
+        error = error.when(~F.try_variant_get(member, "$", "string").isin(ENUMS[name]), f"{name} is none of {', '.join(ENUMS[name])}")
+    if name in BOUNDS:
+        error = error.when(~F.try_variant_get(member, "$", "long").between(0, BOUNDS[name]), f"{name} is out of range")
+    return error
+
+
+def _value_errors(json: Column, path: str, schema: T.StructType) -> Column:
+    """Members of a wrong type, outside their set of values or out of range, at one level."""
+    names = {f.name: f"{path}.{f.name}" if path else f.name for f in schema}
+    required = REQUIRED.get(path, [])
+
+    def of(members: Column) -> Column:
+        return F.array_compact(F.array(*[_member_error(F.element_at(members, f.name), names[f.name], f.dataType, f.name in required) for f in schema]))
+
+    parsed = F.transform(_objects(json, path), lambda j: F.from_json(j, "map<string, variant>"))
+    return F.array_distinct(F.flatten(F.transform(F.array_compact(parsed), of)))
+
+
 def strict_errors(json: Column) -> Column:
-    """Members that the format does not know, and required ones that are missing, at every level."""
-    levels = [_level_errors(json, path, schema.names, REQUIRED.get(path, [])) for path, schema, _ in _levels(ANNOTATION)]
-    return F.concat(*levels)
+    """Members that the format does not know, required ones that are missing, and values of a wrong type, outside a
+    closed set or out of range, at every level."""
+    levels = _levels(ANNOTATION)
+    members = [_level_errors(json, path, schema.names, REQUIRED.get(path, [])) for path, schema, _ in levels]
+    return F.concat(*members, *[_value_errors(json, path, schema) for path, schema, _ in levels])
 
 
-def parse_documents(rows: DataFrame, json: str = "json", validate: bool = True) -> DataFrame:
-    """rows with doc (null if the text is no JSON object) and errors (all of them; empty for a good document)."""
+def parse_documents(rows: DataFrame, json: str = "json", validate: bool = True, version: str = SCHEMA_VERSION, first_only: bool = False) -> DataFrame:
+    """rows with doc (null if the text is no JSON object) and errors (all of them, or the first; empty for a good document)."""
     parsed = rows.withColumn("doc", F.from_json(json, ANNOTATION, {"mode": "PERMISSIVE"}))
     readable = F.json_object_keys(F.col(json)).isNotNull()
-    rules = document_errors(F.col("doc")) if validate else F.array().cast("array<string>")
+    rules = document_errors(F.col("doc"), version) if validate else F.array().cast("array<string>")
     errors = F.when(~readable, F.array(F.lit("not a JSON object"))).otherwise(F.concat(strict_errors(F.col(json)), rules))
-    return parsed.withColumn("errors", errors)
+    return parsed.withColumn("errors", F.slice(errors, 1, 1) if first_only else errors)
 
 
 def _without_empty(doc: Column) -> Column:

@@ -281,32 +281,61 @@ def test_png_decoding():
             raster.decode_image(data[:60])
 
 
-def document(spark, **changes):
+def document_json(**changes):
     base = {
         "schema_version": "annotation.v1", "coordinate_system": "pixel_top_left", "image": {"id": "i", "file_name": "i.png", "width": 20, "height": 10},
         "text": "Hi", "lines": [], "language_hints": ["en"], "metadata": {"status": "draft"},
     }
+    return base | changes
+
+
+def document(spark, **changes):
     import json
 
-    return documents.parse_documents(spark.createDataFrame([(json.dumps(base | changes),)], "json string")).first()
+    return documents.parse_documents(spark.createDataFrame([(json.dumps(document_json(**changes)),)], "json string")).first()
 
 
 def test_strict_documents(spark):
     assert document(spark).errors == []
     assert document(spark, extra=1).errors == ["unknown member extra"]
     bad = document(spark, image={"id": " ", "file_name": "f", "width": 0, "height": 1, "sha256": "ABC"}, language_hints=["en", "en"]).errors
-    assert [next((e for e in bad if k in e), None) is not None for k in ("image.id", "dimensions", "image.sha256", "language_hints[1]")] == [True] * 4
+    assert [next((e for e in bad if k in e), None) is not None for k in ("image.id", "width and height", "image.sha256", "language_hints[1]")] == [True] * 4
     line = {
         "id": "l", "order": 0, "quad": {"points": [{"x": 0, "y": 0}, {"x": 5, "y": 0}, {"x": 5, "y": 5}, {"x": 0, "y": 5}]}, "text": "", "direction": "auto",
         "legibility": "clear", "evaluation": {"detection": True, "recognition": True}, "source": "manual", "words": [], "ignored": False,
         "alternatives": [{"text": "x", "confidence": 1.5}],
     }
     errors = document(spark, lines=[line, line], metadata={"status": "reviewed"}).errors
-    for part in ("alternatives[0].confidence", "lines[0].text must not be empty", "order 0 is duplicated", "id l is duplicated", "text must match"):
+    for part in ("alternatives[0].confidence", "lines[0].text must not be empty", "order 0 is duplicated", "id l is duplicated", "text differs"):
         assert any(part in e for e in errors), (part, errors)
     assert documents.parse_documents(spark.createDataFrame([("[1",)], "json string")).first().errors == ["not a JSON object"]
 
 
+def test_strict_values(spark):
+    quad = {"points": [{"x": 0, "y": 0}, {"x": 5, "y": 0}, {"x": 5, "y": 5}, {"x": 0, "y": 5}]}
+    line = {
+        "id": "l", "order": 0, "quad": quad, "text": "", "direction": "auto", "legibility": "clear", "evaluation": {"detection": True, "recognition": True},
+        "source": "manual", "words": [], "ignored": False, "alternatives": [], "confidence": None,
+    }
+    assert document(spark, lines=[line]).errors == []
+    wrong = {
+        "metadata.status is none of": {"metadata": {"status": "bogus"}}, "lines.order is out of range": {"lines": [line | {"order": -1}]},
+        "lines.ignored must be true or false": {"lines": [line | {"ignored": "yes"}]}, "text must be text": {"text": 5},
+        "lines.direction is none of": {"lines": [line | {"direction": "up"}]}, "lines.source is none of": {"lines": [line | {"source": "x"}]},
+        "lines.legibility must be text": {"lines": [line | {"legibility": None}]}, "image.width must be a whole number": {"image": {"id": "i", "file_name": "f", "width": 1.5, "height": 10}},
+        "language_hints must be an array": {"language_hints": ["en", 3]}, "lines.flags must be": {"lines": [line | {"flags": None}]},
+        "coordinate_system is none of": {"coordinate_system": "x"}, "schema_version is not": {"schema_version": "any.annotation.v1"},
+        "lines.quad.points.x must be a number": {"lines": [line | {"quad": {"points": [{"x": "1", "y": 0}, *quad["points"][1:]]}}]},
+    }
+    import json
+
+    rows = [(m, json.dumps(document_json(**change))) for m, change in wrong.items()]
+    for r in documents.parse_documents(spark.createDataFrame(rows, "message string, json string")).collect():
+        assert any(r.message in e for e in r.errors), (r.message, r.errors)
+    firsts = documents.parse_documents(spark.createDataFrame(rows, "message string, json string"), version="any.annotation.v1", first_only=True).collect()
+    assert [len(r.errors) for r in firsts] == [int(r.message != "schema_version is not") or 0 for r in firsts]
+
+
 def test_sinks_and_images(spark, tmp_path):
     row = documents.parse_documents(documents.read_documents(spark, __file__)).first()
     assert row.errors == ["not a JSON object"]
