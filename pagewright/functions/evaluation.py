@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import tokens
@@ -53,3 +53,11 @@ def evaluate(reference: Column, prediction: Column) -> Column:
 
 def h_mean(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+
+
+def evaluate_documents(reference: DataFrame, prediction: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, character_error, word_error, exact_match for every key that both tables hold. Only `doc.text` is compared:
+    neither corrections nor the documents' own rules count. A null text is empty."""
+    text = lambda name: F.coalesce(F.col("doc.text"), F.lit("")).alias(name)
+    both = reference.select(key, text("reference")).join(prediction.select(key, text("prediction")), key)
+    return both.select(key, evaluate(F.col("reference"), F.col("prediction")).alias("e")).select(key, "e.*")

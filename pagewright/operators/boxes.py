@@ -113,3 +113,10 @@ def greedy_matches(references: DataFrame, predictions: DataFrame, page: str = "i
 
     none = F.array().cast("array<struct<ref_idx: bigint, pred_idx: bigint, iou: double>>")
     return both.select(page, F.explode(F.aggregate("refs", none, step)).alias("m")).select(page, "m.*")
+
+
+def first_boxes(boxes: DataFrame, limit: int = MAX_BOXES, page: str = "image_id") -> DataFrame:
+    """The first boxes of each page by position: as many as the detector may give. Spark keeps `limit` rows a page
+    before the shuffle as well as after it."""
+    place = F.row_number().over(Window.partitionBy(page).orderBy("position"))
+    return boxes.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")

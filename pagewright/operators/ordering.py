@@ -42,3 +42,9 @@ def rebuild_text(lines: DataFrame, page: str = "image_id") -> DataFrame:
     text, fixed = joined(shown[0], shown[0]), joined(shown[1], shown[1])
     pages = lines.groupBy(page).agg(text.alias("text"), fixed.alias("_fixed"))
     return pages.select(page, "text", F.nullif("_fixed", "text").alias("corrected_text"))
+
+
+def readable_lines(lines: DataFrame, min_confidence: float = 0.8) -> DataFrame:
+    """The lines with text and enough confidence; the text is trimmed. A null or NaN confidence is not enough."""
+    sure = (F.col("confidence") >= min_confidence) & ~F.isnan("confidence")
+    return lines.withColumn("text", utrim(F.col("text"))).filter(sure & (F.col("text") != ""))

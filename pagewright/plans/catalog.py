@@ -254,6 +254,42 @@ def document_json(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
+def strict_documents(spark: Session, sf_dir: str) -> DataFrame:
+    """One small JSON document for each row, with planted faults of type, value, range, version and members."""
+    fault = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, bad).otherwise(good)
+    parts = [
+        '{"schema_version": "', fault(19, "x.annotation.v1", "annotation.v1"), '", "coordinate_system": "pixel_top_left", "image": {"id": "i", "file_name": "f", "width": ',
+        fault(5, "1.5", "20"), ', "height": 10}, "text": ', fault(17, "5", '""'), ', "lines": [{"id": "l", "order": ', fault(11, "-1", "0"),
+        ', "quad": {"points": [{"x": 0, "y": 0}, {"x": 5, "y": 0}, {"x": 5, "y": 5}, {"x": 0, "y": 5}]}, "text": "", "direction": "',
+        fault(23, "up", "auto"), '", "legibility": "clear", "evaluation": {"detection": true, "recognition": true}, "source": "manual", "words": [], "ignored": ',
+        fault(13, '"yes"', "false"), '}], "language_hints": ["en"], "metadata": {"status": "', fault(7, "bogus", "draft"), '"', fault(3, ', "extra": 1', ""), "}}",
+    ]
+    rows = _rows(spark, sf_dir, "documents").select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("json"))
+    found = documents.parse_documents(rows)
+    count = lambda text: F.size(F.filter("errors", lambda e: e.contains(text))).cast("long")
+    return found.select(
+        "doc_id", count("schema_version is not").alias("n_version"), count("image.width must be").alias("n_width"), count("text must be text").alias("n_text"),
+        count("lines.order is out").alias("n_order"), count("direction is none").alias("n_direction"), count("ignored must be").alias("n_ignored"),
+        count("status is none").alias("n_status"), count("unknown member").alias("n_unknown"),
+    )
+
+
+def evaluate_documents(spark: Session, sf_dir: str) -> DataFrame:
+    """Each benchmark text against itself without its first word, as two tables of documents."""
+    rows = _rows(spark, sf_dir, "benchmark").filter("item_id is not null and text is not null")
+    doc = lambda t: F.struct(t.alias("text"), F.lit("x").alias("corrected_text")).alias("doc")
+    reference = rows.select(F.col("item_id").alias("image_id"), doc(F.col("text")))
+    prediction = rows.filter("item_id % 5 <> 0").select(F.col("item_id").alias("image_id"), doc(F.regexp_replace("text", r"^[^ ]+ ", "")))
+    found = evaluation.evaluate_documents(reference, prediction)
+    return found.select("image_id", F.col("character_error.edits").alias("char_edits"), F.col("word_error.edits").alias("word_edits"), F.round("word_error.rate", 6).alias("word_rate"), "exact_match")
+
+
+def readable_lines(spark: Session, sf_dir: str) -> DataFrame:
+    """The first seven boxes of each page, of which those that are read well enough stay."""
+    few = boxes.first_boxes(inputs.lines(spark, sf_dir), 7)
+    return ordering.readable_lines(few, 0.5).select("image_id", "line_id", "text")
+
+
 def sha256_verify(spark: Session, sf_dir: str) -> DataFrame:
     docs = _rows(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     wrong = F.when(F.col("doc_id") % 10 == 3, F.lit("00")).otherwise(images.sha256_hex(F.col("content")))
@@ -333,7 +369,7 @@ QUERIES = {
         reading_order, rebuild_text, line_bounds, crop_geometry, overlap_dedup, tile_offsets, tiled_images, crop_batches, width_batches,
         script_tags, script_fractions, language_codes, recognizer_plans, required_models, line_languages, select_candidate,
         candidate_alternatives, route_crops, tsv_words, tsv_lines, tsv_pages, ctc_decode, word_boxes, character_errors, word_errors,
-        validate_documents, document_json, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores,
+        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores,
         dictionary_entries, worker_responses, image_headers,
     )
 }

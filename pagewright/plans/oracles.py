@@ -330,6 +330,16 @@ select conv_id, turn, edits, length(text) as reference_units, text = next as exa
        round(case when length(text) > 0 then edits / length(text) when edits > 0 then 1 else 0 end, 6) as rate from e""",
     "validate_documents": VALID,
     "document_json": f"with {ORDERED} select image_id, true as same_text, count(*) as n_lines, 0 as n_errors from ordered group by image_id",
+    "strict_documents": """select doc_id, (doc_id % 19 = 0)::bigint as n_version, (doc_id % 5 = 0)::bigint as n_width, (doc_id % 17 = 0)::bigint as n_text,
+       (doc_id % 11 = 0)::bigint as n_order, (doc_id % 23 = 0)::bigint as n_direction, (doc_id % 13 = 0)::bigint as n_ignored,
+       (doc_id % 7 = 0)::bigint as n_status, (doc_id % 3 = 0)::bigint as n_unknown from documents""",
+    "evaluate_documents": r"""with t as (select item_id as image_id, text, regexp_replace(text, '^[^ ]+ ', '') as cut from benchmark where item_id % 5 <> 0 and text is not null),
+n as (select *, len(list_filter(string_split_regex(text, '[\t\n\v\f\r\x{85}\p{Z}]+'), lambda w: w <> '')) as a,
+      len(list_filter(string_split_regex(cut, '[\t\n\v\f\r\x{85}\p{Z}]+'), lambda w: w <> '')) as b from t)
+select image_id, length(text) - length(cut) as char_edits, a - b as word_edits, round(case when a > 0 then (a - b) / a else 0 end, 6) as word_rate, cut = text as exact_match from n""",
+    "readable_lines": f"""with base as ({LINES}), n as (select *, row_number() over (partition by image_id order by position) as place from base),
+t as (select image_id, line_id, {TRIM.format('text')} as text, confidence from n where place <= 7)
+select * exclude (confidence) from t where confidence >= 0.5 and text <> ''""",
     "sha256_verify": """select cast(doc_id as varchar) as name, case when doc_id % 10 = 5 then 'missing' when doc_id % 10 = 4 then 'size'
        when doc_id % 10 = 3 then 'checksum' else 'ok' end as status from documents""",
     "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values(PROFILES, 'quality, det, rec, max_side')})

@@ -134,3 +134,8 @@ def write_documents(docs: DataFrame, path: str, kind: str = "json", doc: str = "
     if kind not in kinds:
         raise ValueError(f"kind must be one of {sorted(kinds)}, not {kind!r}")
     docs.select(kinds[kind].alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_json(rows: DataFrame, path: str, pretty: bool = False) -> None:
+    """Each row as a JSON object, null members left out, in a folder that must be new."""
+    rows.select(F.to_json(F.struct("*"), {"pretty": "true"} if pretty else {}).alias("value")).write.mode("errorifexists").text(path)
