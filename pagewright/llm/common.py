@@ -41,6 +41,13 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str, by: str, parts: int = 32) -> DataFrame:
+    """rows joined with a table of one row a key. A key's rows are dealt over `parts` by a hash of `by`, and its one row
+    is repeated as often, so that no key lands in one task."""
+    many = one_each.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(many, [key, "_part"]).drop("_part")
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 #: Arrow types of the columns that batch work makes, by their Spark names.
 ARROW = {

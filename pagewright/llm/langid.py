@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.llm.common import crc_mod
 
@@ -91,21 +92,37 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
     return best, float(score * share)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """Training rows: about per_lang of each language at most, chosen by a hash of id and text."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), 4) != 2))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, languages: int, rows: int) -> DataFrame:
+    """lang, text: training rows of the `languages` most frequent labels, of each the per_lang (or rows / number of
+    labels, if that is less) distinct rows with the least hash of id and text. Only counts reach the driver."""
+    named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.col(id_col), 4) != 2))
+    named = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
-        return rows.limit(0)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_lang / n))])
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) / 1_000_000
-    return rows.filter(chance < F.element_at(share, F.col(lang_col))).limit(2 * per_lang * len(counts))
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> dict:
-    """A model from rows whose crc32(id) mod 4 is not 2. per_lang bounds the sample of each language.
-
-    Each sampled text counts twice: as a whole, and as a piece of 80 bytes from its middle, as short texts are.
+        return named.limit(0).select("lang", "text")
+    each = max(1, min(per_lang, rows // len(counts)))
+    # twice the rows wanted, so that ranks sort few rows; equal rows count once, however many there are
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2 * each / n))])
+    drawn = named.filter(F.pmod("h", F.lit(1_000_000)) / 1_000_000 < F.element_at(share, F.col("lang")))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return drawn.withColumn("place", place).filter(F.col("place") <= each).select("lang", "text")
+
+
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_lang: int = 300,
+    languages: int = 100,
+    rows: int = 4000,
+) -> dict:
+    """A model from rows whose crc32(id) mod 4 is not 2. The bounds of the sample are per_lang rows of a language, the
+    `languages` most frequent labels, and `rows` in all, so that the fit holds about 2 * rows * 16 KB.
+
+    Each sampled text counts twice: as a whole, and as a piece of 80 bytes from its middle, as short texts are. Without
+    a labelled row the model predicts `und` throughout.
     """
     bits = BITS
 
@@ -121,29 +138,37 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if out:
                 yield pd.DataFrame(out, columns=["lang", "x"])
 
-    chosen = sample(docs, id_col, text_col, lang_col, per_lang)
-    chosen = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = chosen.mapInPandas(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    if not len(rows):
+    chosen = sample(docs, id_col, text_col, lang_col, per_lang, languages, rows)
+    found = chosen.mapInPandas(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+    if not len(found):
         return {"families": [], "members": {}, "pairs": {}, "weights": []}
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), dtype="<f4").reshape(len(rows), 1 << bits)
-    return fit(x, rows["lang"].tolist())
+    x = np.frombuffer(b"".join(map(bytes, found["x"])), dtype="<f4").reshape(len(found), 1 << bits)
+    return fit(x, found["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score. Only the text is looked at."""
+def _guessed(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
+    """_row (all columns of docs, so that no name clashes) and _guess (lang, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(shared.value, t) for t in texts], columns=["lang", "score"])
 
-    guessed = docs.withColumn("_guess", guess(F.col(text_col).cast("string")))
-    return guessed.withColumns({out: F.col("_guess.lang"), score: F.col("_guess.score")}).drop("_guess")
+    return docs.select(F.struct("*").alias("_row"), guess(F.col(text_col).cast("string")).alias("_guess"))
+
+
+def identify(docs: DataFrame, model: dict, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score, which replace columns of these names. Only the text is looked at."""
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (out, score)]
+    return _guessed(docs, model, text_col).select(*kept, F.col("_guess.lang").alias(out), F.col("_guess.score").alias(score))
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; see train() and predict()."""
+    """doc_id, held_out, lang_pred, score for every row; see train() and predict().
+
+    Null texts and texts without a letter are `und` with score 0. Of equal votes the greater language name wins, of equal
+    families the first. Repeated rows have a row each; an empty table gives an empty result; other columns are ignored.
+    """
     model = train(docs, id_col, text_col, lang_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return identify(rows, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
@@ -152,5 +177,6 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows with a language, as they were; a missing language is filled in. Rows that are `und` go."""
     model = train(docs, id_col, text_col, lang_col, **options)
-    kept = identify(docs, model, text_col, "_lang", "_score").filter(F.col("_lang") != "und")
-    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), "_lang")).select(*docs.columns)
+    kept = _guessed(docs, model, text_col).filter(F.col("_guess.lang") != "und")
+    lang = F.coalesce(F.col("_row")[lang_col], F.col("_guess.lang"))
+    return kept.select(F.col("_row").withField(lang_col, lang).alias("_row")).select("_row.*")

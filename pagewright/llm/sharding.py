@@ -1,11 +1,11 @@
 """Reproducible shuffle into shards: a Feistel permutation of global row numbers.
 
-Every row gets a number 0..N-1 in the order (bucket of the id, id, checksum, size). A keyed Feistel network over
+Every row gets a number 0..N-1 in the order (bucket of id and checksum, id, checksum, size). A keyed Feistel network over
 a mixed-radix domain a*b >= N, walked until it lands below N, maps that number to a position; position modulo the
 shard count is the shard and the quotient the slot. Shard sizes differ by one row at most, and the place of any
 row number can be computed without the data.
 
-Numbering needs no global sort: ids are dealt into a fixed number of buckets by arithmetic, rows are numbered
+Numbering needs no global sort: rows are dealt into a fixed number of buckets by arithmetic, rows are numbered
 within each bucket and the (bounded) table of bucket sizes gives the offsets.
 """
 
@@ -19,13 +19,15 @@ from pyspark.sql.window import Window
 PRIME = 2**31 - 1
 MULTIPLIER = 48271
 BUCKETS = 4096
+RUN = 10_000
 ROUND_KEYS = ((16807, 11), (69621, 23), (39373, 37), (40692, 53), (40014, 71), (45991, 97))
 MAX_WALK = 64
 
 
-def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(doc_id: Column, checksum: Column, buckets: int = BUCKETS) -> Column:
+    """By id and checksum, so that neither null ids nor an id of many rows fill one bucket."""
     mixed = (F.pmod(F.coalesce(doc_id.cast("long"), F.lit(0)), F.lit(PRIME)) * MULTIPLIER) % PRIME
-    return F.pmod(mixed, F.lit(buckets)).cast("int")
+    return F.pmod(mixed + checksum, F.lit(buckets)).cast("int")
 
 
 def _quotient(x: Column, y: Column | int) -> Column:
@@ -72,12 +74,12 @@ def permute(x: Column, n: Column, a: Column, b: Column, seed: int = 0) -> Column
 def number_rows(rows: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Adds row_number (0..N-1) and total. rows: has bucket and the columns of order, which alone are kept.
 
-    Repeated rows are counted before they are dealt out, so that one id that many rows share stays one row of
-    its bucket until the numbers are given.
+    Repeated rows are counted before they are dealt out, RUN input rows at a time, so that a row with many copies is
+    a short list of counts in its bucket until the numbers are given, and no list of copies is longer than RUN.
     """
-    keys = ["bucket", *order]
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    within = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    run = _quotient(F.monotonically_increasing_id(), RUN).alias("run")  # equal rows may change places
+    counted = rows.select("*", run).groupBy("bucket", *order, "run").agg(F.count(F.lit(1)).alias("copies"))
+    within = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order], "run").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("before", F.sum("copies").over(within) - F.col("copies"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,10 +110,11 @@ def feistel_shards(
     own. Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    checksum = F.crc32(text.cast("binary"))
     rows = docs.select(
-        bucket_of(F.col(id_col)).alias("bucket"),
+        bucket_of(F.col(id_col), checksum).alias("bucket"),
         F.col(id_col).alias("doc_id"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        checksum.alias("text_crc32"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
     )
     numbered = number_rows(rows, ["doc_id", "text_crc32", "size"])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import map_rows, row_key
+from pagewright.llm.common import map_rows, row_key, spread_join
 from pagewright.llm.components import connected_components
 from pagewright.session import cut
 
@@ -156,9 +156,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = cut(nodes)
     comps = connected_components(link_fingerprints(nodes, radius), "a", "b")
-    roots = cut(nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(roots.select("fp", "root").join(ids, "root"))
+    roots = cut(nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first", "component"))
+    linked = roots.filter("component is not null").withColumnRenamed("component", "root")
+    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = roots.filter("component is null").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    labels = cut(spread_join(linked.select("fp", "root"), ids, "root", "fp").select("fp", "root", "component_id").unionByName(alone))
     return prints.join(labels, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
@@ -176,7 +178,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.count(F.lit(1)).alias("rows"),
     )
     first = cut(first.filter(F.col("rows") > 1).select("root", F.col("keep.k1").alias("b1"), F.col("keep.k2").alias("b2")))
-    others = groups.join(first, "root")
+    others = spread_join(groups, first, "root", "k2")
     repeated = (
         others.filter((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
         .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k1", "k2")

@@ -45,7 +45,7 @@ sums as (select rowid_, doc_id, len(bs) + 1 as size,
 n as (select count(*) as total from documents),
 sides as (select total, cast(ceil(sqrt(total)) as bigint) as b, (total + cast(ceil(sqrt(total)) as bigint) - 1) // cast(ceil(sqrt(total)) as bigint) as a from n),
 numbered as (select doc_id, size, text_crc32, total, a, b, row_number() over (order by
-    (((coalesce(doc_id, 0) % {sharding.PRIME} + {sharding.PRIME}) % {sharding.PRIME} * {sharding.MULTIPLIER}) % {sharding.PRIME}) % {sharding.BUCKETS},
+    (((coalesce(doc_id, 0) % {sharding.PRIME} + {sharding.PRIME}) % {sharding.PRIME} * {sharding.MULTIPLIER}) % {sharding.PRIME} + text_crc32) % {sharding.BUCKETS},
     doc_id nulls first, text_crc32, size) - 1 as row_number from sums, sides),
 {(',' + chr(10)).join(chain)}
 select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law, cast({at} % 16 as integer) as shard,

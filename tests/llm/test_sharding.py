@@ -47,3 +47,14 @@ def test_a_hot_id_keeps_its_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
     check(sharding.feistel_shards(df).collect(), 3000)
     assert Counter(r.doc_id for r in sharding.feistel_shards(df).collect())[7] == 1500
+
+
+def test_null_ids_and_one_id_spread_over_buckets(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") < 50_000, F.lit(None)).otherwise(5).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    buckets = rows.groupBy(sharding.bucket_of(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))).alias("b")).count()
+    assert buckets.agg(F.max("count")).first()[0] < 100 and buckets.count() == sharding.BUCKETS
+
+
+def test_runs_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    check(sharding.feistel_shards(spark.createDataFrame([(None, "same")] * 500 + [(1, None)] * 40, "doc_id long, text string")).collect(), 540)

@@ -215,6 +215,17 @@ def test_language_accuracy(spark, sf_dir, edge, none):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {1, 5, 6, 8, None}
 
 
+def test_language_sample_is_bounded_and_repeatable(spark, edge):
+    rows = [(i, f"text {i} in language {i % 150}", f"l{i % 150:03}") for i in range(1500)] + [(7, "one row many times", "l000")] * 500
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    few, again = ({tuple(r) for r in langid.sample(d, "doc_id", "text", "lang", 5, 100, 200).collect()} for d in (df, df.repartition(7)))
+    assert few == again and len(few) <= 200 and len({lang for lang, _ in few}) == 100
+    clash = edge.withColumn("_guess", F.lit("own")).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_identified(clash.unionByName(edge.withColumn("_guess", F.lit("own"))))
+    assert kept.columns == clash.columns and {r._guess for r in kept.collect()} == {"own"} and {r.lang_pred for r in kept.collect()} == {"lang_pred"}
+    assert all(r.lang for r in kept.collect())
+
+
 def test_scores(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lm, "HELD_WORDS", 500)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
