@@ -73,11 +73,13 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = CHUNK_CHARS) -> Iterat
         yield batch.slice(start)
 
 
-def map_rows(rows: DataFrame, uses: list[str], new: dict[str, str], start: Callable[[], Callable[..., dict]]) -> DataFrame:
+def map_rows(
+    rows: DataFrame, uses: list[str], new: dict[str, str], start: Callable[[], Callable[..., dict]], chars: int = CHUNK_CHARS
+) -> DataFrame:
     """rows without the columns `uses`, with the columns `new` (name to type) that start()(*lists) gives.
 
     start() runs once a task; what it returns is called with the values of `uses`, the first of which is the text
-    whose length bounds a call. All other columns pass as Arrow data, so that long ids stay exact beside nulls.
+    whose length bounds a call (about `chars` code points). All other columns pass as Arrow data, so that long ids stay exact beside nulls.
     """
     kept = [f for f in rows.schema.fields if f.name not in uses]
     names = [f.name for f in kept] + list(new)
@@ -85,7 +87,7 @@ def map_rows(rows: DataFrame, uses: list[str], new: dict[str, str], start: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for part in slices(batch, uses[0]):
+            for part in slices(batch, uses[0], chars):
                 made = work(*[part.column(c).to_pylist() for c in uses])
                 columns = [part.column(f.name) for f in kept] + [pa.array(made[c], ARROW[t]) for c, t in new.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ from pagewright.llm.common import map_rows
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs that a task keeps between chunks: bounds of memory, not of results.
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 200_000
+CACHE_WORDS = 400_000
+CACHE_PAIRS = 300_000
 
 
 def merge(text: str, scores: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -93,12 +94,11 @@ class Encoder:
         self.ids, self.scores, self.byte_ids = model["ids"], model["scores"], model["bytes"]
         self.unknown, self.ranked = model["unknown"], model["ranked"]
         self.halves = model["halves"]
-        ends: dict[str, set[int]] = {}
+        #: finds all pieces that end at each place of a word
+        self.finder = ahocorasick.Automaton()
         for piece in self.ids:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], {1}).add(len(piece))
-        #: for the last two characters of a prefix the lengths of the pieces that end so, longest first
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+            self.finder.add_word(piece, piece)
+        self.finder.make_automaton()
         known = {c for c in self.ids if len(c) == 1 and c != MARK}
         each = "".join(sorted(map(re.escape, known)))
         self.words = re.compile(f"{MARK}+[{each}]*|[{each}]+|(?s:.)" if known else f"{MARK}+|(?s:.)")
@@ -153,25 +153,23 @@ class Encoder:
 
     def _extend(self, word: str, score: list[float], last: list[str]) -> None:
         """Forward scores and last pieces of the prefixes of word that are longer than those in score and last."""
-        ids, scores, lengths, follows, ranked = self.ids, self.scores, self.lengths, self.follows, self.ranked
-        single = (1,)
-        for end in range(len(score), len(word) + 1):
-            best, by = float("-inf"), ""
-            for n in lengths.get(word[end - 2 : end], single) if end > 1 else single:
-                piece = word[end - n : end] if n <= end else ""
-                if piece not in ids:
-                    continue
-                start = end - n
-                if ranked:
-                    pair = last[start], piece
-                    ok = follows.get(pair)
-                    if self.may_follow(*pair) if ok is None else ok:
-                        best, by = score[start] + scores[piece], piece  # the only segmentation that is allowed
-                        break
-                elif score[start] + scores[piece] > best:
-                    best, by = score[start] + scores[piece], piece
-            score.append(best)
-            last.append(by)
+        scores, follows, ranked = self.scores, self.follows, self.ranked
+        done = len(score)
+        score += [float("-inf")] * (len(word) + 1 - done)
+        last += [""] * (len(word) + 1 - done)
+        for end, piece in self.finder.iter(word):
+            end += 1
+            if end < done:
+                continue
+            start = end - len(piece)
+            if not ranked:
+                if score[start] + scores[piece] > score[end]:
+                    score[end], last[end] = score[start] + scores[piece], piece
+            elif not last[end]:
+                pair = last[start], piece
+                ok = follows.get(pair)
+                if self.may_follow(*pair) if ok is None else ok:
+                    score[end], last[end] = score[start] + scores[piece], piece  # the only segmentation that is allowed
 
     def add_words(self, words: Iterable[str]) -> None:
         """Encodes the words into the cache, depth-first over their trie."""
@@ -241,7 +239,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     new = {"ids": "array<int>", "n_tokens": "long", "n_bytes": "long", "ids_sha256": "string", "round_trip": "boolean"}
-    return map_rows(rows, ["text"], new, start)
+    return map_rows(rows, ["text"], new, start, 4_000_000)  # words of a call share prefixes
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:
