@@ -227,7 +227,8 @@ def contamination_report(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, as they were."""
+    """The documents that are not contaminated, as they were: null and empty texts stay, repeated rows stay or go together,
+    all columns stay, whatever their names, and without items all documents stay."""
     hits = contamination_hits(docs, items, id_col, text_col, **options)
     hits = cut(hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), _covered(F.col("hits")).alias("_n")))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))

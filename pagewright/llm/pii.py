@@ -221,7 +221,6 @@ def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
     return out
 
 
-
 def line(spans: list[tuple[int, int, int]]) -> str:
     """kind:start:end of sorted spans, comma-joined."""
     return ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in spans)
@@ -230,7 +229,8 @@ def line(spans: list[tuple[int, int, int]]) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind; code points, end exclusive) of every row.
 
-    Null texts are empty. Texts are read whole; spans of one kind never overlap.
+    Null texts are empty, a null id stays null, repeated rows have a row each, an empty table gives an empty result, and
+    other columns are ignored. Texts are read whole. Of loose spans that overlap, the higher score wins, then the place.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, **options))
     shape = "array<struct<start: int, end: int, kind: string>>"

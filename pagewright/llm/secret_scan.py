@@ -141,7 +141,11 @@ def _line(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: counts of each base kind, digest of the base spans, and all spans."""
+    """One row per document: counts of each base kind, digest of the base spans, and all spans.
+
+    Null and empty texts have none; a null id stays null; repeated rows have a row each (their values count as of one
+    repository); spans that begin alike go by kind; an empty table gives an empty result; other columns are ignored.
+    """
     rows, spans = secret_spans(docs, **options)
     per_row = spans.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"),
@@ -165,7 +169,8 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every reported span replaced: live and weak ones by [SECRET], copied examples by [EXAMPLE].
 
-    Overlapping spans are merged and count as live if one of them is. Only rows with spans are shuffled.
+    Overlapping spans are merged and count as live if one of them is. Null texts stay null, repeated rows stay as many as
+    they were, and all columns stay, whatever their names. Only rows that may hold a secret are shuffled.
     """
     rows, spans = secret_spans(docs, id_col, text_col, **options)
     marks = (

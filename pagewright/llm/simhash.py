@@ -165,13 +165,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
+    """doc_id, fingerprint (16 hex digits), component_id of every row.
+
+    Null, empty and blank texts have fingerprint zero and link with one another; a null id stays null; repeated rows have a
+    row each; an empty table gives an empty result; other columns are ignored.
+    """
     groups = near_duplicate_groups(docs, id_col, text_col, radius)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The row with the least id of each component, as it was; of repeated rows one stays."""
+    """The row with the least id of each component, as it was; null ids come last, then the text's hash decides, and of
+    repeated rows one stays. All columns stay, whatever their names; an empty table gives an empty result."""
     groups = cut(near_duplicate_groups(docs, id_col, text_col, radius))
     first = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("k1"), F.col("k2"))).alias("keep"),

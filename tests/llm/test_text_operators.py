@@ -174,6 +174,29 @@ def test_pii_threshold_is_that_of_loose_forms(spark):
         assert [every for _, every in pii.find(alike, model)] == [[], [], []], n
 
 
+def test_pii_precision_and_recall_on_foreign_sentences(spark, sf_dir):
+    rng = random.Random(41)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name, host = (lambda: rng.choice("anna.b tom_k mary99 info".split())), (lambda: rng.choice("example mailbox corp-net post".split()))
+    real = [
+        lambda: ("phone", f"You can reach me by phone: ({d(3)}) {d(3)}-{d(4)} after six"), lambda: ("phone", f"Her mobile: {d(3)}-{d(3)}-{d(4)}, ask for her"),
+        lambda: ("email", f"Please contact {name()}(at){host()}(dot)org for details"), lambda: ("email", f"mail {name()} [at] {host()} [dot] de today"),
+        lambda: ("id", f"His social security number is {d(3)}-{d(2)}-{d(4)} as filed"), lambda: ("id", f"SSN: {d(3)}-{d(2)}-{d(4)}"),
+        lambda: ("iban", f"Pay to account DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)} by Friday"), lambda: ("iban", f"IBAN: FR{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)} {d(3)}"),
+    ]
+    alike = [
+        lambda: f"We shipped version {d(3)}.{d(3)}.{d(3)} of the tool", lambda: f"the ratio was {d(3)} {d(3)} {d(3)} over years", lambda: f"part {d(3)}-{d(2)}-{d(4)} is out of stock",
+        lambda: "we arrived at noon dot and left", lambda: f"case no. {d(3)}/{d(3)}/{d(3)} was closed", lambda: f"commit A{rng.choice('BCD')}{d(2)}{d(4)}{d(4)}{d(4)}{d(4)} was merged",
+    ]
+    model = pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    added = lambda texts: [[pii.KINDS[k] for _, k, _ in set(every) - set(base)] for base, every in pii.find(texts, model)]
+    wanted = [f() for f in real for _ in range(30)]
+    found = added([t for _, t in wanted])
+    wrong = sum(map(len, added([f() for f in alike for _ in range(30)])))
+    right = sum(k in kinds for (k, _), kinds in zip(wanted, found))
+    assert right >= 0.9 * len(wanted) and right >= 0.9 * (wrong + sum(map(len, found)))
+
+
 def test_pii_sample_reads_whole_documents(spark, monkeypatch):
     got = []
     monkeypatch.setattr(pii, "fit", lambda samples: got.extend(samples))
