@@ -8,6 +8,7 @@ from helpers import duck_rows, spark_rows
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline
+from pagewright.llm import spm
 from pagewright.llm.queries import QUERIES
 from pagewright.llm.sql import ORACLES
 
@@ -47,3 +48,20 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir, edge):
         assert out.columns == docs.columns, name
         assert out.count() > 0
         stage(spark, docs.limit(0), sf_dir).collect()
+
+
+def test_long_ids_and_clashing_columns_pass_through(spark, tmp_path):
+    rows = [
+        (2**60 + 1, "A text of some words about the weather of the north", "en", "s1", 51), (None, "A letter without any id stands in the table too", None, "s2", 47),
+        (2**60 + 3, "password=abcdef123 is what this other document of words holds", "en", None, 61), (5, None, "en", "s1", None), (6, "12345", "en", "s1", 5),
+        (7, "the benchmark passage " * 10, "en", "s3", 220),
+    ]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, shape)
+    for c in ("_row", "_guess", "k1", "k2", "rid", "fp", "root", "component_id", "hits", "score", "ids", "_part"):
+        docs = docs.withColumn(c, docs.source)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "the benchmark passage " * 6)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {2**60 + 1, None, 2**60 + 3}
+    assert "abcdef123" not in " ".join(r.text for r in spm.decode_ids(spark.createDataFrame([(got[2**60 + 3].ids,)], "ids array<int>"), out="text").collect())
