@@ -16,27 +16,30 @@ from pagewright.session import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language go; a missing language is filled in."""
+    """Documents without a letter (null and empty texts among them) go; a missing language is filled in.
+
+    Repeated rows and null ids stay; all columns stay, whatever their names; an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays, null ids last; of repeated rows one."""
     return keep_one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least a twentieth of their words in benchmark windows go."""
+    """Documents with at least a twentieth of their words in benchmark windows go; without items all stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are replaced."""
+    """All documents stay; secrets in them are replaced. Null texts stay null."""
     return redact_secrets(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids."""
+    """doc_id and token ids of every document; a null id stays null, an empty text has no ids."""
     return encode_texts(docs)
 
 
