@@ -114,9 +114,44 @@ select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as
 from embeddings left join low using (vec_id) left join n using (vec_id)
 """
 
+#: crc32 of the decimal ids by a table of 256 values; ties of turns by the key that the operator states.
+CONVERSATIONS = """
+with crc_table as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text, left(base64(unhex(left(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 32))), 22) as k
+      from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by c order by turn nulls first, k) - 1 as pos from t),
+n as (select c, count(*) as n, c - c % 5 as base from o group by c),
+hs as (select c, n, base, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)),
+       lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 as h from n, crc_table),
+front as (select hs.c, o.pos as nth, role, text, k from hs join o on o.c = hs.base and o.pos < hs.h),
+rest as (select o.c, o.pos as nth, role, text, k from hs join o on o.c = hs.c and o.pos >= hs.h),
+b as (select *, row_number() over (partition by c order by nth) as depth from (select * from front union all select * from rest)),
+p as (select c, depth, strlen(text) as bytes, string_agg(k, ',') over (partition by c order by depth) as path from b
+      union all select c, 0, 0, '' from hs),
+x as (select c, depth, bytes, path, coalesce(lag(path) over (partition by c order by depth), '') as up, depth = max(depth) over (partition by c) as ends from p),
+nodes as (select path, any_value(up) as up, depth, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * max(bytes) as own,
+          sha256(coalesce(string_agg(case when ends then c end, ',' order by c), '')) as ends_sha256 from x group by path, depth),
+kids as (select up, count(*) as n_children from nodes where depth > 0 group by up),
+full_ as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids on kids.up = nodes.path),
+sums as (select x.path, sum(own) as saved, count_if(n_children = 0) as n_leaves from full_ f join x on x.c = f.conv_id and x.depth <= f.depth group by x.path)
+select f.conv_id, f.depth, case when f.depth > 0 then g.conv_id end as parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, f.ends_sha256
+from full_ f join sums using (path) left join nodes g on g.path = f.up and f.depth > 0
+"""
+
+URLS = """
+with rules as (select * from (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) as r(h, p, v)),
+a as (select row_number() over () as rid, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+b as (select *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+f as (select rid, h || p as rule, v, row_number() over (partition by rid order by length(h || p) desc, length(h) desc) as place from b join rules
+      on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from b left join (select * from f where place = 1) using (rid)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding_sql(),
     "op2_embedding_dedup": EMBEDDINGS,
     "op3_decontamination": DECONTAMINATION,
     "op10_secret_scan": SECRETS,
+    "op11_conversation_trie": CONVERSATIONS,
+    "op13_url_filter": URLS,
 }
