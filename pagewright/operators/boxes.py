@@ -1,4 +1,4 @@
-"""Tiles, overlapping boxes and batches of crops."""
+"""Tiles, the first boxes of a page and batches of crops by ratio."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.functions.geometry import overlap_over_smaller
-
-OVERLAP = 0.65
 MAX_BOXES = 1000
 
 
@@ -29,24 +26,6 @@ def tile_offsets(length: Column, tile: Column) -> Column:
     return F.when(length <= tile, F.array(F.lit(0).cast("long"))).otherwise(offsets)
 
 
-def drop_overlaps(boxes: DataFrame, page: str = "image_id", overlap: float = OVERLAP) -> DataFrame:
-    """Boxes (page, position, x, y, width, height) that survive: from the largest on, a box goes if a kept one
-    covers the given share of the smaller of the two. Ties in area keep the input order.
-
-    The rule is sequential, so the boxes of one page (at most MAX_BOXES from a detector's tile) are folded as one
-    array; pages are independent.
-    """
-    box = F.struct((-F.col("width") * F.col("height")).alias("minus_area"), "position", "x", "y", "width", "height")
-    pages = boxes.groupBy(page).agg(F.array_sort(F.collect_list(box)).alias("all"))
-    none = F.slice("all", 1, 0)
-    kept = F.aggregate(
-        "all",
-        none,
-        lambda acc, b: F.when(F.exists(acc, lambda k: overlap_over_smaller(k, b) >= overlap), acc).otherwise(F.concat(acc, F.array(b))),
-    )
-    return pages.select(page, F.explode(kept).alias("b")).select(page, "b.position", "b.x", "b.y", "b.width", "b.height")
-
-
 def ratio_batches(crops: DataFrame, size: Column, page: str = "image_id") -> DataFrame:
     """crops (page, box_idx, width, height) with batch and batch_max_ratio: chunks of `size` by rising ratio."""
     ratio = F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(F.lit(0.0))
@@ -57,64 +36,6 @@ def ratio_batches(crops: DataFrame, size: Column, page: str = "image_id") -> Dat
     return rows.withColumn("batch_max_ratio", most)
 
 
-def width_batches(crops: DataFrame, size: int, budget: int, page: str = "image_id") -> DataFrame:
-    """page, box_idx, width, batch: greedy packing by rising width.
-
-    A batch is closed when one more crop would exceed its count or its padded width, or is much wider than the rest.
-    """
-    item = F.struct("width", "box_idx")
-    pages = crops.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(
-        F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("widest"),
-        F.array().cast("array<struct<box_idx: bigint, width: bigint, batch: int>>").alias("out"),
-    )
-
-    def step(s: Column, c: Column) -> Column:
-        width = c["width"].cast("long")
-        wide = F.greatest(s["widest"], width)
-        full = (s["count"] + 1 > size) | (wide * (s["count"] + 1) > budget)
-        odd = (s["count"] >= 2) & (width > F.greatest(F.lit(256.0), s["widest"] * 1.85))
-        close = (s["count"] > 0) & (full | odd)
-        batch = s["batch"] + close.cast("int")
-        entry = F.struct(c["box_idx"].cast("long").alias("box_idx"), width.alias("width"), batch.alias("batch"))
-        return F.struct(
-            batch.alias("batch"),
-            F.when(close, 1).otherwise(s["count"] + 1).alias("count"),
-            F.when(close, width).otherwise(wide).alias("widest"),
-            F.concat(s["out"], F.array(entry)).alias("out"),
-        )
-
-    packed = F.aggregate("all", start, step, lambda s: s["out"])
-    return pages.select(page, F.explode(packed).alias("c")).select(page, "c.box_idx", "c.width", "c.batch")
-
-
-def greedy_matches(references: DataFrame, predictions: DataFrame, page: str = "image_id", iou: float = 0.5) -> DataFrame:
-    """page, ref_idx, pred_idx: one-to-one matches in input order of axis-aligned boxes with enough overlap.
-
-    References are taken in order; each takes the first free prediction with the largest overlap. Boxes of one page
-    are one array each.
-    """
-    pack = lambda df, name: df.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y", "width", "height"))).alias(name))
-    both = pack(references, "refs").join(pack(predictions, "preds"), page)
-
-    def overlap(a: Column, b: Column) -> Column:
-        dx = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
-        dy = F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"])
-        shared = F.greatest(dx, F.lit(0.0)) * F.greatest(dy, F.lit(0.0))
-        union = a["width"] * a["height"] + b["width"] * b["height"] - shared
-        return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-
-    def step(acc: Column, r: Column) -> Column:
-        free = F.filter(F.col("preds"), lambda p: ~F.exists(acc, lambda m: m["pred_idx"] == p["idx"]))
-        scored = F.transform(free, lambda p: F.struct(overlap(r, p).alias("iou"), (-p["idx"]).alias("minus"), p["idx"].alias("idx")))
-        best = F.array_max(scored)
-        found = F.struct(r["idx"].alias("ref_idx"), best["idx"].alias("pred_idx"), best["iou"].alias("iou"))
-        return F.when(best["iou"] >= iou, F.concat(acc, F.array(found))).otherwise(acc)
-
-    none = F.array().cast("array<struct<ref_idx: bigint, pred_idx: bigint, iou: double>>")
-    return both.select(page, F.explode(F.aggregate("refs", none, step)).alias("m")).select(page, "m.*")
-
-
 def first_boxes(boxes: DataFrame, limit: int = MAX_BOXES, page: str = "image_id") -> DataFrame:
     """The first boxes of each page by position: as many as the detector may give. Spark keeps `limit` rows a page
     before the shuffle as well as after it."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright import dims
 from pagewright.functions import evaluation, geometry, language, text
-from pagewright.operators import boxes, ctc, ordering, raster, routing, validate
+from pagewright.operators import boxes, ctc, matching, ordering, overlaps, packing, raster, routing, validate
 from pagewright.plans import inputs
 from pagewright.sources import documents, images, tsv
 from pagewright.streaming import worker
@@ -59,7 +59,7 @@ def crop_geometry(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def overlap_dedup(spark: Session, sf_dir: str) -> DataFrame:
-    return boxes.drop_overlaps(inputs.lines(spark, sf_dir)).select("image_id", "position")
+    return overlaps.drop_overlaps(inputs.lines(spark, sf_dir)).select("image_id", "position")
 
 
 def tile_offsets(spark: Session, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def crop_batches(spark: Session, sf_dir: str) -> DataFrame:
 
 def width_batches(spark: Session, sf_dir: str) -> DataFrame:
     crops = inputs.lines(spark, sf_dir).select("image_id", F.col("line_id").alias("box_idx"), F.ceil(F.col("width") * 48 / F.col("height")).alias("width"))
-    return boxes.width_batches(crops, 8, 8192).select("image_id", "box_idx", "width", F.col("batch").cast("long"))
+    return packing.width_batches(crops, 8, 8192).select("image_id", "box_idx", "width", F.col("batch").cast("long"))
 
 
 def script_tags(spark: Session, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def detection_matches(spark: Session, sf_dir: str) -> DataFrame:
     """Boxes of the pages against the same boxes moved by a few pixels."""
     rows = inputs.lines(spark, sf_dir).select("image_id", F.col("line_id").alias("idx"), "x", "y", "width", "height")
     moved = rows.withColumn("x", F.col("x") + F.col("idx") % 29).filter("idx % 9 <> 0")
-    return boxes.greedy_matches(rows, moved).select("image_id", "ref_idx", "pred_idx")
+    return matching.greedy_matches(rows, moved).select("image_id", "ref_idx", "pred_idx")
 
 
 def detection_scores(spark: Session, sf_dir: str) -> DataFrame:
@@ -334,6 +334,34 @@ def detection_scores(spark: Session, sf_dir: str) -> DataFrame:
     return both.select("image_id", "hits", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(evaluation.h_mean(p, r), 6).alias("h_mean"))
 
 
+def _turned_regions(spark: Session, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions of pages that are turned by a page's angle, some unreadable, and predictions a few pixels along the lines."""
+    rows = inputs.lines(spark, sf_dir)
+    turn = lambda k: F.element_at(F.array(*[F.lit(v) for v in k]), (F.col("image_id") % 3 + 1).cast("int"))
+    c, s = turn([1.0, 0.6, 0.8]), turn([0.0, 0.8, -0.6])
+    at = lambda x, y: geometry.point(x * c - y * s, x * s + y * c)
+
+    def region(x: Column, words: Column) -> list[Column]:
+        y, right, low = F.col("y"), x + F.col("width"), F.col("y") + F.col("height")
+        return [F.col("image_id"), F.col("line_id").alias("idx"), F.array(at(x, y), at(right, y), at(right, low), at(x, low)).alias("points"), words.alias("text")]
+
+    n = F.col("line_id")
+    said = F.when(n % 4 == 0, F.concat(F.lit('"'), F.upper("text"), F.lit("!)"))).when(n % 5 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))
+    references = rows.select(*region(F.col("x"), F.when(n % 10 == 4, matching.UNREADABLE).otherwise(F.col("text"))))
+    return references, rows.filter("line_id % 9 <> 0").select(*region(F.col("x") + n % 29, said))
+
+
+def polygon_matches(spark: Session, sf_dir: str) -> DataFrame:
+    found = matching.polygon_matches(*_turned_regions(spark, sf_dir))
+    return found.select("image_id", "ref_idx", "pred_idx", F.round("iou", 6).alias("iou"), "same_text")
+
+
+def end_to_end_scores(spark: Session, sf_dir: str) -> DataFrame:
+    found = matching.end_to_end_scores(*_turned_regions(spark, sf_dir))
+    shares = [F.round(c, 6).alias(c) for c in ("precision", "recall", "h_mean", "e2e_precision", "e2e_recall", "e2e_h_mean")]
+    return found.select("image_id", "refs", "preds", "hits", "text_hits", *shares)
+
+
 DICTIONARY = "a: 1\n  character_dict:\n  - x\n  - 'it''s'\n  - \"\\u00e9\"\n  - '  '\nnext: 2\n  - y\n"
 
 
@@ -369,7 +397,7 @@ QUERIES = {
         reading_order, rebuild_text, line_bounds, crop_geometry, overlap_dedup, tile_offsets, tiled_images, crop_batches, width_batches,
         script_tags, script_fractions, language_codes, recognizer_plans, required_models, line_languages, select_candidate,
         candidate_alternatives, route_crops, tsv_words, tsv_lines, tsv_pages, ctc_decode, word_boxes, character_errors, word_errors,
-        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores,
+        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores, polygon_matches, end_to_end_scores,
         dictionary_entries, worker_responses, image_headers,
     )
 }

@@ -191,6 +191,29 @@ f as (
 matched as (select image_id, ref as ref_idx, hit as pred_idx from f where hit is not null)
 """
 
+#: Pages are turned as a whole, so that areas are those of the boxes before the turn.
+_SHARE = "greatest(least({0}.x + {0}.w, {1}.x + {1}.w) - greatest({0}.x, {1}.x), 0) * greatest(least({0}.y + {0}.h, {1}.y + {1}.h) - greatest({0}.y, {1}.y), 0)"
+_FOLDED = "replace(lower(regexp_replace({}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), 'ß', 'ss')"
+TURNED = f"""
+with recursive base as ({LINES}),
+regions as (select image_id, line_id as i, x, y, width as w, height as h, text from base),
+masks as (select * from regions where i % 10 = 4),
+refs as (select *, row_number() over (partition by image_id order by i) as k from regions where i % 10 <> 4 and coalesce(text, '') <> '###'),
+shown as (select image_id, i, x + i % 29 as x, y, w, h, case when i % 4 = 0 then concat('"', upper(text), '!)') when i % 5 = 0 then concat(text, ' x') else text end as text from regions where i % 9 <> 0),
+preds as (select * from shown where not exists (select 1 from masks where masks.image_id = shown.image_id and {_SHARE.format('masks', 'shown')} > 0.5 * shown.w * shown.h)),
+pairs as (select r.image_id, r.k, r.i as ref, p.i as hit, {_SHARE.format('r', 'p')} / (r.w * r.h + p.w * p.h - {_SHARE.format('r', 'p')}) as iou,
+          coalesce({_FOLDED.format('r.text')} = {_FOLDED.format('p.text')}, false) as same_text from refs r join preds p on p.image_id = r.image_id and {_SHARE.format('r', 'p')} > 0),
+near as (select image_id, k, list({{'o': iou, 'm': -hit}} order by iou desc, hit) as ps from pairs where iou >= 0.5 group by image_id, k),
+f as (
+  select image_id, 0::bigint as k, null::bigint as hit, []::bigint[] as used from (select distinct image_id from regions)
+  union all
+  select f.image_id, r.k, z.hit, case when z.hit is null then f.used else list_append(f.used, z.hit) end
+  from f join refs r on r.image_id = f.image_id and r.k = f.k + 1 left join near on near.image_id = r.image_id and near.k = r.k,
+  lateral (select -(list_filter(near.ps, lambda p: not list_contains(f.used, -p.m))[1].m) as hit) z
+),
+matched as (select f.image_id, ref as ref_idx, f.hit as pred_idx, round(iou, 6) as iou, same_text from f join pairs on pairs.image_id = f.image_id and pairs.k = f.k and pairs.hit = f.hit)
+"""
+
 REQUESTS = "requests as (select * from (values {}) as t(request_id, request))".format(
     ", ".join(f"({i}, {r!r}::varchar[])" for i, r in catalog.REQUESTS)
 )
@@ -350,6 +373,14 @@ n as (select image_id, count(*) as refs, count_if(line_id % 9 <> 0) as preds fro
 h as (select image_id, count(*) as hits from matched group by image_id),
 j as (select n.image_id, coalesce(hits, 0) as hits, coalesce(hits, 0) / preds as p, coalesce(hits, 0) / refs as r from n left join h using (image_id))
 select image_id, hits, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as h_mean from j""",
+    "polygon_matches": f"{TURNED} select * from matched",
+    "end_to_end_scores": f"""{TURNED},
+n as (select image_id, (select count(*) from refs where refs.image_id = d.image_id) as refs, (select count(*) from preds where preds.image_id = d.image_id) as preds,
+      (select count(*) from matched where matched.image_id = d.image_id) as hits, (select count(*) from matched where matched.image_id = d.image_id and same_text) as text_hits
+      from (select distinct image_id from regions) d),
+s as (select *, case when preds > 0 then hits / preds end as p, case when refs > 0 then hits / refs end as r, case when preds > 0 then text_hits / preds end as tp, case when refs > 0 then text_hits / refs end as tr from n)
+select image_id, refs, preds, hits, text_hits, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as h_mean,
+       round(tp, 6) as e2e_precision, round(tr, 6) as e2e_recall, round(case when tp + tr > 0 then 2 * tp * tr / (tp + tr) else 0 end, 6) as e2e_h_mean from s""",
     "dictionary_entries": _values([("m", 1, "x"), ("m", 2, "it's"), ("m", 3, "é"), ("m", 4, "  ")], "model, position, entry"),
     "worker_responses": _values(
         [

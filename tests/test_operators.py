@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import evaluation, geometry, language, text
-from pagewright.operators import boxes, ctc, ordering, raster, routing, validate
+from pagewright.operators import boxes, ctc, ordering, overlaps, packing, raster, routing, validate
 from pagewright.sources import documents, images, tsv
 from pagewright.streaming import worker
 
@@ -132,13 +132,13 @@ def test_reading_order(spark):
 
 
 def test_overlaps(spark):
-    kept = boxes.drop_overlaps(lines(spark, [(10, 10, 90, 20), (11, 10, 90, 20), (10, 35, 90, 20), (12, 36, 5, 0)]))
+    kept = overlaps.drop_overlaps(lines(spark, [(10, 10, 90, 20), (11, 10, 90, 20), (10, 35, 90, 20), (12, 36, 5, 0)]))
     assert sorted(r.position for r in kept.collect()) == [0, 2, 3]
 
 
 def test_width_batches(spark):
     crops = spark.createDataFrame([(0, i, w) for i, w in enumerate([100, 100, 120, 400, 3000])], "image_id long, box_idx long, width long")
-    got = {r.box_idx: r.batch for r in boxes.width_batches(crops, 8, 8192).collect()}
+    got = {r.box_idx: r.batch for r in packing.width_batches(crops, 8, 8192).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
 
 
