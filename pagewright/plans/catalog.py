@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pagewright import dims
 from pagewright.functions import evaluation, geometry, language, text
-from pagewright.operators import boxes, ctc, matching, ordering, overlaps, packing, raster, routing, validate
+from pagewright.operators import boxes, ctc, matching, ordering, overlaps, packing, raster, recognition, routing, validate
 from pagewright.plans import inputs
 from pagewright.sources import documents, images, tsv
 from pagewright.streaming import worker
@@ -362,6 +362,25 @@ def end_to_end_scores(spark: Session, sf_dir: str) -> DataFrame:
     return found.select("image_id", "refs", "preds", "hits", "text_hits", *shares)
 
 
+def recognized_lines(spark: Session, sf_dir: str) -> DataFrame:
+    """Every line of the recognised documents, with the right end of its first word."""
+    found = recognition.recognize_documents(*inputs.recognition(spark, sf_dir)).select("image_id", F.explode("doc.lines").alias("l"))
+    first = F.get(F.get("l.words", F.lit(0))["quad"]["points"], F.lit(1))["x"]
+    return found.select(
+        "image_id", F.col("l.id").alias("line_id"), F.col("l.order").alias("line_order"), F.col("l.text").alias("text"), F.round(F.col("l.confidence").cast("double"), 4).alias("confidence"),
+        F.col("l.language").alias("language"), F.col("l.script").alias("script"), F.size("l.words").cast("long").alias("n_words"), F.size("l.alternatives").cast("long").alias("n_alternatives"),
+        F.round(first.cast("double"), 3).alias("first_word_x"), F.get("l.quad.points", F.lit(2))["y"].cast("double").alias("low"),
+    )
+
+
+def recognized_documents(spark: Session, sf_dir: str) -> DataFrame:
+    found = recognition.recognize_documents(*inputs.recognition(spark, sf_dir))
+    return found.select(
+        "image_id", F.col("doc.text").alias("text"), F.coalesce(F.size("doc.lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.array_join("doc.language_hints", ",").alias("hints"), F.col("doc.metadata.engine.model").alias("model"), F.array_join("errors", "|").alias("errors"),
+    )
+
+
 DICTIONARY = "a: 1\n  character_dict:\n  - x\n  - 'it''s'\n  - \"\\u00e9\"\n  - '  '\nnext: 2\n  - y\n"
 
 
@@ -397,7 +416,7 @@ QUERIES = {
         reading_order, rebuild_text, line_bounds, crop_geometry, overlap_dedup, tile_offsets, tiled_images, crop_batches, width_batches,
         script_tags, script_fractions, language_codes, recognizer_plans, required_models, line_languages, select_candidate,
         candidate_alternatives, route_crops, tsv_words, tsv_lines, tsv_pages, ctc_decode, word_boxes, character_errors, word_errors,
-        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores, polygon_matches, end_to_end_scores,
+        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores, polygon_matches, end_to_end_scores, recognized_lines, recognized_documents,
         dictionary_entries, worker_responses, image_headers,
     )
 }

@@ -53,3 +53,38 @@ def tsv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat_ws("\t", F.lit("1"), F.lit("1"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("640"), F.lit("4000"), F.lit("-1"), F.lit(""))
     body = F.transform(words, row)
     return docs.select(F.col("doc_id").alias("image_id"), F.array_join(F.concat(F.array(F.lit("header"), page), body), "\n").alias("tsv"))
+
+
+#: Every second image is three tiles long; a fifth of its boxes lie where two tiles overlap and are found in both.
+IMAGES = """
+select distinct cast(floor(doc_id / 50.0) as bigint) as image_id, concat(cast(floor(doc_id / 50.0) as bigint), '.png') as file_name, 1200 as width,
+       case when cast(floor(doc_id / 50.0) as bigint) % 2 = 0 then 3000 else 700 end as height from documents
+"""
+DETECTIONS = """
+select image_id, position, case when image_id % 2 = 0 then position % 3 else 0 end as tile_no, x, width, height,
+       case when image_id % 2 = 0 and position % 5 = 0 then 860 + cast(y as bigint) % 380 else y end as y from lines
+"""
+TWICE = """
+select image_id, position, tile_no, x, y, width, height from seen
+union all select image_id, position, tile_no + 1 as tile_no, x, y - 860 as y, width, height from seen where image_id % 2 = 0 and position % 5 = 0 and tile_no < 2
+"""
+
+
+def recognition(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images with requests, detections by tile, and readings of four recognisers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = lambda *w: F.array(*[F.lit(v) for v in w]).cast("array<string>")
+    request = F.when(F.col("image_id") % 7 == 6, words("xx", "de"))
+    for k, codes in enumerate((("auto",), ("de",), ("ru", "en"), ("ko",))):
+        request = request.when(F.col("image_id") % 4 == k, words(*codes))
+    images = spark.sql(IMAGES.replace("from documents", "from {documents}"), documents=docs).withColumns({"languages": request, "quality": F.lit("balanced")})
+    seen = spark.sql(DETECTIONS.replace("from lines", "from {lines}"), lines=lines(spark, sf_dir))
+    twice = spark.sql(TWICE.replace("from seen", "from {seen}"), seen=seen)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, right, low = F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    detections = twice.select("image_id", F.col("tile_no").cast("int"), "position", F.array(corner(x, y), corner(right, y), corner(right, low), corner(x, low)).alias("points"))
+    read = candidates(spark, sf_dir).withColumnRenamed("box_idx", "position")
+    n = F.char_length("text")
+    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    readings = detections.select("image_id", "tile_no", "position").join(read, ["image_id", "position"])
+    return images, detections, readings.withColumns({"columns": steps, "sequence_length": n + 2})

@@ -214,6 +214,48 @@ f as (
 matched as (select f.image_id, ref as ref_idx, f.hit as pred_idx, round(iou, 6) as iou, same_text from f join pairs on pairs.image_id = f.image_id and pairs.k = f.k and pairs.hit = f.hit)
 """
 
+RECOGNIZED = f"""
+with recursive lines as ({LINES}), recognizers as ({inputs.RECOGNIZERS}), words as ({inputs.WORDS}), read as ({inputs.CANDIDATES}),
+images as ({inputs.IMAGES}), seen as ({inputs.DETECTIONS}), twice as ({inputs.TWICE}),
+placed as (select image_id, position, cast(tile_no as bigint) * 4294967296 + position as box, x, y + 860 * tile_no as y, width as w, height as h from twice),
+sized as (select *, row_number() over (partition by image_id order by w * h desc, box) as k from placed where image_id % 2 = 0),
+fold as (
+  select image_id, k, [{{'x': x, 'y': y, 'w': w, 'h': h, 'b': box}}] as kept from sized where k = 1
+  union all
+  select s.image_id, s.k, case when len(list_filter(fold.kept, lambda p:
+      greatest(least(p.x + p.w, s.x + s.w) - greatest(p.x, s.x), 0) * greatest(least(p.y + p.h, s.y + s.h) - greatest(p.y, s.y), 0) / least(p.w * p.h, s.w * s.h) >= 0.65)) > 0
+    then fold.kept else list_append(fold.kept, {{'x': s.x, 'y': s.y, 'w': s.w, 'h': s.h, 'b': s.box}}) end
+  from fold join sized s on s.image_id = fold.image_id and s.k = fold.k + 1
+),
+stay as (select image_id, unnest(list_transform(kept, lambda p: p.b)) as box from (select image_id, arg_max(kept, k) as kept from fold group by image_id)),
+boxes as (select * from placed where image_id % 7 <> 6 and (image_id % 2 = 1 or exists (select 1 from stay where stay.image_id = placed.image_id and stay.box = placed.box))),
+r as (select b.image_id, b.box, b.x, b.y, b.w, b.h, recognizer, text, confidence from boxes b join read on read.image_id = b.image_id and read.box_idx = b.position where trim(text) <> ''),
+prime as (select *, case image_id % 4 when 0 then 'primary' when 1 then 'latin' when 2 then 'primary' end as main from boxes),
+heard as (select p.*, r.text as said, r.confidence as sure from prime p left join r on r.image_id = p.image_id and r.box = p.box and r.recognizer = p.main),
+asked as (
+  select image_id, box, w, h, main as recognizer, 'primary' as role from heard where main is not null
+  union all select image_id, box, w, h, 'latin', 'latin' from heard where image_id % 4 = 0 and (sure is null or sure < 0.99 or {HAS['latin'].replace('text', 'said')})
+  union all select image_id, box, w, h, 'cyrillic', 'cyrillic' from heard where image_id % 4 = 0 and (sure is null or sure < 0.99 or {HAS['cyrillic'].replace('text', 'said')})
+  union all select image_id, box, w, h, 'korean', 'korean' from heard where image_id % 4 = 0 and (sure is null or sure < 0.99 or {HAS['korean'].replace('text', 'said')})
+  union all select image_id, box, w, h, 'cyrillic', 'cyrillic' from heard where image_id % 4 = 2 and (sure is null or sure < 0.82 or {HAS['cyrillic'].replace('text', 'said')})
+  union all select image_id, box, w, h, 'korean', 'korean' from heard where image_id % 4 = 3),
+chunked as (select *, (row_number() over (partition by image_id, recognizer order by w / h, box) - 1) // 8 as batch from asked),
+batched as (select *, greatest(1, max(w / h) over (partition by image_id, recognizer, batch)) as most from chunked),
+cands as (select a.*, r.text, r.confidence, r.x, r.y, case role when 'latin' then {_share('text', 'latin')} when 'cyrillic' then {_share('text', 'cyrillic')} when 'korean' then {_share('text', 'korean')} end as f
+          from batched a join r using (image_id, box, recognizer) where r.confidence >= 0.8),
+placed_ as (select *, row_number() over (partition by image_id, box order by case when f is null then confidence when f > 0 then confidence + 0.004 * f * f else confidence - 0.08 end desc,
+            confidence desc, case role when 'latin' then 1 when 'cyrillic' then 2 when 'korean' then 3 else 0 end, encode(text)) as place from cands),
+won as (select *, row_number() over (partition by image_id order by box) as number,
+        (select count(distinct o.text) from placed_ o where o.image_id = p.image_id and o.box = p.box and o.text <> p.text) as n_alternatives from placed_ p where place = 1),
+inside as (select won.*, least(won.x, 1200) as x0, least(won.x + won.w, 1200) as x1, least(won.y, height) as y0, least(won.y + won.h, height) as y1,
+           list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') as toks from won join images using (image_id)),
+share as (select *, length(toks[1]) as n1, length(text) as n, (w / h) * (length(text) + 2) / most as s from inside),
+shown as (select *, case when n1 = n then 1.0 else (least(1, (n1 - 0.5) / s) + least(1, (n1 + 0.5) / s)) / 2 end as cut_ from share),
+gaps as (select *, case when abs((y0 + y1) / 2 - lag((y0 + y1) / 2) over d) <= 0.5 * least(y1 - y0, lag(y1 - y0) over d) then 0 else 1 end as brk from shown window d as (partition by image_id order by y0, x0, number)),
+rows_ as (select *, sum(brk) over (partition by image_id order by y0, x0, number rows unbounded preceding) as row_ from gaps),
+final as (select *, row_number() over (partition by image_id order by row_, x0, y0, number) - 1 as ord, {TAG.format('text')} as tag from rows_)
+"""
+
 REQUESTS = "requests as (select * from (values {}) as t(request_id, request))".format(
     ", ".join(f"({i}, {r!r}::varchar[])" for i, r in catalog.REQUESTS)
 )
@@ -381,6 +423,16 @@ n as (select image_id, (select count(*) from refs where refs.image_id = d.image_
 s as (select *, case when preds > 0 then hits / preds end as p, case when refs > 0 then hits / refs end as r, case when preds > 0 then text_hits / preds end as tp, case when refs > 0 then text_hits / refs end as tr from n)
 select image_id, refs, preds, hits, text_hits, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as h_mean,
        round(tp, 6) as e2e_precision, round(tr, 6) as e2e_recall, round(case when tp + tr > 0 then 2 * tp * tr / (tp + tr) else 0 end, 6) as e2e_h_mean from s""",
+    "recognized_lines": f"""{RECOGNIZED}
+select image_id, printf('line-%04d', number) as line_id, ord as line_order, text, round(confidence, 4) as confidence,
+       case when image_id % 4 = 0 then case tag when 'Kore' then 'ko' when 'Jpan' then 'ja' end when image_id % 4 = 1 and tag = 'Latn' then 'de'
+            when image_id % 4 = 2 and tag = 'Cyrl' then 'ru' when image_id % 4 = 2 and tag = 'Latn' then 'en' when image_id % 4 = 3 and tag = 'Kore' then 'ko' end as language,
+       tag as script, len(toks) as n_words, n_alternatives, round(cast(cast(least(1200, x + w * cut_) as float) as double), 3) as first_word_x, y1::double as low from final""",
+    "recognized_documents": f"""{RECOGNIZED}
+select image_id, case when image_id % 7 <> 6 then coalesce(string_agg(text, chr(10) order by ord), '') end as text, count(text) as n_lines,
+       case when image_id % 7 <> 6 then case image_id % 4 when 0 then '' when 1 then 'de' when 2 then 'ru,en' else 'ko' end end as hints,
+       case when image_id % 7 <> 6 then 'v6-small-rec' end as model, case when image_id % 7 = 6 then 'unsupported languages xx' else '' end as errors
+from images left join final using (image_id) group by image_id""",
     "dictionary_entries": _values([("m", 1, "x"), ("m", 2, "it's"), ("m", 3, "é"), ("m", 4, "  ")], "model, position, entry"),
     "worker_responses": _values(
         [
