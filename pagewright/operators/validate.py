@@ -35,16 +35,25 @@ def _missing(value: Column) -> Column:
     return value.isNull() | _blank(value)
 
 
+def _again(values: Column, blanks: bool = True) -> Column:
+    """array of (i, v): the entries that stand before already, by place i; blanks: whether blank texts count.
+
+    Equal entries lie together after a sort, so that the work grows with n log n. Nothing in a lambda but its own
+    arguments: an expression over the whole array there would be computed anew for each entry.
+    """
+    keyed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    ordered = F.array_sort(keyed if blanks else F.filter(keyed, lambda e: ~_missing(e["v"])))
+    shifted = F.transform(F.array(ordered), lambda o: F.zip_with(o, F.concat(F.array(F.get(o, F.lit(0))), o), lambda b, a: F.when((a["v"] == b["v"]) & (a["i"] < b["i"]), F.struct(b["i"].alias("i"), b["v"].alias("v")))))
+    return F.array_sort(F.array_compact(F.get(shifted, F.lit(0))))
+
+
 def unique_texts(values: Column, path: Column | str) -> Column:
     """Blank entries and repeats, by index."""
     values = F.coalesce(values, _none())
-    each = F.transform(
-        values,
-        lambda v, i: F.when(_missing(v), _text(path, "[", i, "] must not be empty")).when(
-            F.array_position(values, v) < i + 1, _text(path, "[", i, "] is duplicated")
-        ),
-    )
-    return F.array_compact(each)
+    said = lambda i, message: F.struct(i.alias("i"), _text(path, "[", i, message).alias("m"))
+    blank = F.array_compact(F.transform(values, lambda v, i: F.when(_missing(v), said(i, "] must not be empty"))))
+    again = F.transform(_again(values, blanks=False), lambda e: said(e["i"], "] is duplicated"))
+    return F.transform(F.array_sort(F.concat(blank, again)), lambda e: e["m"])
 
 
 def confidence_errors(value: Column, path: Column) -> Column:
@@ -67,8 +76,7 @@ def quad_errors(quad: Column, width: Column, height: Column, path: Column) -> Co
 
 def _repeats(ids: Column, what: str) -> Column:
     """Ids that stand before, each at its place; blank ones are left to another rule."""
-    each = F.transform(ids, lambda v, i: F.when(~_missing(v) & (F.array_position(ids, v) < i + 1), _text(what, v, " is duplicated")))
-    return F.array_compact(each)
+    return F.transform(_again(ids, blanks=False), lambda e: _text(what, e["v"], " is duplicated"))
 
 
 def line_errors(line: Column, at: Column, width: Column, height: Column, final: Column) -> Column:
@@ -114,7 +122,7 @@ def document_errors(doc: Column, version: str = SCHEMA_VERSION) -> Column:
     width, height = image["width"], image["height"]
     final = F.coalesce(meta["status"].isin(FINAL), F.lit(False))
     orders = F.transform(lines, lambda n: n["order"])
-    repeated = F.transform(orders, lambda o, i: F.when(F.array_position(orders, o) < i + 1, _text("lines[", i, "].order ", o, " is duplicated")))
+    repeated = F.transform(_again(orders), lambda e: _text("lines[", e["i"], "].order ", e["v"], " is duplicated"))
     ids = F.flatten(F.transform(lines, lambda n: F.concat(F.array(n["id"]), F.coalesce(F.transform(n["words"], lambda w: w["id"]), _none()))))
     each = F.transform(lines, lambda n, i: line_errors(n, i, width, height, final))
     return F.concat(
@@ -128,7 +136,7 @@ def document_errors(doc: Column, version: str = SCHEMA_VERSION) -> Column:
         unique_texts(meta["tags"], "metadata.tags"),
         _check(_blank(meta["group_id"]), "metadata.group_id must not be empty"),
         F.coalesce(_repeats(ids, "id "), _none()),
-        F.coalesce(F.array_compact(repeated), _none()),
+        F.coalesce(repeated, _none()),
         F.coalesce(F.flatten(each), _none()),
         _check(final & (doc["text"] != visible_text(lines)), "text differs from the visible lines in order"),
     )

@@ -255,14 +255,14 @@ def document_json(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def strict_documents(spark: Session, sf_dir: str) -> DataFrame:
-    """One small JSON document for each row, with planted faults of type, value, range, version and members."""
+    """One small JSON document for each row, with planted faults of type, value, range, version, members and grammar."""
     fault = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, bad).otherwise(good)
     parts = [
-        '{"schema_version": "', fault(19, "x.annotation.v1", "annotation.v1"), '", "coordinate_system": "pixel_top_left", "image": {"id": "i", "file_name": "f", "width": ',
+        fault(31, '{"schema_version": "annotation.v1"}', ""), '{', fault(37, '"text": "", ', ""), fault(43, "'language_hints'", '"language_hints"'), ': ["en"], "schema_version": "', fault(19, "x.annotation.v1", "annotation.v1"), '", "coordinate_system": "pixel_top_left", "image": {"id": "i", "file_name": "f", "width": ',
         fault(5, "1.5", "20"), ', "height": 10}, "text": ', fault(17, "5", '""'), ', "lines": [{"id": "l", "order": ', fault(11, "-1", "0"),
-        ', "quad": {"points": [{"x": 0, "y": 0}, {"x": 5, "y": 0}, {"x": 5, "y": 5}, {"x": 0, "y": 5}]}, "text": "", "direction": "',
+        ', "quad": {"points": [{"x": 0, "y": 0}, {"x": 5, "y": 0}, {"x": 5, "y": 5}, {"x": 0, ', fault(41, '"y": 5, ', ""), '"y": 5}]}, "text": "", "direction": "',
         fault(23, "up", "auto"), '", "legibility": "clear", "evaluation": {"detection": true, "recognition": true}, "source": "manual", "words": [], "ignored": ',
-        fault(13, '"yes"', "false"), '}], "language_hints": ["en"], "metadata": {"status": "', fault(7, "bogus", "draft"), '"', fault(3, ', "extra": 1', ""), "}}",
+        fault(13, '"yes"', "false"), '}], "metadata": {"status": "', fault(7, "bogus", "draft"), '"', fault(3, ', "extra": 1', ""), "}}", fault(29, " and more", ""),
     ]
     rows = _rows(spark, sf_dir, "documents").select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("json"))
     found = documents.parse_documents(rows)
@@ -270,7 +270,8 @@ def strict_documents(spark: Session, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count("schema_version is not").alias("n_version"), count("image.width must be").alias("n_width"), count("text must be text").alias("n_text"),
         count("lines.order is out").alias("n_order"), count("direction is none").alias("n_direction"), count("ignored must be").alias("n_ignored"),
-        count("status is none").alias("n_status"), count("unknown member").alias("n_unknown"),
+        count("status is none").alias("n_status"), count("unknown member").alias("n_unknown"), count("text after").alias("n_after"), count("is repeated").alias("n_repeated"),
+        count("not a JSON").alias("n_no_json"),
     )
 
 

@@ -395,9 +395,12 @@ select conv_id, turn, edits, length(text) as reference_units, text = next as exa
        round(case when length(text) > 0 then edits / length(text) when edits > 0 then 1 else 0 end, 6) as rate from e""",
     "validate_documents": VALID,
     "document_json": f"with {ORDERED} select image_id, true as same_text, count(*) as n_lines, 0 as n_errors from ordered group by image_id",
-    "strict_documents": """select doc_id, (doc_id % 19 = 0)::bigint as n_version, (doc_id % 5 = 0)::bigint as n_width, (doc_id % 17 = 0)::bigint as n_text,
-       (doc_id % 11 = 0)::bigint as n_order, (doc_id % 23 = 0)::bigint as n_direction, (doc_id % 13 = 0)::bigint as n_ignored,
-       (doc_id % 7 = 0)::bigint as n_status, (doc_id % 3 = 0)::bigint as n_unknown from documents""",
+    "strict_documents": """with f as (select doc_id, doc_id % 43 = 0 as quotes, doc_id % 43 <> 0 and (doc_id % 37 = 0 or doc_id % 41 = 0) as again, doc_id % 29 = 0 or doc_id % 31 = 0 as more from documents),
+k as (select doc_id, case when doc_id % 31 = 0 then 'after' when quotes then 'none' when again and more then 'none' when again then 'again' when more then 'after' else 'good' end as k from f)
+select doc_id, (k = 'good' and doc_id % 19 = 0)::bigint as n_version, (k = 'good' and doc_id % 5 = 0)::bigint as n_width, (k = 'good' and doc_id % 17 = 0)::bigint as n_text,
+       (k = 'good' and doc_id % 11 = 0)::bigint as n_order, (k = 'good' and doc_id % 23 = 0)::bigint as n_direction, (k = 'good' and doc_id % 13 = 0)::bigint as n_ignored,
+       (k = 'good' and doc_id % 7 = 0)::bigint as n_status, (k = 'good' and doc_id % 3 = 0)::bigint as n_unknown, (k = 'after')::bigint as n_after, (k = 'again')::bigint as n_repeated,
+       (k = 'none')::bigint as n_no_json from k""",
     "evaluate_documents": r"""with t as (select item_id as image_id, text, regexp_replace(text, '^[^ ]+ ', '') as cut from benchmark where item_id % 5 <> 0 and text is not null),
 n as (select *, len(list_filter(string_split_regex(text, '[\t\n\v\f\r\x{85}\p{Z}]+'), lambda w: w <> '')) as a,
       len(list_filter(string_split_regex(cut, '[\t\n\v\f\r\x{85}\p{Z}]+'), lambda w: w <> '')) as b from t)

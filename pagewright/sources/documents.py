@@ -104,12 +104,42 @@ def strict_errors(json: Column) -> Column:
     return F.concat(*members, *[_value_errors(json, path, schema) for path, schema, _ in levels])
 
 
+def text_error(json: Column) -> Column:
+    """Why a text is not one JSON object by the grammar, or null: no object, text after it, or a member repeated at any level.
+
+    A parser stops where a value ends, so the text is parsed within a pair of square brackets and within an object: an
+    opening or closing bracket too many breaks one of the two, and a second value makes the array longer.
+    """
+    within = lambda a, b: F.concat(F.lit(a), json, F.lit(b))
+    listed, held = within("[", "]"), within('{"a":', "}")
+    single = F.size(F.try_variant_get(F.try_parse_json(listed), "$", "array<variant>")) == 1
+    strict = F.coalesce(single & F.try_parse_json(held).isNotNull(), F.lit(False))
+    plain = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    whole = (F.size(F.from_json(listed, "array<string>", plain)) == 1) & (F.size(F.from_json(held, "map<string, string>", plain)) == 1)
+    surrogate = json.rlike(_HIGH) | json.rlike(_LOW)
+    return (
+        F.when(F.json_object_keys(json).isNull(), "not a JSON object")
+        .when(~strict & F.try_parse_json(json).isNotNull(), "text after the JSON object")
+        .when(~strict & F.coalesce(whole, F.lit(False)), "a member is repeated")
+        .when(~strict, "not a JSON object")
+        .when(surrogate, "half of a surrogate pair")
+    )
+
+
+#: Escapes of one half of a surrogate pair without the other.
+_HIGH = r"(?<!\\)(\\\\)*\\u[dD][89aAbB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])"
+_LOW = r"(?<!\\)(?<!\\u[dD][89aAbB][0-9a-fA-F]{2})(\\\\)*\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+
+
 def parse_documents(rows: DataFrame, json: str = "json", validate: bool = True, version: str = SCHEMA_VERSION, first_only: bool = False) -> DataFrame:
-    """rows with doc (null if the text is no JSON object) and errors (all of them, or the first; empty for a good document)."""
-    parsed = rows.withColumn("doc", F.from_json(json, ANNOTATION, {"mode": "PERMISSIVE"}))
-    readable = F.json_object_keys(F.col(json)).isNotNull()
+    """rows with doc (null if the text is not one JSON object) and errors (all of them, or the first; empty for a good document).
+
+    A text that the grammar refuses has that error alone: what its members say is not known.
+    """
+    broken = text_error(F.col(json))
+    parsed = rows.withColumn("doc", F.when(broken.isNull(), F.from_json(json, ANNOTATION, {"mode": "PERMISSIVE"})))
     rules = document_errors(F.col("doc"), version) if validate else F.array().cast("array<string>")
-    errors = F.when(~readable, F.array(F.lit("not a JSON object"))).otherwise(F.concat(strict_errors(F.col(json)), rules))
+    errors = F.when(broken.isNotNull(), F.array(broken)).otherwise(F.concat(strict_errors(F.col(json)), rules))
     return parsed.withColumn("errors", F.slice(errors, 1, 1) if first_only else errors)
 
 
