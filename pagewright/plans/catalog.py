@@ -11,7 +11,7 @@ from pagewright.functions import evaluation, geometry, language, text
 from pagewright.operators import boxes, ctc, matching, ordering, overlaps, packing, raster, recognition, routing, validate
 from pagewright.plans import inputs
 from pagewright.sources import documents, images, tsv
-from pagewright.streaming import worker
+from pagewright.streaming import correlate, progress, worker
 
 Session = SparkSession
 
@@ -382,6 +382,70 @@ def recognized_documents(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
+def request_outcomes(spark: Session, sf_dir: str) -> DataFrame:
+    """Every third event is a request; the two after it answer it, some from another worker, some too late."""
+    rows = _rows(spark, sf_dir, "events").withColumn("id", F.col("event_id") - F.col("event_id") % 3).withColumn("worker", F.floor(F.col("id") / 3) % 4)
+    other = F.when(F.col("user_id") % 10 == 0, F.col("worker") + 1).otherwise(F.col("worker"))
+    answers = rows.filter("event_id % 3 <> 0").select(other.alias("worker"), "id", "ts", (F.col("event_type") != "error").alias("ok"), F.lit(None).cast("string").alias("error"))
+    found = correlate.correlate(rows.filter("event_id % 3 = 0"), answers, "5 minutes")
+    return found.select(F.col("worker").cast("long"), "id", "status", "error", F.expr("timestampdiff(MICROSECOND, sent, answered)").alias("waited_us"))
+
+
+ARTIFACTS = [("view", 200000), ("signup", 300000), ("click", 400000), ("purchase", 250000)]
+
+
+def download_progress(spark: Session, sf_dir: str) -> DataFrame:
+    """Events as reports of bytes loaded, a session for each user; one event type is no artifact."""
+    events = _rows(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("artifact"), (F.col("value") * 1000).alias("loaded"))
+    found = progress.download_progress(events, spark.createDataFrame(ARTIFACTS, "artifact string, bytes long"))
+    return found.select("session", F.round("loaded", 3).alias("loaded"), "total", F.round("progress", 6).alias("progress"))
+
+
+def boot_progress(spark: Session, sf_dir: str) -> DataFrame:
+    """The last event of each user and type as the state of a model."""
+    last = _rows(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("model")).agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("e"))
+    status = F.element_at(F.array(F.lit("ready"), F.lit("cached"), F.lit("loading"), F.lit("loading")), (F.col("e.event_id") % 4 + 1).cast("int"))
+    states = last.select("session", "model", status.alias("status"), (F.col("e.value") / 150).alias("progress"))
+    return progress.boot_progress(states, spark.createDataFrame(ARTIFACTS, "model string, bytes long")).select("session", F.round("progress", 6).alias("progress"))
+
+
+def latency_percentiles(spark: Session, sf_dir: str) -> DataFrame:
+    """Exact percentiles of values by event type, and whether the sketch's ranks are within its bound."""
+    rows, error = _rows(spark, sf_dir, "events"), 0.001
+    exact = evaluation.exact_percentiles(rows, "event_type", "value")
+    sketch = evaluation.percentiles(rows, "event_type", "value", error=error).select("event_type", F.col("p50").alias("s50"), F.col("p95").alias("s95"))
+    v = F.col("value")
+    ranks = rows.join(F.broadcast(sketch), "event_type").groupBy("event_type").agg(  # a row for each type
+        *[F.count_if(v < F.col(f"s{p}")).alias(f"below{p}") for p in (50, 95)], *[F.count_if(v <= F.col(f"s{p}")).alias(f"upto{p}") for p in (50, 95)], F.count("value").alias("of")
+    )
+    off = error * F.col("of") + 1
+    close = lambda p: (F.col(f"below{p}") - off <= F.col("of") * p / 100) & (F.col(f"upto{p}") + off >= F.col("of") * p / 100)
+    return exact.join(ranks, "event_type").select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), (close(50) & close(95)).alias("sketch_within_bound"))
+
+
+def image_orientations(spark: Session, sf_dir: str) -> DataFrame:
+    """The head of an image file for each document, in five formats, with sizes and orientation by its id."""
+    n = F.col("doc_id")
+    w, h, turn, kind = n * 37 % 5000 + 1, n * 91 % 4000 + 1, n % 10, n % 5
+    big = lambda v, size: F.lpad(F.hex(v), 2 * size, "0")
+    little = lambda v, size: F.concat(*[F.substring(big(v, size), 2 * i + 1, 2) for i in reversed(range(size))])
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    exif = text("4D4D002A000000080001", "0112000300000001", big(turn, 2), "000000000000")
+    jpeg = text("FFD8FFE000104A46494600010100000100010000", "FFE10022457869660000", exif, "FFFFC0001108", big(h, 2), big(w, 2), "03", "0" * 24)
+    png = text("89504E470D0A1A0A0000000D49484452", big(w, 4), big(h, 4), "080200000000000000", "0000001A65584966", exif, "00000000")
+    bmp = text("424D", "0" * 16, "36000000", "28000000", little(w, 4), little(F.when(n % 2 == 0, 2**32 - h).otherwise(h), 4), "01001800")
+    entry = lambda tag, kind, v: text(tag, kind, "01000000", v)
+    tiff = text("49492A0008000000", "0300", entry("0001", "0400", little(w, 4)), entry("0101", "0300", text(little(h, 2), "0000")), entry("1201", "0300", text(little(turn, 2), "0000")), "00000000")
+    webp = text("5249464600000000", "57454250", "565038580A000000", "08000000", little(w - 1, 3), little(h - 1, 3), "4943435003000000", "01020300", "45584946", "1A000000", exif)
+    head = F.when(kind == 0, png).when(kind == 1, jpeg).when(kind == 2, bmp).when(kind == 3, tiff).otherwise(webp)
+    rows = _rows(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.unhex(head).alias("content"))
+    found = rows.select("doc_id", images.image_header(F.col("content")).alias("h"), images.image_errors(F.col("content"), max_pixels=10_000_000).alias("error"))
+    return found.select(
+        "doc_id", F.col("h.format").alias("format"), "h.size.width", "h.size.height", F.col("h.orientation").cast("long").alias("orientation"),
+        F.col("h.shown.width").alias("shown_width"), F.col("h.shown.height").alias("shown_height"), "error",
+    )
+
+
 DICTIONARY = "a: 1\n  character_dict:\n  - x\n  - 'it''s'\n  - \"\\u00e9\"\n  - '  '\nnext: 2\n  - y\n"
 
 
@@ -417,7 +481,8 @@ QUERIES = {
         reading_order, rebuild_text, line_bounds, crop_geometry, overlap_dedup, tile_offsets, tiled_images, crop_batches, width_batches,
         script_tags, script_fractions, language_codes, recognizer_plans, required_models, line_languages, select_candidate,
         candidate_alternatives, route_crops, tsv_words, tsv_lines, tsv_pages, ctc_decode, word_boxes, character_errors, word_errors,
-        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores, polygon_matches, end_to_end_scores, recognized_lines, recognized_documents,
+        validate_documents, document_json, strict_documents, evaluate_documents, readable_lines, sha256_verify, profile_costs, heatmap_regions, detection_matches, detection_scores, polygon_matches, end_to_end_scores, recognized_lines, recognized_documents, request_outcomes,
+        download_progress, boot_progress, latency_percentiles, image_orientations,
         dictionary_entries, worker_responses, image_headers,
     )
 }

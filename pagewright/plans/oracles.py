@@ -436,6 +436,26 @@ select image_id, case when image_id % 7 <> 6 then coalesce(string_agg(text, chr(
        case when image_id % 7 <> 6 then case image_id % 4 when 0 then '' when 1 then 'de' when 2 then 'ru,en' else 'ko' end end as hints,
        case when image_id % 7 <> 6 then 'v6-small-rec' end as model, case when image_id % 7 = 6 then 'unsupported languages xx' else '' end as errors
 from images left join final using (image_id) group by image_id""",
+    "request_outcomes": """with e as (select *, event_id - event_id % 3 as id, (event_id - event_id % 3) // 3 % 4 as worker from events),
+r as (select worker, id, ts from e where event_id % 3 = 0),
+s as (select case when user_id % 10 = 0 then worker + 1 else worker end as worker, id, ts, event_type <> 'error' as ok from e where event_id % 3 <> 0),
+m as (select r.worker, r.id, r.ts as sent, s.ts as answered, ok, row_number() over (partition by r.worker, r.id order by s.ts, ok) as nth
+      from r left join s on r.worker = s.worker and r.id = s.id and s.ts >= r.ts and s.ts <= r.ts + interval 5 minutes)
+select worker, id, case when answered is null then 'timed out' when ok then 'ok' else 'failed' end as status,
+       case when answered is null then 'no response within 5 minutes' when not ok then 'request failed' end as error, epoch_us(answered) - epoch_us(sent) as waited_us from m where nth = 1""",
+    "download_progress": f"""with artifacts as ({_values(catalog.ARTIFACTS, 'artifact, bytes')}),
+m as (select user_id, event_type, max(value * 1000) as loaded from events where event_type in (select artifact from artifacts) group by all),
+t as (select user_id as session, coalesce((select sum(loaded) from m where m.user_id = e.user_id), 0) as loaded from (select distinct user_id from events) e)
+select session, round(loaded, 3) as loaded, 1150000.0::double as total, round(least(0.9, loaded / 1150000 * 0.9), 6) as progress from t""",
+    "boot_progress": f"""with models as ({_values(catalog.ARTIFACTS, 'model, bytes')}),
+l as (select user_id, event_type, arg_max(value, event_id) as v, max(event_id) as e from events group by all),
+d as (select user_id, sum(bytes * case when e % 4 < 2 then 1 else greatest(0, least(1, v / 150)) end) as done from l join models on model = event_type group by user_id)
+select session, round(coalesce(done, 0) / 1150000, 6) as progress from (select distinct user_id as session from events) left join d on user_id = session""",
+    "latency_percentiles": """select event_type, count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, true as sketch_within_bound from events group by event_type""",
+    "image_orientations": """with d as (select doc_id, doc_id % 5 as k, doc_id * 37 % 5000 + 1 as w, doc_id * 91 % 4000 + 1 as h, doc_id % 10 as t from documents),
+o as (select *, case when k <> 2 and t between 1 and 8 then t else 1 end as o from d)
+select doc_id, ['png', 'jpeg', 'bmp', 'tiff', 'webp'][k + 1] as format, w as width, h as height, o as orientation, case when o >= 5 then h else w end as shown_width,
+       case when o >= 5 then w else h end as shown_height, case when w * h > 10000000 then 'image has too many pixels' end as error from o""",
     "dictionary_entries": _values([("m", 1, "x"), ("m", 2, "it's"), ("m", 3, "é"), ("m", 4, "  ")], "model, position, entry"),
     "worker_responses": _values(
         [

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.let import let
 from pagewright.functions.text import file_stem
+from pagewright.sources.headers import header_size, orientation, turned_size
 
 MAX_BYTES = 256 * 1024 * 1024
 MAX_PIXELS = 50_000_000
+#: Limits of the browser's engine.
+MAX_BROWSER_BYTES = 50 * 1024 * 1024
 #: Fixed first bytes (hex) of each format.
 MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "bmp": "424D", "tiff": "49492A00"}
 
@@ -29,25 +33,31 @@ def image_format(content: Column) -> Column:
     return out
 
 
-def _number(content: Column, at: int, size: int, little: bool = False) -> Column:
-    """A whole number of some bytes, from 1-based byte `at` on."""
-    order = [at + i for i in range(size)]
-    parts = [F.hex(F.substring(content, i, 1)) for i in (reversed(order) if little else order)]
-    return F.conv(F.concat(*parts), 16, 10).cast("long")
+def image_size(content: Column) -> Column:
+    """width, height as stored, from the header; null if it does not tell."""
+    return header_size(content, image_format(content))
 
 
-def image_size(content: Column) -> Column:
-    """width, height from the header of a PNG or BMP; null for other formats, which a decoder must open."""
+def image_orientation(content: Column) -> Column:
+    """1 to 8 by the image's Exif data, 1 without."""
+    return orientation(content, image_format(content))
+
+
+def image_header(content: Column) -> Column:
+    """format, width, height as stored, orientation, and the size that is shown once the orientation is applied."""
     kind = image_format(content)
-    png = F.struct(_number(content, 17, 4).alias("width"), _number(content, 21, 4).alias("height"))
-    bmp = F.struct(_number(content, 19, 4, True).alias("width"), _number(content, 23, 4, True).alias("height"))
-    return F.when(kind == "png", png).when(kind == "bmp", bmp)
+    read = F.struct(kind.alias("format"), header_size(content, kind).alias("size"), orientation(content, kind).alias("orientation"))
+    return let(
+        read,
+        lambda r: F.struct(r["format"].alias("format"), r["size"].alias("size"), r["orientation"].alias("orientation"), turned_size(r["size"], r["orientation"]).alias("shown")),
+    )
 
 
 def image_errors(content: Column, max_bytes: int = MAX_BYTES, max_pixels: int = MAX_PIXELS) -> Column:
-    """Why an image is refused before it is decoded; null if it is not."""
-    size = image_size(content)
-    pixels = size["width"] * size["height"]
+    """Why an image is refused before it is decoded; null if it is not. Limits must be over 0."""
+    if max_bytes <= 0 or max_pixels <= 0:
+        raise ValueError("image limits must be over 0")
+    pixels = let(image_size(content), lambda s: s["width"] * s["height"])
     return (
         F.when(content.isNull() | (F.octet_length(content) == 0), "image is empty")
         .when(F.octet_length(content) > max_bytes, "image has too many bytes")
@@ -89,3 +99,13 @@ def read_dictionary(files: DataFrame, key: str = "model", text: str = "text", he
     value = F.when(raw.rlike("^'.*'$"), single).when(raw.startswith('"'), double).otherwise(raw)
     usable = (value != "") & ~value.contains("\n")
     return rows.select(key, (F.col("n") + 1).alias("position"), F.when(usable, value).alias("entry"))
+
+
+def dictionary_status(entries: DataFrame, expected: DataFrame, key: str = "model") -> DataFrame:
+    """key, status of each expected dictionary: ok, missing (no list), entry (one is empty or spans lines) or count.
+
+    entries: as from read_dictionary. expected: key, entries (how many there must be).
+    """
+    have = entries.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("entry").isNull()).alias("_bad"))
+    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_bad") > 0, "entry").when(F.col("_n") != F.col("entries"), "count")
+    return expected.join(have, key, "left").select(key, status.otherwise("ok").alias("status"))

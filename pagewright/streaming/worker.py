@@ -14,6 +14,18 @@ SEGMENTATIONS = ["auto", "single_block", "single_line", "sparse_text"]
 _REQUEST = "id long, method string, image string, languages array<string>, segmentation string, min_confidence double"
 
 
+def check_options(min_confidence: float = 0.8, threads: int = 1, timeout_ms: int = 30_000, max_file_bytes: int = 1, max_image_pixels: int = 1) -> None:
+    """Refuse options out of range: confidence 0 to 1, threads 1 to 64, timeout 1 to 300,000 ms, limits over 0."""
+    if not 0 <= min_confidence <= 1:  # not a number is neither
+        raise ValueError("min_confidence must be between 0 and 1")
+    if not 1 <= threads <= 64:
+        raise ValueError("threads must be between 1 and 64")
+    if not 1 <= timeout_ms <= 300_000:
+        raise ValueError("timeout_ms must be between 1 and 300000")
+    if max_file_bytes <= 0 or max_image_pixels <= 0:
+        raise ValueError("image limits must be over 0")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """A stream of lines of new files in a folder."""
     return spark.readStream.format("text").load(path)
