@@ -90,9 +90,16 @@ def script_tags(spark: Session, sf_dir: str) -> DataFrame:
     return texts.groupBy(text.script_tag(F.col("text")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _worded(spark: Session, sf_dir: str) -> DataFrame:
+    """doc_id and the document's text after a word of some script, by its id."""
+    words = F.broadcast(spark.sql(inputs.WORDS).withColumnRenamed("n", "k"))  # twelve rows
+    docs = _rows(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % len(inputs.TEXTS))
+    return docs.join(words, "k").select("doc_id", "word", F.concat_ws(" ", "word", "text").alias("text"))
+
+
 def script_fractions(spark: Session, sf_dir: str) -> DataFrame:
-    words = spark.sql(inputs.WORDS)
-    return words.select("n", *[F.round(text.script_fraction(F.col("word"), s), 6).alias(s.lower()) for s in ("Latin", "Cyrillic", "Korean")])
+    words = _worded(spark, sf_dir).withColumn("word", F.col("text"))
+    return words.select("doc_id", *[F.round(text.script_fraction(F.col("word"), s), 6).alias(s.lower()) for s in ("Latin", "Cyrillic", "Korean")])
 
 
 def language_codes(spark: Session, sf_dir: str) -> DataFrame:
@@ -102,27 +109,30 @@ def language_codes(spark: Session, sf_dir: str) -> DataFrame:
     return rows.select("raw", code.alias("code"), code.isin(dims.SUPPORTED).alias("supported"), language.normalize_language3(F.col("raw")).alias("code3"))
 
 
-def _requests(spark: Session) -> DataFrame:
-    return spark.createDataFrame(REQUESTS, "request_id long, request array<string>")
+def _requests(spark: Session, sf_dir: str) -> DataFrame:
+    """A request for each document, one of the spellings by its id."""
+    kinds = spark.createDataFrame(REQUESTS, "kind long, request array<string>")
+    docs = _rows(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), (F.col("doc_id") % len(REQUESTS)).alias("kind"))
+    return docs.join(F.broadcast(kinds), "kind").select("request_id", "request")  # nineteen rows
 
 
 def recognizer_plans(spark: Session, sf_dir: str) -> DataFrame:
     plan = language.recognizer_plan(language.resolve_languages(F.col("request")))
     bad = F.array_join(language.unsupported_languages(F.col("request")), ",")
-    return _requests(spark).select("request_id", plan.alias("p"), bad.alias("unsupported")).select("request_id", "p.*", "unsupported")
+    return _requests(spark, sf_dir).select("request_id", plan.alias("p"), bad.alias("unsupported")).select("request_id", "p.*", "unsupported")
 
 
 def required_models(spark: Session, sf_dir: str) -> DataFrame:
     plan = language.recognizer_plan(language.resolve_languages(F.col("request")))
-    rows = _requests(spark).filter(F.size(language.unsupported_languages(F.col("request"))) == 0).select("request_id", plan.alias("plan"), F.lit("balanced").alias("quality"))
+    rows = _requests(spark, sf_dir).filter(F.size(language.unsupported_languages(F.col("request"))) == 0).select("request_id", plan.alias("plan"), F.lit("balanced").alias("quality"))
     return routing.required_models(rows).groupBy("request_id").agg(F.count(F.lit(1)).alias("models"), F.sum("bytes").alias("bytes"))
 
 
 def line_languages(spark: Session, sf_dir: str) -> DataFrame:
-    words = spark.sql(inputs.WORDS)
+    words = _worded(spark, sf_dir)
     hints = F.array(F.lit("ru"), F.lit("de"), F.lit("zh"))
     none = F.array().cast("array<string>")
-    return words.select("n", language.line_language(F.col("word"), none).alias("free"), language.line_language(F.col("word"), hints).alias("hinted"))
+    return words.select("doc_id", language.line_language(F.col("word"), none).alias("free"), language.line_language(F.col("word"), hints).alias("hinted"))
 
 
 def select_candidate(spark: Session, sf_dir: str) -> DataFrame:
@@ -300,10 +310,13 @@ def sha256_verify(spark: Session, sf_dir: str) -> DataFrame:
 
 
 def profile_costs(spark: Session, sf_dir: str) -> DataFrame:
+    """Documents that ask for each profile, by their id, and the bytes of its detector and recogniser."""
     cost = dims.models(spark).select("model", "bytes")
     named = lambda c: F.broadcast(cost.withColumnsRenamed({"model": c, "bytes": f"{c}_bytes"}))  # noqa: E731  ten rows
-    rows = dims.profiles(spark).join(named("detector"), "detector").join(named("recognizer"), "recognizer")
-    return rows.select("quality", F.col("max_side").cast("long"), (F.col("detector_bytes") + F.col("recognizer_bytes")).alias("bytes"))
+    asked = F.element_at(F.array(*[F.lit(p[0]) for p in dims.PROFILES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    counts = _rows(spark, sf_dir, "documents").groupBy(asked.alias("quality")).agg(F.count(F.lit(1)).alias("documents"))
+    rows = counts.join(F.broadcast(dims.profiles(spark)), "quality").join(named("detector"), "detector").join(named("recognizer"), "recognizer")
+    return rows.select("quality", F.col("max_side").cast("long"), (F.col("detector_bytes") + F.col("recognizer_bytes")).alias("bytes"), "documents")
 
 
 def _heatmaps(spark: Session, sf_dir: str) -> DataFrame:
@@ -446,23 +459,30 @@ def image_orientations(spark: Session, sf_dir: str) -> DataFrame:
     )
 
 
-DICTIONARY = "a: 1\n  character_dict:\n  - x\n  - 'it''s'\n  - \"\\u00e9\"\n  - '  '\nnext: 2\n  - y\n"
-
-
 def dictionary_entries(spark: Session, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("m", DICTIONARY), ("none", "a: 1\n")], "model string, text string")
-    return images.read_dictionary(files).select("model", F.col("position").cast("long"), "entry")
+    """The words of each benchmark text as the list in a settings file: bare, in single quotes and in double quotes."""
 
+    def item(w: Column, i: Column) -> Column:
+        single = F.concat(F.lit("'"), F.replace(w, F.lit("'"), F.lit("''")), F.lit("'"))
+        double = F.regexp_extract(F.to_json(F.array(w)), r"^\[(.*)\]$", 1)
+        return F.concat(F.lit("  - "), F.when(i % 3 == 0, double).when(i % 3 == 1, single).otherwise(w))
 
-WORKER_LINES = [
-    '{"id": 1, "method": "info"}', '{"id": 2, "method": "recognize", "image": "a.png", "languages": ["deu", "en"]}', '{"id": 3, "method": "recognize"}',
-    '{"id": 4, "method": "recognize", "image": "a.png", "min_confidence": 1.5}', '{"id": 5, "method": "x"}', "not json", '{"id": 6, "method": "info", "extra": 1}',
-    '{"id": 7, "method": "recognize", "image": "a.png", "languages": ["xx"]}',
-]
+    words = F.filter(F.split("text", r"[^\p{L}0-9'.,]+"), lambda w: (w != "") & ~w.startswith("'"))
+    lines = F.concat(F.array(F.lit("a: 1"), F.lit("  character_dict:")), F.transform(words, item), F.array(F.lit("next: 2"), F.lit("  - y")))
+    files = _rows(spark, sf_dir, "benchmark").filter("text is not null").select(F.col("item_id").alias("model"), F.array_join(lines, "\n").alias("text"))
+    return images.read_dictionary(files).select(F.col("model").cast("string"), F.col("position").cast("long"), "entry")
 
 
 def worker_responses(spark: Session, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(s,) for s in WORKER_LINES], "value string")
+    """A request line for each document, some of them broken in one of seven ways, and its answer."""
+    n = F.col("doc_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    good = text('{"id": ', n, ', "method": "recognize", "image": "', n, '.png", "languages": ["', F.coalesce("lang", F.lit("en")), '", "deu"]}')
+    kinds = [
+        text('{"id": ', n, ', "method": "info"}'), good, text('{"id": ', n, ', "method": "recognize"}'), text('{"id": ', n, ', "method": "recognize", "image": "a", "min_confidence": 1.5}'),
+        text('{"id": ', n, ', "method": "x"}'), text("not json ", n), text('{"id": ', n, ', "method": "info", "extra": 1}'), text('{"id": ', n, ', "method": "recognize", "image": "a", "languages": ["xx"]}'),
+    ]
+    lines = _rows(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.element_at(F.array(*kinds), (n % 8 + 1).cast("int")).alias("value"))
     return worker.respond(worker.parse_requests(lines), worker.plan_result()).withColumnRenamed("value", "response")
 
 
@@ -470,9 +490,13 @@ HEADERS = ["89504E470D0A1A0A0000000D49484452000002800000014008020000", "424D4600
 
 
 def image_headers(spark: Session, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(HEADERS)), "n long, hex string").withColumn("content", F.unhex("hex"))
+    """The first bytes of five files, one for each document by its id, before the document's text."""
+    n = F.col("doc_id")
+    head = F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (n % 5 + 1).cast("int"))
+    body = F.when(n % 5 == 4, F.lit("")).otherwise(F.coalesce("text", F.lit(""))).cast("binary")
+    rows = _rows(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.concat(F.unhex(head), body).alias("content"))
     size = images.image_size(F.col("content"))
-    return rows.select("n", images.image_format(F.col("content")).alias("format"), size["width"].alias("width"), size["height"].alias("height"), images.image_errors(F.col("content")).alias("error"))
+    return rows.select("doc_id", images.image_format(F.col("content")).alias("format"), size["width"].alias("width"), size["height"].alias("height"), images.image_errors(F.col("content")).alias("error"))
 
 
 QUERIES = {

@@ -256,8 +256,8 @@ rows_ as (select *, sum(brk) over (partition by image_id order by y0, x0, number
 final as (select *, row_number() over (partition by image_id order by row_, x0, y0, number) - 1 as ord, {TAG.format('text')} as tag from rows_)
 """
 
-REQUESTS = "requests as (select * from (values {}) as t(request_id, request))".format(
-    ", ".join(f"({i}, {r!r}::varchar[])" for i, r in catalog.REQUESTS)
+REQUESTS = "kinds as (select * from (values {}) as t(kind, request)), requests as (select doc_id as request_id, request from documents join kinds on kind = doc_id % {})".format(
+    ", ".join(f"({i}, {r!r}::varchar[])" for i, r in catalog.REQUESTS), len(catalog.REQUESTS)
 )
 
 
@@ -324,6 +324,8 @@ e as (select image_id, greatest(0, floor((cx - (23 + grow) / 2) * 10 + 0.5)) as
 select image_id, 0 as position, cast(l as double) as x, cast(t as double) as y, cast(r - l as double) as width, cast(b - t as double) as height, 0.93::double as score from e
 """
 
+WORDED = f"words as ({inputs.WORDS}), worded as (select doc_id, word, concat_ws(' ', word, text) as text from documents join words on n = doc_id % {len(inputs.TEXTS)})"
+
 ORACLES = {
     "word_errors": WORD_ERRORS,
     "heatmap_regions": REGIONS,
@@ -350,17 +352,15 @@ select image_id, box_idx, batch, round(greatest(1, max(ratio) over (partition by
     "width_batches": WIDTHS,
     "script_tags": f"""with words as ({inputs.WORDS}), t as (select text from documents union all select word from words)
 select {TAG.format('text')} as tag, count(*) as n from t group by 1""",
-    "script_fractions": f"with words as ({inputs.WORDS}) select n, "
-    + ", ".join(f"round({_share('word', s)}, 6) as {s}" for s in LETTERS)
-    + " from words",
+    "script_fractions": f"with {WORDED} select doc_id, " + ", ".join(f"round({_share('text', k)}, 6) as {k}" for k in LETTERS) + " from worded",
     "language_codes": CODES,
     "recognizer_plans": f"with {PLANS} select * from plans",
     "required_models": f"""with {PLANS}, {MODEL_ROWS},
 needed as (select request_id, unnest(['v6-small-det', case when "primary" then 'v6-small-rec' end, case when latin then 'v5-latin-rec' end,
   case when cyrillic then 'v5-eslav-rec' end, case when korean then 'v5-korean-rec' end]) as model from plans where unsupported = '')
 select request_id, count(*) as models, cast(sum(bytes) as bigint) as bytes from needed join models using (model) group by request_id""",
-    "line_languages": f"""with words as ({inputs.WORDS}), t as (select n, {TAG.format('word')} as tag from words)
-select n, case tag when 'Kore' then 'ko' when 'Jpan' then 'ja' end as free,
+    "line_languages": f"""with {WORDED}, t as (select doc_id, {TAG.format('word')} as tag from worded)
+select doc_id, case tag when 'Kore' then 'ko' when 'Jpan' then 'ja' end as free,
        case tag when 'Cyrl' then 'ru' when 'Hani' then 'zh' when 'Latn' then 'de' end as hinted from t""",
     "select_candidate": f"with {CANDIDATES} select image_id, box_idx, recognizer, text, round(confidence, 6) as confidence from ranked where place = 1",
     "candidate_alternatives": f"""with {CANDIDATES},
@@ -410,8 +410,9 @@ t as (select image_id, line_id, {TRIM.format('text')} as text, confidence from n
 select * exclude (confidence) from t where confidence >= 0.5 and text <> ''""",
     "sha256_verify": """select cast(doc_id as varchar) as name, case when doc_id % 10 = 5 then 'missing' when doc_id % 10 = 4 then 'size'
        when doc_id % 10 = 3 then 'checksum' else 'ok' end as status from documents""",
-    "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values(PROFILES, 'quality, det, rec, max_side')})
-select quality, max_side, d.bytes + r.bytes as bytes from profiles join models d on det = d.model join models r on rec = r.model""",
+    "profile_costs": f"""with {MODEL_ROWS}, profiles as ({_values([(i, *p) for i, p in enumerate(PROFILES)], 'k, quality, det, rec, max_side')})
+select quality, max_side, any_value(d.bytes + r.bytes) as bytes, count(*) as documents from documents join profiles on k = doc_id % 4 join models d on det = d.model join models r on rec = r.model
+group by quality, max_side""",
     "detection_matches": f"{MATCHES} select * from matched",
     "detection_scores": f"""{MATCHES},
 n as (select image_id, count(*) as refs, count_if(line_id % 9 <> 0) as preds from base group by image_id),
@@ -456,22 +457,17 @@ select session, round(coalesce(done, 0) / 1150000, 6) as progress from (select d
 o as (select *, case when k <> 2 and t between 1 and 8 then t else 1 end as o from d)
 select doc_id, ['png', 'jpeg', 'bmp', 'tiff', 'webp'][k + 1] as format, w as width, h as height, o as orientation, case when o >= 5 then h else w end as shown_width,
        case when o >= 5 then w else h end as shown_height, case when w * h > 10000000 then 'image has too many pixels' end as error from o""",
-    "dictionary_entries": _values([("m", 1, "x"), ("m", 2, "it's"), ("m", 3, "é"), ("m", 4, "  ")], "model, position, entry"),
-    "worker_responses": _values(
-        [
-            ('{"id":1,"ok":true,"result":{"method":"info","languages":[]}}',),
-            ('{"id":2,"ok":true,"result":{"method":"recognize","languages":["de","en"]}}',),
-            ('{"id":3,"ok":false,"error":"image is missing"}',),
-            ('{"id":4,"ok":false,"error":"min_confidence must be between 0 and 1"}',),
-            ('{"id":5,"ok":false,"error":"unknown method"}',),
-            ('{"ok":false,"error":"request is not a JSON object"}',),
-            ('{"ok":false,"error":"unknown member extra"}',),
-            ('{"id":7,"ok":false,"error":"unsupported languages xx"}',),
-        ],
-        "response",
-    ),
-    "image_headers": _values(
-        [(0, "png", 640, 320, None), (1, "bmp", 2, 3, None), (2, "jpeg", None, None, None), (3, None, None, None, "image format is not supported"), (4, None, None, None, "image is empty")],
-        "n, format, width, height, error",
-    ),
+    "dictionary_entries": r"""with w as (select cast(item_id as varchar) as model, list_filter(string_split_regex(text, '[^\p{L}0-9''.,]+'), lambda w: w <> '' and w[1] <> chr(39)) as ws
+from benchmark where text is not null)
+select model, unnest(range(1, len(ws) + 1)) as position, unnest(ws) as entry from w""",
+    "worker_responses": f"""with {_pairs(_spellings(ALIAS), 'alias')},
+d as (select doc_id, coalesce(lang, 'en') as l, doc_id % 8 as kind from documents where doc_id is not null),
+c as (select doc_id, kind, coalesce(v, l) as code from d left join alias on k = l)
+select case kind when 0 then concat('{{"id":', doc_id, ',"ok":true,"result":{{"method":"info","languages":[]}}}}')
+  when 1 then concat('{{"id":', doc_id, ',"ok":true,"result":{{"method":"recognize","languages":["', code, case when code <> 'de' then '","de' else '' end, '"]}}}}')
+  when 5 then '{{"ok":false,"error":"request is not a JSON object"}}' when 6 then '{{"ok":false,"error":"unknown member extra"}}'
+  else concat('{{"id":', doc_id, ',"ok":false,"error":"', case kind when 2 then 'image is missing' when 3 then 'min_confidence must be between 0 and 1' when 4 then 'unknown method' else 'unsupported languages xx' end, '"}}') end as response
+from c""",
+    "image_headers": f"""with h as ({_values([(0, "png", 640, 320, None), (1, "bmp", 2, 3, None), (2, "jpeg", None, None, None), (3, None, None, None, "image format is not supported"), (4, None, None, None, "image is empty")], "k, format, width, height, error")})
+select doc_id, format, width, height, error from documents join h on k = doc_id % 5""",
 }
