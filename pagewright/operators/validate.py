@@ -11,6 +11,8 @@ from pagewright.schema import COORDINATE_SYSTEMS, SCHEMA_VERSION
 
 MIN_AREA = 0.5
 FINAL = ["reviewed", "verified"]
+#: The wording of the most common errors, which users of the format search for.
+EMPTY, TWICE, RANGE = "must not be empty", "is duplicated", "must be between 0 and 1"
 _NONE = "array<string>"
 
 
@@ -51,13 +53,13 @@ def unique_texts(values: Column, path: Column | str) -> Column:
     """Blank entries and repeats, by index."""
     values = F.coalesce(values, _none())
     said = lambda i, message: F.struct(i.alias("i"), _text(path, "[", i, message).alias("m"))
-    blank = F.array_compact(F.transform(values, lambda v, i: F.when(_missing(v), said(i, "] must not be empty"))))
-    again = F.transform(_again(values, blanks=False), lambda e: said(e["i"], "] is duplicated"))
+    blank = F.array_compact(F.transform(values, lambda v, i: F.when(_missing(v), said(i, f"] {EMPTY}"))))
+    again = F.transform(_again(values, blanks=False), lambda e: said(e["i"], f"] {TWICE}"))
     return F.transform(F.array_sort(F.concat(blank, again)), lambda e: e["m"])
 
 
 def confidence_errors(value: Column, path: Column) -> Column:
-    return _check(value.isNotNull() & (F.isnan(value) | (value < 0) | (value > 1)), _text(path, ".confidence must be between 0 and 1"))
+    return _check(value.isNotNull() & (F.isnan(value) | (value < 0) | (value > 1)), _text(path, ".confidence " + RANGE))
 
 
 def quad_errors(quad: Column, width: Column, height: Column, path: Column) -> Column:
@@ -76,34 +78,34 @@ def quad_errors(quad: Column, width: Column, height: Column, path: Column) -> Co
 
 def _repeats(ids: Column, what: str) -> Column:
     """Ids that stand before, each at its place; blank ones are left to another rule."""
-    return F.transform(_again(ids, blanks=False), lambda e: _text(what, e["v"], " is duplicated"))
+    return F.transform(_again(ids, blanks=False), lambda e: _text(what, e["v"], f" {TWICE}"))
 
 
 def line_errors(line: Column, at: Column, width: Column, height: Column, final: Column) -> Column:
     path = _text("lines[", at, "]")
     words = F.coalesce(line["words"], F.slice(line["words"], 1, 0))
     in_word = lambda w, i: F.concat(
-        _check(_missing(w["id"]), _text(path, ".words[", i, "].id must not be empty")),
+        _check(_missing(w["id"]), _text(path, ".words[", i, "].id " + EMPTY)),
         quad_errors(w["quad"], width, height, _text(path, ".words[", i, "].quad")),
         confidence_errors(w["confidence"], _text(path, ".words[", i, "]")),
     )
     options = F.transform(
         line["alternatives"],
         lambda a, i: F.concat(
-            _check(_missing(a["text"]), _text(path, ".alternatives[", i, "].text must not be empty")),
+            _check(_missing(a["text"]), _text(path, ".alternatives[", i, "].text " + EMPTY)),
             confidence_errors(a["confidence"], _text(path, ".alternatives[", i, "]")),
         ),
     )
     unread = final & ~F.coalesce(line["ignored"], F.lit(False)) & F.coalesce(line["evaluation"]["recognition"], F.lit(True))
     return F.concat(
-        _check(_missing(line["id"]), _text(path, ".id must not be empty")),
+        _check(_missing(line["id"]), _text(path, ".id " + EMPTY)),
         quad_errors(line["quad"], width, height, _text(path, ".quad")),
         confidence_errors(line["confidence"], path),
-        _check(_blank(line["language"]), _text(path, ".language must not be empty")),
-        _check(_blank(line["script"]), _text(path, ".script must not be empty")),
+        _check(_blank(line["language"]), _text(path, ".language " + EMPTY)),
+        _check(_blank(line["script"]), _text(path, ".script " + EMPTY)),
         unique_texts(line["flags"], _text(path, ".flags")),
         F.coalesce(F.flatten(options), _none()),
-        _check(unread & _missing(F.coalesce(line["corrected_text"], line["text"])), _text(path, ".text must not be empty")),
+        _check(unread & _missing(F.coalesce(line["corrected_text"], line["text"])), _text(path, ".text " + EMPTY)),
         F.coalesce(F.flatten(F.transform(words, in_word)), _none()),
     )
 
@@ -122,19 +124,19 @@ def document_errors(doc: Column, version: str = SCHEMA_VERSION) -> Column:
     width, height = image["width"], image["height"]
     final = F.coalesce(meta["status"].isin(FINAL), F.lit(False))
     orders = F.transform(lines, lambda n: n["order"])
-    repeated = F.transform(_again(orders), lambda e: _text("lines[", e["i"], "].order ", e["v"], " is duplicated"))
+    repeated = F.transform(_again(orders), lambda e: _text("lines[", e["i"], "].order ", e["v"], f" {TWICE}"))
     ids = F.flatten(F.transform(lines, lambda n: F.concat(F.array(n["id"]), F.coalesce(F.transform(n["words"], lambda w: w["id"]), _none()))))
     each = F.transform(lines, lambda n, i: line_errors(n, i, width, height, final))
     return F.concat(
         _check(~F.coalesce(doc["schema_version"] == version, F.lit(False)), f"schema_version is not {version}"),
         _check(~F.coalesce(doc["coordinate_system"].isin(COORDINATE_SYSTEMS), F.lit(False)), "coordinate_system is not supported"),
-        _check(_missing(image["id"]), "image.id must not be empty"),
-        _check(_missing(image["file_name"]), "image.file_name must not be empty"),
+        _check(_missing(image["id"]), "image.id " + EMPTY),
+        _check(_missing(image["file_name"]), f"image.file_name {EMPTY}"),
         _check(F.coalesce((width <= 0) | (height <= 0), F.lit(True)), "image width and height must be positive"),
         _check(~image["sha256"].rlike("^[0-9a-f]{64}$"), "image.sha256 is no SHA-256 in small hexadecimal digits"),
         unique_texts(doc["language_hints"], "language_hints"),
         unique_texts(meta["tags"], "metadata.tags"),
-        _check(_blank(meta["group_id"]), "metadata.group_id must not be empty"),
+        _check(_blank(meta["group_id"]), f"metadata.group_id {EMPTY}"),
         F.coalesce(_repeats(ids, "id "), _none()),
         F.coalesce(repeated, _none()),
         F.coalesce(F.flatten(each), _none()),

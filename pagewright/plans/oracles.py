@@ -8,19 +8,33 @@ from pagewright.plans import catalog, inputs
 LATIN = "af az bs ca cs cy da de en es et eu fi fr ga gl hr hu id is it jv ku la lb lt lv mi ms mt nl no oc pi pl pt qu rm ro sk sl sq sr-latn sv sw tl tr uz vi".split()
 CYRILLIC, CJK, KOREAN = ["be", "ru", "uk"], ["ja", "zh"], ["ko"]
 SUPPORTED = LATIN + CYRILLIC + CJK + KOREAN
-ALIAS = """
-bel be, cat ca, ces cs, cze cs, dan da, deu de, ger de, german de, dut nl, nld nl, eng en, est et, eus eu, baq eu, fin fi, fra fr, fre fr, french fr,
-glg gl, hrv hr, hun hu, ind id, isl is, ice is, ita it, jpn ja, kor ko, korean ko, lav lv, lit lt, nno no, nob no, nor no, pol pl, por pt, ron ro,
-rum ro, rus ru, slk sk, slo sk, slv sl, spa es, sr-latn sr-latn, rs-latin sr-latn, swe sv, tur tr, ukr uk, vie vi, chi-sim zh, chi-sim-vert zh, zho zh
-"""
-ALIAS3 = """
-ar ara, ara ara, ben ben, bn ben, bg bul, bul bul, ces ces, cs ces, cze ces, da dan, dan dan, de deu, deu deu, ger deu, el ell, ell ell, gre ell, en eng,
-eng eng, est est, et est, fa fas, fas fas, per fas, fi fin, fin fin, fr fra, fra fra, fre fra, he heb, heb heb, hi hin, hin hin, hr hrv, hrv hrv, hu hun,
-hun hun, id ind, ind ind, it ita, ita ita, ja jpn, jpn jpn, ko kor, kor kor, lav lav, lv lav, lit lit, lt lit, may msa, ms msa, msa msa, dut nld, nl nld,
-nld nld, no nor, nor nor, pl pol, pol pol, por por, pt por, ro ron, ron ron, rum ron, ru rus, rus rus, sk slk, slk slk, slo slk, sl slv, slv slv, es spa,
-spa spa, sr srp, srp srp, sv swe, swe swe, ta tam, tam tam, te tel, tel tel, th tha, tha tha, tr tur, tur tur, uk ukr, ukr ukr, vi vie, vie vie
-"""
-WHOLE3 = "zh-hans chi_sim, zh_cn chi_sim, zh-cn chi_sim, zh-hant chi_tra, zh_tw chi_tra, zh-tw chi_tra"
+ALIAS = {
+    "bel": "be", "cat": "ca", "ces": "cs", "cze": "cs", "dan": "da", "deu": "de", "ger": "de", "german": "de",
+    "dut": "nl", "nld": "nl", "eng": "en", "est": "et", "eus": "eu", "baq": "eu", "fin": "fi", "fra": "fr", "fre": "fr",
+    "french": "fr", "glg": "gl", "hrv": "hr", "hun": "hu", "ind": "id", "isl": "is", "ice": "is", "ita": "it",
+    "jpn": "ja", "kor": "ko", "korean": "ko", "lav": "lv", "lit": "lt", "nno": "no", "nob": "no", "nor": "no",
+    "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es",
+    "sr-latn": "sr-latn", "rs-latin": "sr-latn", "swe": "sv", "tur": "tr", "ukr": "uk", "vie": "vi", "chi-sim": "zh",
+    "chi-sim-vert": "zh", "zho": "zh",
+}
+ALIAS3 = {
+    "ar": "ara", "ara": "ara", "ben": "ben", "bn": "ben", "bg": "bul", "bul": "bul", "ces": "ces", "cs": "ces",
+    "cze": "ces", "da": "dan", "dan": "dan", "de": "deu", "deu": "deu", "ger": "deu", "el": "ell", "ell": "ell",
+    "gre": "ell", "en": "eng", "eng": "eng", "est": "est", "et": "est", "fa": "fas", "fas": "fas", "per": "fas",
+    "fi": "fin", "fin": "fin", "fr": "fra", "fra": "fra", "fre": "fra", "he": "heb", "heb": "heb", "hi": "hin",
+    "hin": "hin", "hr": "hrv", "hrv": "hrv", "hu": "hun", "hun": "hun", "id": "ind", "ind": "ind", "it": "ita",
+    "ita": "ita", "ja": "jpn", "jpn": "jpn", "ko": "kor", "kor": "kor", "lav": "lav", "lv": "lav", "lit": "lit",
+    "lt": "lit", "may": "msa", "ms": "msa", "msa": "msa", "dut": "nld", "nl": "nld", "nld": "nld", "no": "nor",
+    "nor": "nor", "pl": "pol", "pol": "pol", "por": "por", "pt": "por", "ro": "ron", "ron": "ron", "rum": "ron",
+    "ru": "rus", "rus": "rus", "sk": "slk", "slk": "slk", "slo": "slk", "sl": "slv", "slv": "slv", "es": "spa",
+    "spa": "spa", "sr": "srp", "srp": "srp", "sv": "swe", "swe": "swe", "ta": "tam", "tam": "tam", "te": "tel",
+    "tel": "tel", "th": "tha", "tha": "tha", "tr": "tur", "tur": "tur", "uk": "ukr", "ukr": "ukr", "vi": "vie",
+    "vie": "vie",
+}
+WHOLE3 = {
+    "zh-hans": "chi_sim", "zh_cn": "chi_sim", "zh-cn": "chi_sim", "zh-hant": "chi_tra", "zh_tw": "chi_tra",
+    "zh-tw": "chi_tra",
+}
 MODELS = [
     ("v6-tiny-det", 1780590), ("v5-mobile-det", 4826518), ("v6-small-det", 9880512), ("v6-medium-det", 62032837), ("v6-tiny-rec", 4462639),
     ("v6-small-rec", 21159378), ("v6-medium-rec", 76554979), ("v5-eslav-rec", 7887627), ("v5-latin-rec", 8042023), ("v5-korean-rec", 13418787),
@@ -31,10 +45,6 @@ PROFILES = [
 ]
 
 
-def _spellings(text: str) -> dict[str, str]:
-    return dict(pair.split() for pair in text.split(","))
-
-
 LINES = inputs.LINES
 ORDERED = f"""
 base as ({LINES}),
@@ -266,7 +276,7 @@ def _list(codes: list[str]) -> str:
 
 
 PLANS = f"""
-{REQUESTS}, {_pairs(_spellings(ALIAS), 'alias')},
+{REQUESTS}, {_pairs(ALIAS, 'alias')},
 words_ as (select request_id, unnest(request) as raw, unnest(range(0, len(request))) as i, len(request) as n from requests),
 clean as (select *, replace(lower(trim(raw)), '_', '-') as s from words_),
 coded as (select request_id, i, n, raw, coalesce(a.v, split_part(s, '-', 1)) as code from clean left join alias a on s = a.k
@@ -283,7 +293,7 @@ plans as (select request_id, auto or cj or (lg::int + cy::int + cj::int + ko::in
 MODEL_ROWS = f"models as ({_values(MODELS, 'model, bytes')})"
 
 CODES = f"""
-with {_pairs(_spellings(ALIAS), 'alias')}, {_pairs(_spellings(ALIAS3), 'alias3')}, {_pairs(_spellings(WHOLE3), 'whole3')},
+with {_pairs(ALIAS, 'alias')}, {_pairs(ALIAS3, 'alias3')}, {_pairs(WHOLE3, 'whole3')},
 raws as (select distinct lang as raw from documents where lang is not null union {_values([(s,) for s in catalog.SPELLINGS], 'raw')}),
 c as (select raw, lower(trim(raw)) as s, replace(lower(trim(raw)), '_', '-') as d from raws)
 select raw, coalesce(a.v, split_part(d, '-', 1)) as code, list_contains({_list(SUPPORTED)}, coalesce(a.v, split_part(d, '-', 1))) as supported,
@@ -460,7 +470,7 @@ select doc_id, ['png', 'jpeg', 'bmp', 'tiff', 'webp'][k + 1] as format, w as wid
     "dictionary_entries": r"""with w as (select cast(item_id as varchar) as model, list_filter(string_split_regex(text, '[^\p{L}0-9''.,]+'), lambda w: w <> '' and w[1] <> chr(39)) as ws
 from benchmark where text is not null)
 select model, unnest(range(1, len(ws) + 1)) as position, unnest(ws) as entry from w""",
-    "worker_responses": f"""with {_pairs(_spellings(ALIAS), 'alias')},
+    "worker_responses": f"""with {_pairs(ALIAS, 'alias')},
 d as (select doc_id, coalesce(lang, 'en') as l, doc_id % 8 as kind from documents where doc_id is not null),
 c as (select doc_id, kind, coalesce(v, l) as code from d left join alias on k = l)
 select case kind when 0 then concat('{{"id":', doc_id, ',"ok":true,"result":{{"method":"info","languages":[]}}}}')

@@ -26,27 +26,34 @@ def read_tsv_lines(documents: DataFrame, key: str = "image_id", tsv: str = "tsv"
     The first line and blank lines are skipped; the last column keeps tabs. A line with too few columns or with a
     column that is no number has an error and no values.
     """
-    # columns are parsed before the lines are dealt out, so that later filters do not parse them again
-    split = F.transform(F.split(tsv, "\r?\n"), lambda line: F.split(line, "\t", COLUMNS))
-    parsed = F.transform(F.transform(split, _parse_line), _check_line)
-    lines = documents.select(key, F.posexplode(parsed).alias("n", "row"))
-    lines = lines.filter((F.col("n") > 0) & ~F.col("row.blank")).select(key, (F.col("n") + 1).alias("position"), "row.*")
+    lines = documents.select(key, F.posexplode(F.split(tsv, "\r?\n")).alias("n", "line")).filter((F.col("n") > 0) & F.col("line").rlike(r"(?U)\S"))
+    lines = lines.select(key, (F.col("n") + 1).alias("position"), "line", F.split("line", "\t", COLUMNS).alias("cells"))
+    # a line of plain numbers is told by one expression; any other goes through each column's own
+    row = F.when(F.col("line").rlike(_PLAIN), _plain_line(F.col("cells"))).otherwise(F.get(F.transform(F.transform(F.array("cells"), _parse_line), _check_line), F.lit(0)))
+    # generated, so that later filters do not parse the columns again
+    lines = lines.select(key, "position", F.inline(F.array(row)))
     error = F.when(F.col("width_in_columns") < COLUMNS, F.format_string("line %d: expected 12 columns", "position")).when(
         F.col("bad").isNotNull(), F.format_string("line %d: invalid %s", "position", "bad")
     )
-    return lines.withColumn("error", error).drop("blank", "width_in_columns", "bad")
+    return lines.withColumn("error", error).drop("width_in_columns", "bad")
 
 
 def _parse_line(c: Column) -> Column:
     """The columns of one split line."""
     cell = lambda i: F.get(c, F.lit(i - 1))
     values = {k: _number(cell(i), "int") for k, i in INTS.items()} | {k: _number(cell(i), "double") for k, i in NUMBERS.items()}
-    return F.struct(
-        (~F.array_join(c, "").rlike(r"(?U)\S")).alias("blank"),
-        F.size(c).alias("width_in_columns"),
-        *[v.alias(k) for k, v in values.items()],
-        cell(COLUMNS).alias("text"),
-    )
+    return F.struct(F.size(c).alias("width_in_columns"), *[v.alias(k) for k, v in values.items()], cell(COLUMNS).alias("text"))
+
+
+#: Twelve columns, of which those with numbers hold few digits and at most one point.
+_PLAIN = r"^[0-9]{1,9}(?:\t[0-9]{1,9}){4}\t[^\t]*(?:\t-?[0-9]{1,9}(?:\.[0-9]{1,9})?){5}\t"
+
+
+def _plain_line(c: Column) -> Column:
+    """The same of a line that _PLAIN holds for."""
+    cell = lambda i: F.get(c, F.lit(i - 1))
+    values = [cell(i).cast("int").alias(k) for k, i in INTS.items()] + [cell(i).cast("double").alias(k) for k, i in NUMBERS.items()]
+    return F.struct(F.lit(COLUMNS).alias("width_in_columns"), *values, cell(COLUMNS).alias("text"), F.lit(None).cast("string").alias("bad"))
 
 
 def _check_line(row: Column) -> Column:
