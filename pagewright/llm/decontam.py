@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import ascii_lower, row_key
+from pagewright.llm.keysets import KeyFilter, without_keys
 from pagewright.session import cut, stored
 
 SPAN = 13
@@ -228,10 +229,13 @@ def contamination_report(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, as they were: null and empty texts stay, repeated rows stay or go together,
-    all columns stay, whatever their names, and without items all documents stay."""
+    all columns stay, whatever their names, and without items all documents stay. Texts are not shuffled but for rows whose
+    key hits two bit filters (see keysets)."""
     hits = contamination_hits(docs, items, id_col, text_col, **options)
-    hits = cut(hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), _covered(F.col("hits")).alias("_n")))
+    hits = cut(hits.select("k1", "k2", _covered(F.col("hits")).alias("n")).filter("n > 0"))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    bad = (F.col("_n") > 0) & (F.col("_n") * 20 >= count_words(F.col("_row")[text_col]))
-    joined = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2")).join(hits, ["_k1", "_k2"], "left")
-    return joined.filter(F.coalesce(~bad, F.lit(True))).select("_row.*")
+    keys = KeyFilter(hits).mark(docs.select(k1, k2, F.col(text_col).alias("text")), "k2", "hit")
+    keys = cut(keys.select("k1", "k2", F.when(F.col("hit"), count_words(F.col("text"))).alias("n_words")))
+    bad = keys.filter("n_words is not null").join(hits, ["k1", "k2"]).filter("20 * n >= n_words").select("k1", "k2").distinct()
+    keyed = docs.select(F.struct("*").alias("_row"), k1, k2)
+    return without_keys(keyed, cut(bad), keys).select("_row.*")

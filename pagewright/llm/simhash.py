@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import map_rows, row_key, spread_join
 from pagewright.llm.components import connected_components
+from pagewright.llm.keysets import KeyFilter, without_keys
 from pagewright.session import cut
 
 RADIUS = 4
@@ -176,7 +177,8 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The row with the least id of each component, as it was; null ids come last, then the text's hash decides, and of
-    repeated rows one stays. All columns stay, whatever their names; an empty table gives an empty result."""
+    repeated rows one stays. All columns stay, whatever their names; an empty table gives an empty result. Texts are not
+    shuffled but for rows whose key hits two bit filters (see keysets)."""
     groups = cut(near_duplicate_groups(docs, id_col, text_col, radius))
     first = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("k1"), F.col("k2"))).alias("keep"),
@@ -190,11 +192,12 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     repeated = cut(repeated)
     lost = others.filter((F.col("k1") != F.col("b1")) | (F.col("k2") != F.col("b2"))).select("k1", "k2").distinct()
-    lost = cut(lost.union(repeated)).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    lost = cut(lost.union(repeated))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    keyed = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
-    kept = keyed.join(lost, ["_k1", "_k2"], "left_anti")
+    keyed = docs.select(F.struct("*").alias("_row"), k1, k2)
+    kept = without_keys(keyed, lost, groups)
     if not repeated.isEmpty():
-        again = keyed.join(repeated.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left_semi")
-        kept = kept.unionByName(again.dropDuplicates(["_k1", "_k2"]))
+        again = KeyFilter(repeated).mark(keyed, "k2", "_again").filter("_again").drop("_again")
+        again = again.join(repeated, ["k1", "k2"], "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["k1", "k2"]).select(*keyed.columns))
     return kept.select("_row.*")
