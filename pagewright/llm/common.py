@@ -42,7 +42,7 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 
 
 def spread_join(rows: DataFrame, one_each: DataFrame, key: str, by: str, parts: int = 32) -> DataFrame:
-    """rows joined with a table of one row a key. A key's rows are dealt over `parts` by a hash of `by`, and its one row
+    """rows joined with a table of one row a key, or a few. A key's rows are dealt over `parts` by a hash of `by`, and what the other table has for it
     is repeated as often, so that no key lands in one task. The repeated rows are never broadcast, whatever size Spark
     takes them to have before they are repeated."""
     many = one_each.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")

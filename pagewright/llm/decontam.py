@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import ascii_lower, row_key
+from pagewright.llm.common import ascii_lower, row_key, spread_join
 from pagewright.llm.keysets import KeyFilter, without_keys
 from pagewright.session import cut, stored
 
 SPAN = 13
 GRAM = 6
-#: Fingerprints of the items that every task may hold; with more of them they are joined.
+#: Fingerprints of the items that every task may hold; of more of them every task holds a bit filter, and what hits it is joined.
 HELD_PRINTS = 20_000
 #: Fixed separator: every ASCII character that is neither a letter nor a digit.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,8 +140,10 @@ def contamination_hits(
         known = lambda x: x.isin(few)
         again, some = grams(keyed), F.exists(prints, known)
     else:
+        # a bit filter of the items' fingerprints: of the documents' fingerprints only those that hit it are shuffled
         spread = grams(keyed).select("k1", "k2", F.explode(prints).alias("x"))
-        shared = spread.join(wanted, "x", "left_semi").groupBy("k1", "k2").agg(F.collect_set("x").alias("xs"))
+        spread = KeyFilter(wanted.select(F.col("x").alias("k2"))).mark(spread, "x", "hit").filter("hit").drop("hit")
+        shared = spread_join(spread, wanted, "x", "k2").groupBy("k1", "k2").agg(F.collect_set("x").alias("xs"))
         has = F.map_from_arrays("xs", F.transform("xs", lambda x: F.lit(True)))
         shared = stored(shared.select("k1", "k2", has.alias("has")))
         known = lambda x: F.coalesce(F.col("has")[x], F.lit(False))
@@ -163,7 +165,8 @@ def contamination_hits(
     # equal sites of a text, and equal postings of the items, meet once
     hits = again.select("k1", "k2", F.explode(around).alias("d")).select("k1", "k2", "d.*")
     hits = hits.groupBy("k1", "k2", "x", "dl", "dm", "dr").agg(F.collect_set("i").alias("at"))
-    met = hits.join(postings, "x").filter(F.col("dm") == F.col("im"))
+    # a passage that many documents hold is one x: its sites are dealt over several tasks
+    met = spread_join(hits, postings, "x", "k2").filter(F.col("dm") == F.col("im"))
     met = met.withColumn("l", _agree("dl", "il")).withColumn("r", _agree("dr", "ir"))
     met = met.filter(F.col("l") + F.size("im") + F.col("r") >= F.col("need"))
     met = met.groupBy("k1", "k2", "at", "l", (F.size("im") + F.col("r")).alias("after")).agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
