@@ -41,12 +41,22 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def spread_join(rows: DataFrame, one_each: DataFrame, key: str, by: str, parts: int = 32) -> DataFrame:
+def hot_values(counts: DataFrame, key: str, n: str = "n", share: int = 1000) -> list:
+    """The values of `key` that hold at least one in `share` of all rows, by a table of each value's count `n`: at most
+    `share` values, whatever the table's size."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter(F.col(n) * share >= F.lit(total)).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str, by: list[str], parts: int = 32, hot: list | None = None) -> DataFrame:
     """rows joined with a table of one row a key, or a few. A key's rows are dealt over `parts` by a hash of `by`, and what the other table has for it
-    is repeated as often, so that no key lands in one task. The repeated rows are never broadcast, whatever size Spark
-    takes them to have before they are repeated."""
-    many = one_each.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")
-    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(many, [key, "_part"]).drop("_part")
+    is repeated as often, so that no key lands in one task. With `hot` (see hot_values) only these keys are dealt out. The
+    repeated rows are never broadcast, whatever size Spark takes them to have before they are repeated."""
+    dealt = F.lit(True) if hot is None else F.col(key).isin(hot)
+    places = F.when(dealt, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    many = one_each.withColumn("_part", F.explode(places)).hint("merge")
+    part = F.when(dealt, F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    return rows.withColumn("_part", part).join(many, [key, "_part"]).drop("_part")
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])

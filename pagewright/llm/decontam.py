@@ -143,7 +143,7 @@ def contamination_hits(
         # a bit filter of the items' fingerprints: of the documents' fingerprints only those that hit it are shuffled
         spread = grams(keyed).select("k1", "k2", F.explode(prints).alias("x"))
         spread = KeyFilter(wanted.select(F.col("x").alias("k2"))).mark(spread, "x", "hit").filter("hit").drop("hit")
-        shared = spread_join(spread, wanted, "x", "k2").groupBy("k1", "k2").agg(F.collect_set("x").alias("xs"))
+        shared = spread_join(spread, wanted, "x", ["k1", "k2"]).groupBy("k1", "k2").agg(F.collect_set("x").alias("xs"))
         has = F.map_from_arrays("xs", F.transform("xs", lambda x: F.lit(True)))
         shared = stored(shared.select("k1", "k2", has.alias("has")))
         known = lambda x: F.coalesce(F.col("has")[x], F.lit(False))
@@ -166,7 +166,7 @@ def contamination_hits(
     hits = again.select("k1", "k2", F.explode(around).alias("d")).select("k1", "k2", "d.*")
     hits = hits.groupBy("k1", "k2", "x", "dl", "dm", "dr").agg(F.collect_set("i").alias("at"))
     # a passage that many documents hold is one x: its sites are dealt over several tasks
-    met = spread_join(hits, postings, "x", "k2").filter(F.col("dm") == F.col("im"))
+    met = spread_join(hits, postings, "x", ["k1", "k2"]).filter(F.col("dm") == F.col("im"))
     met = met.withColumn("l", _agree("dl", "il")).withColumn("r", _agree("dr", "ir"))
     met = met.filter(F.col("l") + F.size("im") + F.col("r") >= F.col("need"))
     met = met.groupBy("k1", "k2", "at", "l", (F.size("im") + F.col("r")).alias("after")).agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))

@@ -44,8 +44,8 @@ class KeyFilter:
 def without_keys(rows: DataFrame, gone: DataFrame, present: DataFrame) -> DataFrame:
     """The rows whose (k1, k2) is not in `gone`. present: the keys of all rows, which may repeat."""
     first = KeyFilter(gone)
-    chance = first.mark(present.select("k1", "k2"), "k2", "_first").filter("_first").select("k1", "k2")
-    second = KeyFilter(cut(chance.join(gone, ["k1", "k2"], "left_anti").distinct()))
+    chance = first.mark(present.select("k1", "k2"), "k2", "_first").filter("_first").select("k1", "k2").distinct()
+    second = KeyFilter(cut(chance.join(gone, ["k1", "k2"], "left_anti")))
     marked = second.mark(first.mark(rows, "k2", "_first"), "k2", "_second")
     sure = marked.filter(~F.col("_first"))
     unsure = marked.filter(F.col("_first") & F.col("_second")).join(gone, ["k1", "k2"], "left_anti")

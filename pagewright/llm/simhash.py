@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import map_rows, row_key, spread_join
+from pagewright.llm.common import hot_values, map_rows, row_key, spread_join
 from pagewright.llm.components import connected_components
 from pagewright.llm.keysets import KeyFilter, without_keys
 from pagewright.session import cut
@@ -154,15 +154,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     is the component's id unless all its ids are null. An empty table gives an empty result.
     """
     prints = cut(add_fingerprint(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = cut(nodes)
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     comps = connected_components(link_fingerprints(nodes, radius), "a", "b")
     roots = cut(nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first", "component"))
     linked = roots.filter("component is not null").withColumnRenamed("component", "root")
-    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
     alone = roots.filter("component is null").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
-    labels = cut(spread_join(linked.select("fp", "root"), ids, "root", "fp").select("fp", "root", "component_id").unionByName(alone))
-    return prints.join(labels, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+    named = spread_join(linked.select("fp", "root"), ids, "root", ["fp"], hot=hot_values(ids, "root"))
+    labels = cut(named.select("fp", "root", "component_id").unionByName(alone))
+    # thousands of copies, and all texts without words, have one fingerprint
+    return spread_join(prints, labels, "fp", ["k1", "k2"], hot=hot_values(nodes, "fp")).select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -184,8 +185,9 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("k1"), F.col("k2"))).alias("keep"),
         F.count(F.lit(1)).alias("rows"),
     )
-    first = cut(first.filter(F.col("rows") > 1).select("root", F.col("keep.k1").alias("b1"), F.col("keep.k2").alias("b2")))
-    others = spread_join(groups, first, "root", "k2")
+    first = first.filter(F.col("rows") > 1).select("root", "rows", F.col("keep.k1").alias("b1"), F.col("keep.k2").alias("b2"))
+    first = cut(first)
+    others = spread_join(groups, first, "root", ["k1", "k2"], hot=hot_values(first, "root", "rows"))
     repeated = (
         others.filter((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")))
         .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k1", "k2")
