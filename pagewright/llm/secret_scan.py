@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import row_key
+from pagewright.llm.common import hot_values, row_key, spread_join
 from pagewright.session import cut
 
 #: Fixed patterns: kind, pattern, group that holds the value, its least length.
@@ -76,7 +76,7 @@ def secret_spans(
 
     Null texts are empty. Rows with a null repository or owner count as no repository or owner. Repeated rows have
     spans of their own. Values that a third of all rows hold are counted with partial sums before the shuffle;
-    the join that follows is a plain equi-join whose hot keys Spark splits at run time.
+    the join that follows deals the spans of values with at least a thousandth of all spans over several tasks.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = cut(
@@ -111,15 +111,17 @@ def secret_spans(
             _looks_random(F.col("value")).alias("random"),
         )
     )
-    held = placed.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one"))
+    placed = cut(placed)
+    held = placed.groupBy("value_hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("value_hash").agg(
-        F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")
+        F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"), F.sum("n").alias("n")
     )
+    held = cut(held)
     kind_of = (
         F.when(F.col("n_owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak")
     )
     spans = (
-        placed.join(held, "value_hash")
+        spread_join(placed, held.drop("n"), "value_hash", ["rid", "start"], hot=hot_values(held, "value_hash"))
         .withColumn("class", kind_of)
         .filter((F.col("kind") != NAMES.index("blob")) | (F.col("class") == "live"))
         .select("rid", "kind", "start", "end", "value_hash", "n_repos", "n_owners", "class")
