@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pagewright.llm import secret_scan, sharding
-from pagewright.llm.decontam import SPAN
+# Fixed values, written out here so that the SQL does not take them from the code that it checks.
+SPAN = 13
+PRIME, MULTIPLIER, BUCKETS = 2147483647, 48271, 4096
+ROUND_KEYS = ((16807, 11), (69621, 23), (39373, 37), (40692, 53), (40014, 71), (45991, 97))
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 def _network(source: str, x: str, to: str) -> str:
     """CTEs that take column x of `source` (with a, b) through the rounds into column `to`."""
-    p = sharding.PRIME
+    p = PRIME
     steps = [f"{to}_0 as (select *, {x} // b as {to}_u, {x} % b as {to}_v, a as {to}_ru, b as {to}_rv from {source})"]
     names = [f"{to}_{c}" for c in ("u", "v", "ru", "rv")]
     u, v, ru, rv = names
-    for i, (m, c) in enumerate(sharding.ROUND_KEYS):
+    for i, (m, c) in enumerate(ROUND_KEYS):
         t = f"(({v} % {p} * {m} + {c}) % {p})"
         steps.append(
             f"{to}_{i + 1} as (select * exclude ({', '.join(names)}), {v} as {u}, ({u} + ({t} * {t} + {c}) % {p}) % {ru} as {v}, "
             f"{rv} as {ru}, {ru} as {rv} from {to}_{i})"
         )
-    last = len(sharding.ROUND_KEYS)
+    last = len(ROUND_KEYS)
     steps.append(f"{to}_done as (select * exclude ({', '.join(names)}), {u} * {rv} + {v} as {to} from {to}_{last})")
     return ",\n".join(steps)
 
@@ -45,7 +47,7 @@ sums as (select rowid_, doc_id, len(bs) + 1 as size,
 n as (select count(*) as total from documents),
 sides as (select total, cast(ceil(sqrt(total)) as bigint) as b, (total + cast(ceil(sqrt(total)) as bigint) - 1) // cast(ceil(sqrt(total)) as bigint) as a from n),
 numbered as (select doc_id, size, text_crc32, total, a, b, row_number() over (order by
-    (((coalesce(doc_id, 0) % {sharding.PRIME} + {sharding.PRIME}) % {sharding.PRIME} * {sharding.MULTIPLIER}) % {sharding.PRIME} + text_crc32) % {sharding.BUCKETS},
+    (((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME} * {MULTIPLIER}) % {PRIME} + text_crc32) % {BUCKETS},
     doc_id nulls first, text_crc32, size) - 1 as row_number from sums, sides),
 {(',' + chr(10)).join(chain)}
 select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law, cast({at} % 16 as integer) as shard,
@@ -76,8 +78,13 @@ def _kind(n: int, pattern: str, group: int) -> str:
     return f"select rid, {n} as kind, regexp_extract_all(text, '{quoted}') as found, regexp_extract_all(text, '{quoted}', {group}) as val, string_split_regex(text, '{quoted}') as gaps from d"
 
 
-_PATTERNS = [(k, p.replace("(?i:(", "(?i:(?:") if k == "assign" else p, 1 if k == "assign" else 0, n) for k, p, _, n in secret_scan.KINDS]
-_PATTERNS.append(("blob", "[A-Za-z0-9+/_-]{24,}", 0, 24))
+# Kind, pattern, group that holds the value, its least length.
+_PATTERNS = [
+    ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("blob", r"[A-Za-z0-9+/_-]{24,}", 0, 24),
+]
 _LEAST = "[" + ", ".join(str(n) for *_, n in _PATTERNS) + "]"
 _NAMES = "[" + ", ".join(f"'{k}'" for k, *_ in _PATTERNS) + "]"
 
