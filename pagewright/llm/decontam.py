@@ -211,7 +211,8 @@ def contamination_report(
 ) -> DataFrame:
     """One row per document with its share of benchmark words; the rule is n_hit > 0 and 20 * n_hit >= n_words.
 
-    Documents without words have zeros. The join back is by row_key, whose hits have one row for each distinct
+    Documents without words have zeros, and without items all have; a null id stays null; a null item id counts as the empty
+    text; an empty table gives an empty result; other columns are ignored. The join back is by row_key, whose hits have one row for each distinct
     (id, text), so repeated rows stay as many as they were.
     """
     hits = cut(contamination_hits(docs, items, id_col, text_col, **options))

@@ -50,6 +50,15 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir, edge):
         stage(spark, docs.limit(0), sf_dir).collect()
 
 
+def test_decontamination_without_items_keeps_every_row(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "one two three", 5), (1, "one two three", 5), (None, None, 6), (2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows))
+    assert corpus_pipeline.decontamination(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_long_ids_and_clashing_columns_pass_through(spark, tmp_path):
     rows = [
         (2**60 + 1, "A text of some words about the weather of the north", "en", "s1", 51), (None, "A letter without any id stands in the table too", None, "s2", 47),
