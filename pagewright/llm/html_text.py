@@ -14,10 +14,13 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -62,9 +65,6 @@ ARTICLE_WEIGHT, CLUTTER_WEIGHT = 50.0, 0.001
 ARTICLE_PRIOR, CLUTTER_PRIOR, CONSTANT_WEIGHT = 2.0, 0.5, 0.02
 #: A form with more plain text than this, and most of the page's, stands around the page and is no clutter.
 PAGE_FORM = 200
-#: Products of subtree sizes up to which children are matched in the best way; beyond it the n-th child of a label
-#: goes with the n-th of the other page, so that time stays linear in the number of nodes.
-EXACT = 40_000
 
 
 class Node:
@@ -317,89 +317,195 @@ def read(text: str) -> list:
     return top[1][0]
 
 
-def match(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching: the largest number of node pairs that keep parents and order, and the pairs of
-    children that reach it. Roots with different labels don't match. Large subtrees: see EXACT."""
-    size: dict[int, int] = {}
-    for tree in (a, b):
+class Shapes:
+    """Outlines as numbers: subtrees of equal labels in equal places share one, whichever tree they are in."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        #: Whether no child has children.
+        self.flat: list[bool] = []
+        #: A shape's place among those of its label.
+        self.place: list[int] = []
+        self.of_label: Counter = Counter()
+
+    def add(self, tree: list) -> dict[int, int]:
+        """The shape of each node, by id."""
+        out: dict[int, int] = {}
         for n in reversed(_in_order(tree)):
-            size[id(n)] = 1 + sum(size[id(k)] for k in n[1])
-    done: dict[tuple[int, int], tuple[int, list]] = {}
-    todo = [(a, b, False)]
-    while todo:
-        p, q, ready = todo.pop()
-        exact = size[id(p)] * size[id(q)] <= EXACT
-        if p[0] != q[0]:
-            done[id(p), id(q)] = 0, []
-        elif ready and exact:
-            done[id(p), id(q)] = _match_children(p[1], q[1], done)
-        elif ready:
-            pairs = [(i, j, *done[id(p[1][i]), id(q[1][j])]) for i, j in _same_place(p[1], q[1])]
-            done[id(p), id(q)] = 1 + sum(n for _, _, n, _ in pairs), [(i, j, below) for i, j, _, below in pairs]
-        else:
-            todo.append((p, q, True))
-            if exact:
-                todo += [(x, y, False) for x in p[1] for y in q[1]]
+            kids = tuple([out[id(k)] for k in n[1]])
+            shape = self.number.setdefault((n[0], kids), len(self.label))
+            if shape == len(self.label):
+                self.label.append(n[0])
+                self.kids.append(kids)
+                self.size.append(1 + sum([self.size[k] for k in kids]))
+                self.flat.append(not any(self.kids[k] for k in kids))
+                self.place.append(self.of_label[n[0]])
+                self.of_label[n[0]] += 1
+            out[id(n)] = shape
+        return out
+
+
+class Matcher:
+    """Numbers of node pairs that simple tree matching finds for two shapes, each two compared once.
+
+    Equal shapes match whole, and so do equal children at both ends of two lists; only what differs in between is
+    compared, in time in proportion to the product of the sizes at most.
+    """
+
+    def __init__(self, shapes: Shapes):
+        self.shapes = shapes
+        self.found: dict[int, array] = {}
+
+    def known(self, p: int, q: int) -> int:
+        """The number for two shapes, -1 if it is not found yet."""
+        s = self.shapes
+        if p == q:
+            return s.size[p]
+        if s.label[p] != s.label[q]:
+            return 0
+        if not s.kids[p] or not s.kids[q]:
+            return 1
+        row = self.found.get(p)
+        return row[s.place[q]] if row else -1
+
+    def weight(self, p: int, q: int) -> int:
+        todo = [(p, q, self._open(p, q))] if self.known(p, q) < 0 else []
+        while todo:
+            below = next(todo[-1][2], None)
+            if below:
+                todo.append((*below, self._open(*below)))
             else:
-                todo += [(p[1][i], q[1][j], False) for i, j in _same_place(p[1], q[1])]
-    return done[id(a), id(b)]
-
-
-def _same_place(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs of the n-th child of a label in x with the n-th in y, as many as keep the order."""
-    places: dict[tuple[str, int], int] = {}
-    seen: Counter = Counter()
-    for j, (label, _) in enumerate(y):
-        places[label, seen[label]] = j
-        seen[label] += 1
-    seen.clear()
-    pairs = []
-    for i, (label, _) in enumerate(x):
-        j = places.get((label, seen[label]))
-        seen[label] += 1
-        if j is not None:
-            pairs.append((i, j))
-    # longest rising run of places
-    tails, at, before = [], [], [-1] * len(pairs)
-    for n, (_, j) in enumerate(pairs):
-        k = bisect_left(tails, j)
-        tails[k : k + 1], at[k : k + 1] = [j], [n]
-        before[n] = at[k - 1] if k else -1
-    chosen, n = [], at[-1] if at else -1
-    while n >= 0:
-        chosen.append(pairs[n])
-        n = before[n]
-    return chosen[::-1]
-
-
-def _match_children(x: list, y: list, done: dict) -> tuple[int, list]:
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x, 1):
-        for j, q in enumerate(y, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + done[id(p), id(q)][0])
-    chosen, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+                self._find(*todo.pop()[:2])
+        return self.known(p, q)
+
+    def _open(self, p: int, q: int) -> Iterator[tuple[int, int]]:
+        """Pairs of shapes that have to be found before p and q; flat ones are found on the way."""
+        s = self.shapes
+        x, y, *_ = self._between(p, q)
+        of_label: dict[str, list[int]] = {}
+        for j in dict.fromkeys(y):
+            if s.kids[j]:
+                of_label.setdefault(s.label[j], []).append(j)
+        for i in dict.fromkeys(x):
+            alike = of_label.get(s.label[i]) if s.kids[i] else None
+            row = self._row(i) if alike else ()
+            for j in alike or ():
+                if row[s.place[j]] < 0 and i != j:
+                    if s.flat[i] or s.flat[j]:
+                        self._find(i, j)
+                    else:
+                        yield i, j
+
+    def _row(self, p: int) -> array:
+        """What is found for p, by the place of the other shape."""
+        row = self.found.get(p)
+        if row is None:
+            row = self.found[p] = array("i", [-1]) * self.shapes.of_label[self.shapes.label[p]]
+        return row
+
+    def _between(self, p: int, q: int) -> tuple[tuple, tuple, int, int]:
+        """The children of both without the equal ones at both ends, and how many those are at the start and the end."""
+        x, y = self.shapes.kids[p], self.shapes.kids[q]
+        start, most = 0, min(len(x), len(y))
+        while start < most and x[start] == y[start]:
+            start += 1
+        end, most = 0, most - start
+        while end < most and x[-1 - end] == y[-1 - end]:
+            end += 1
+        return x[start : len(x) - end], y[start : len(y) - end], start, end
+
+    def _find(self, p: int, q: int) -> None:
+        s = self.shapes
+        x, y, start, end = self._between(p, q)
+        if min(len(x), len(y)) < 2:
+            most = 0
+            for i in x:
+                for j in y:
+                    most = max(most, self.known(i, j)) if s.label[i] == s.label[j] else most
         else:
-            chosen.append((i - 1, j - 1, done[id(x[i - 1]), id(y[j - 1])][1]))
-            i, j = i - 1, j - 1
-    return 1 + best[-1][-1], chosen[::-1]
+            best, rows = np.zeros(len(y) + 1, np.int64), self._rows(x, y)
+            for i in x:
+                best = _next_best(best, rows[i])
+            most = int(best[-1])
+        kids = s.kids[p]
+        for k in kids[:start] + kids[len(kids) - end :]:
+            most += s.size[k]
+        self._row(p)[s.place[q]] = 1 + most
+
+    def _rows(self, x: tuple, y: tuple) -> dict[int, np.ndarray | None]:
+        """For each shape of x its numbers with all of y; none if it matches nothing."""
+        label = self.shapes.label
+        of_label: dict[str, dict[int, list[int]]] = {}
+        for j, k in enumerate(y):
+            of_label.setdefault(label[k], {}).setdefault(k, []).append(j)
+        out: dict[int, np.ndarray | None] = {}
+        for i in dict.fromkeys(x):
+            alike = of_label.get(label[i])
+            out[i] = np.zeros(len(y), np.int32) if alike else None
+            for k, places in alike.items() if alike else ():
+                out[i][places] = self.known(i, k)
+        return out
+
+    def children(self, p: int, q: int) -> list[tuple[int, int]]:
+        """Places of the children that are paired: equal ones at both ends with each other; in between, of the best
+        choices, the one with the first children of p, then of q.
+
+        Every so many rows of best sums are kept and the others made again, so that memory stays below the product.
+        """
+        x, y, start, end = self._between(p, q)
+        n, m = len(x), len(y)
+        rows = self._rows(x, y)
+        step = isqrt(n) + 1
+        best = np.zeros(m + 1, np.int64)
+        kept = [best]
+        for i, k in enumerate(x, 1):
+            best = _next_best(best, rows[k])
+            if i % step == 0:
+                kept.append(best)
+        pairs, j = [], m
+        for first in range(n // step * step, -1, -step):
+            part = [kept[first // step]]
+            for k in x[first : first + step]:
+                part.append(_next_best(part[-1], rows[k]))
+            for i in range(len(part) - 1, 0, -1):
+                if part[i][j] > part[i - 1][j]:
+                    j = int(np.searchsorted(part[i], part[i][j])) - 1
+                    pairs.append((start + first + i - 1, start + j))
+        return [(i, i) for i in range(start)] + pairs[::-1] + [(start + n + i, start + m + i) for i in range(end)]
+
+
+def _next_best(best: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+    """Best sums over the first children of the other tree, once one more child may be paired with one of them."""
+    if weights is None:
+        return best
+    out = best.copy()
+    np.maximum(best[1:], best[:-1] + weights, out=out[1:])
+    return np.maximum.accumulate(out, out=out)
+
+
+def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
+    """Simple tree matching: the largest number of node pairs that keep parents and order, and such pairs. Roots with
+    different labels don't match. One rule holds for trees of all sizes."""
+    shapes = Shapes()
+    of = shapes.add(a) | shapes.add(b)
+    matcher = Matcher(shapes)
+    n = matcher.weight(of[id(a)], of[id(b)])
+    pairs, todo = [], [(a, b)] if n else []
+    while todo:
+        p, q = todo.pop()
+        pairs.append((p, q))
+        below = matcher.children(of[id(p)], of[id(q)]) if p[1] and q[1] else ()
+        todo += [(p[1][i], q[1][j]) for i, j in reversed(below)]
+    return n, pairs
 
 
 def align(page: list, reference: list) -> dict[int, int]:
     """Numbers of the page's nodes (in order) to those of the reference that they match."""
-    out: dict[int, int] = {}
     number = {id(t): i for tree in (page, reference) for i, t in enumerate(_in_order(tree))}
-    weight, pairs = match(page, reference)
-    todo = [(page, reference, pairs)] if weight else []
-    while todo:
-        a, b, pairs = todo.pop()
-        out[number[id(a)]] = number[id(b)]
-        todo += [(a[1][i], b[1][j], below) for i, j, below in reversed(pairs)]
-    return out
+    return {number[id(p)]: number[id(q)] for p, q in match(page, reference)[1]}
 
 
 def own_text(node: Node) -> tuple[int, int, int]:

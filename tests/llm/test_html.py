@@ -92,6 +92,44 @@ def test_tree_matching():
     assert h.align(["r", []], ["s", []]) == {}
 
 
+@pytest.mark.parametrize("n", [3, 99, 100, 300, 3000])
+def test_one_rule_of_matching_for_all_sizes(n):
+    """A box more at the start of a page shifts all others: the n-th goes with the one before it, in small and large pages alike."""
+    box = ["div", [["section", []]]]
+    page = ["body", [["div", []], *[["div", [["section", []]]] for _ in range(n - 1)], ["div", [["form", []]]]]]
+    reference = ["body", [*[box] * (n - 1), ["div", [["form", []]]]]]
+    assert h.match(page, reference)[0] == 1 + 2 * n
+    reference = h.read(h.written(reference))  # each node once
+    assert h.align(page, reference) == {0: 0} | {i + 1: i for i in range(1, 2 * n + 1)}
+
+
+def test_matching_equals_brute_force():
+    import random
+
+    def largest(p, q):
+        if p[0] != q[0]:
+            return 0
+        best = [[0] * (len(q[1]) + 1)]
+        for x in p[1]:
+            best.append([0])
+            for j, y in enumerate(q[1]):
+                best[-1].append(max(best[-2][j + 1], best[-1][j], best[-2][j] + largest(x, y)))
+        return 1 + best[-1][-1]
+
+    def tree(n):
+        nodes = [["r", []]] + [[rng.choice("ab"), []] for _ in range(n)]
+        for i in range(1, n + 1):
+            nodes[rng.randrange(max(0, i - rng.choice([2, 9, 99])), i)][1].append(nodes[i])
+        return nodes[0]
+
+    rng = random.Random(3)
+    for n in [*range(40)] * 5 + [400, 600]:
+        a, b = tree(n), tree(n)
+        pairs = h.align(a, b)
+        assert h.match(a, b)[0] == len(pairs) == largest(a, b)
+        assert [pairs[i] for i in sorted(pairs)] == sorted(pairs.values())
+
+
 def test_hosts_share_a_wrapper(spark):
     # no semantic elements: only the alignment tells the repeated notice from the short article
     body = "<body><div class=a><p>{1}</p></div><div class=b><p>The same long notice on every page of this host, again and again.</p></div></body>"
