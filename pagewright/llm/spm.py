@@ -197,11 +197,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty text."""
-        split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in split for w in words} - self.cache.keys()
+        one: dict[str, str] = {}  # a word is kept once, however often it occurs
+        split = []
+        for t in texts:
+            words = self.words.findall(MARK + t.replace(" ", MARK)) if t else []
+            split.append(list(map(one.setdefault, words, words)))
+        new = one.keys() - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = {w for words in split for w in words}
+            new = one
         self.add_words(new)
         of = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(of, words)), dtype="<u4") for words in split]
@@ -239,7 +243,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     new = {"ids": "array<int>", "n_tokens": "long", "n_bytes": "long", "ids_sha256": "string", "round_trip": "boolean"}
-    return map_rows(rows, ["text"], new, start, 4_000_000)  # words of a call share prefixes
+    return map_rows(rows, ["text"], new, start)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:

@@ -461,3 +461,16 @@ BIG = [(2**60 + 1, "one text of some words"), (None, "no id at all"), (2**60 + 3
 def test_long_ids_stay_exact_beside_nulls(spark, query):
     rows = spark.createDataFrame([(i, t, "en") for i, t in BIG], "doc_id long, text string, lang string").coalesce(1)
     assert {r.doc_id for r in query(rows).collect()} == {i for i, _ in BIG}
+
+
+def test_repeated_words_take_memory_once():
+    import tracemalloc
+
+    encoder = spm.Encoder(spm.read_pieces())
+    texts = [" ".join(f"word{(i * j) % 1000}" for j in range(2000)) for i in range(40)]
+    tracemalloc.start()
+    ids = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 40 and encoder.decode(ids[7]) == texts[7]
+    assert peak < 3_000_000  # 80,000 words
