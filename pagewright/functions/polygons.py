@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import area
+from pagewright.functions.geometry import area, point
 
 Points = list[tuple[float, float]]
 
@@ -40,6 +40,7 @@ def _within(polygon: Points, convex: Points) -> Points:
 
 def shared_area(p: Points, q: Points) -> float:
     """A convex q cuts p as it is; another one as the signed triangles from its first point, which add up to it."""
+    p, q = ([(x - p[0][0], y - p[0][1]) for x, y in s] for s in (p, q))
     q = q if _size(q) >= 0 else q[::-1]
     turns = [_turn(a, b, c) for a, b, c in zip(q, q[1:] + q[:1], q[2:] + q[:2])]
     if min(turns) >= 0:
@@ -65,7 +66,13 @@ def intersection_area(p: Column, q: Column) -> Column:
     return shared(along(p, "x"), along(p, "y"), along(q, "x"), along(q, "y"))
 
 
+def own_area(points: Column) -> Column:
+    """Area, seen from the first point: products of coordinates far from the origin have no digits left for a small polygon."""
+    first = F.get(points, F.lit(0))
+    return area(F.transform(points, lambda v: point(v["x"] - first["x"], v["y"] - first["y"])))
+
+
 def polygon_iou(p: Column, q: Column, shared: Column) -> Column:
     """Shared area (by intersection_area) over joint area; 0 if neither has an area."""
-    union = area(p) + area(q) - shared
+    union = own_area(p) + own_area(q) - shared
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))

@@ -7,17 +7,19 @@ the candidate pairs; no page is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.evaluation import h_mean
-from pagewright.functions.geometry import area, bounds
-from pagewright.functions.polygons import intersection_area, polygon_iou
+from pagewright.functions.geometry import bounds
+from pagewright.functions.polygons import intersection_area, own_area, polygon_iou
 from pagewright.operators.grid import levels_of, overlapping, usable, with_level
 from pagewright.session import cut
 
 #: The text of a region that nobody can read, and the share of a prediction within one that excuses it.
 UNREADABLE, EXCUSED = "###", 0.5
+#: Shares of polygons that differ by no more are equal: corners of a turned region are rounded, and all that follows from them.
+ALIKE, DIGITS = 1e-9, 11
 
 
 def assign_in_order(candidates: DataFrame, page: str = "image_id") -> DataFrame:
@@ -75,7 +77,7 @@ def greedy_matches(references: DataFrame, predictions: DataFrame, page: str = "i
 
 def _boxed(regions: DataFrame, page: str) -> DataFrame:
     """Regions (page, idx, points) with their area and the box around their points, without their texts."""
-    known = regions.select(page, "idx", "points", area(F.col("points")).alias("area"), bounds(F.col("points")).alias("_b"))
+    known = regions.select(page, "idx", "points", own_area(F.col("points")).alias("area"), bounds(F.col("points")).alias("_b"))
     return _placed(known.select(page, "idx", "points", "area", "_b.x", "_b.y", "_b.width", "_b.height"))
 
 
@@ -111,10 +113,19 @@ def folded_text(text: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(text, r"^\p{Punct}+|\p{Punct}+\z", "")), F.lit("ß"), F.lit("ss"))
 
 
+def _with_ties(candidates: DataFrame, page: str) -> DataFrame:
+    """Candidates with the ious of a reference that follow each other within ALIKE all set to the largest of them."""
+    by = Window.partitionBy(page, "ref_idx").orderBy(F.desc("iou")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("iou").over(Window.partitionBy(page, "ref_idx").orderBy(F.desc("iou")))
+    first = candidates.withColumn("_first", F.when(F.coalesce(before - F.col("iou") > ALIKE, F.lit(True)), F.col("iou")))
+    return first.withColumn("iou", F.last("_first", ignorenulls=True).over(by)).drop("_first")
+
+
 def polygon_matches(references: DataFrame, predictions: DataFrame, page: str = "image_id", iou: float = 0.5) -> DataFrame:
     """page, ref_idx, pred_idx, iou, same_text: one-to-one matches of polygons (page, idx, points, text).
 
-    As greedy_matches, by the areas of the polygons themselves. Unreadable references match nothing, and predictions that
+    As greedy_matches, by the areas of the polygons themselves, to ALIKE: a pair at `iou` matches and equal overlaps are equal
+    whatever way a page is turned. iou has DIGITS digits. Unreadable references match nothing, and predictions that
     lie in them by more than half are left out before. same_text compares folded texts; a null text is like no other.
     """
     return _polygon_matches(references, predictions, page, iou)[0]
@@ -127,10 +138,12 @@ def _polygon_matches(references: DataFrame, predictions: DataFrame, page: str, i
     preds = preds.alias("p").join(excused.alias("e"), _same(page, "p", "e", ("idx", "idx")), "left_anti")
     pairs = overlapping(refs, preds, levels_of(refs, preds), page)
     most = F.least(_shared_box(), "l.area", "r.area")  # polygons share no more than their boxes do
-    may = pairs.filter(most >= iou * (F.col("l.area") + F.col("r.area") - most))
+    least = iou - ALIKE
+    may = pairs.filter(most >= least * (F.col("l.area") + F.col("r.area") - most))
     met = cut(may.withColumn("shared", intersection_area(F.col("l.points"), F.col("r.points"))))
-    scored = met.withColumn("iou", polygon_iou(F.col("l.points"), F.col("r.points"), F.col("shared"))).filter(F.col("iou") >= iou)
-    found = assign_in_order(scored.select(F.col(f"l.{page}").alias(page), F.col("l.idx").alias("ref_idx"), F.col("r.idx").alias("pred_idx"), "iou"), page)
+    scored = met.withColumn("iou", F.round(polygon_iou(F.col("l.points"), F.col("r.points"), F.col("shared")), DIGITS)).filter(F.col("iou") >= least)
+    candidates = scored.select(F.col(f"l.{page}").alias(page), F.col("l.idx").alias("ref_idx"), F.col("r.idx").alias("pred_idx"), "iou")
+    found = assign_in_order(_with_ties(candidates, page), page)
     said = found.alias("m").join(references.alias("r"), _same(page, "m", "r", ("ref_idx", "idx"))).select("m.*", F.col("r.text").alias("_said"))
     both = said.alias("m").join(predictions.alias("p"), _same(page, "m", "p", ("pred_idx", "idx")))
     equal = F.coalesce(folded_text(F.col("m._said")) == folded_text(F.col("p.text")), F.lit(False))

@@ -1,5 +1,6 @@
 """Polygons, matching, overlap removal and packing against sequential versions."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -156,6 +157,31 @@ def test_polygons_unreadable_regions_and_texts(spark):
     assert (scores["1"].recall, scores["1"].precision, scores["1"].h_mean) == (0.0, None, 0.0) and scores["2"].preds == 2
 
 
+@pytest.mark.parametrize("far", [0, 300_000])
+def test_equal_shares_of_turned_polygons_are_equal(spark, far):
+    """A pair at the least overlap matches, and of predictions that lie alike the first is taken, at any angle and place."""
+    turns = [(0.6, 0.8), (0.8, -0.6), (math.cos(1), math.sin(1)), (math.cos(0.1), math.sin(0.1)), (math.cos(2.5), math.sin(2.5))]
+
+    def turned(page, x, y, w, h):
+        c, s = turns[page % len(turns)]
+        x, y = x + far + page * 37 % 1000, y + far + page * 91 % 600
+        return [(a * c - b * s, a * s + b * c) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+
+    refs, preds = [], []
+    for page in range(60):
+        w, h = 60 + page * 3, 10 + page % 13
+        refs += [(page, 0, turned(page, 0, 0, w, h), "a"), (page, 1, turned(page, 0, 100, w, h), "b"), (page, 2, turned(page, 0, 200, w, h), "c")]
+        preds += [(page, 0, turned(page, 0, 0, 2 * w, h), "a")]  # half, exactly
+        preds += [(page, 1 + i, turned(page, d, 100, w, h), "b") for i, d in enumerate((5, -5, 5))]  # alike
+        preds += [(page, 4, turned(page, 0, 200, 2 * w + 1, h), "c")]  # less than half
+    tables = [spark.createDataFrame(t, f"image_id long, idx long, points {POINTS}, text string") for t in (refs, preds)]
+    got = {(r.image_id, r.ref_idx): (r.pred_idx, r.iou) for r in matching.polygon_matches(*tables).collect()}
+    side = [60 + page * 3 for page in range(60)]
+    want = {(page, 0): (0, 0.5) for page in range(60)} | {(page, 1): (1, (w - 5) / (w + 5)) for page, w in enumerate(side)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 @pytest.mark.parametrize("block", [4096, 5])
 def test_packing_equals_the_sequential_rule(spark, monkeypatch, block):
     monkeypatch.setattr(packing, "BLOCK", block)

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 
 from helpers import duck_rows, spark_rows
+from pyspark.sql import functions as F
 
 from pagewright.plans.catalog import QUERIES
 from pagewright.plans.oracles import ORACLES
@@ -20,6 +21,20 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def _equals_sql_on_pages(spark, folder, name, pages):
+    import duckdb
+
+    docs = spark.range(50 * max(pages) + 50).filter(F.floor(F.col("id") / 50).isin(pages)).selectExpr("id as doc_id", "concat('w', id) as text")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert spark_rows(QUERIES[name](spark, str(folder))) == duck_rows(con, ORACLES[name])
+
+
+def test_polygon_matches_at_the_least_overlap_and_half_digits(spark, tmp_path):
+    _equals_sql_on_pages(spark, tmp_path, "polygon_matches", [32, 49, 65, 107, 134, 148, 190])
+
+
 def test_heatmap_regions_of_blocks(spark, sf_dir):
     rows = QUERIES["heatmap_regions"](spark, sf_dir).collect()
     assert rows and all(r.width > 240 and r.height > 80 and r.score > 0.9 for r in rows)
