@@ -95,10 +95,10 @@ def readable(references: DataFrame) -> DataFrame:
 
 
 def _excused(masks: DataFrame, preds: DataFrame, page: str) -> DataFrame:
-    """page, idx of the boxed predictions of which a boxed mask covers more than half."""
+    """page, idx of the boxed predictions of which a boxed mask covers more than half; half to ALIKE is not more."""
     pairs = overlapping(preds, masks, levels_of(masks, preds), page)
     may = pairs.filter(F.least(_shared_box(), "r.area") > F.col("l.area") * EXCUSED)
-    covered = may.filter(intersection_area(F.col("l.points"), F.col("r.points")) > F.col("l.area") * EXCUSED)
+    covered = may.filter(intersection_area(F.col("l.points"), F.col("r.points")) > F.col("l.area") * (EXCUSED + ALIKE))
     return cut(covered.select(F.col(f"l.{page}").alias(page), F.col("l.idx").alias("idx")).distinct())
 
 

@@ -35,6 +35,11 @@ def test_polygon_matches_at_the_least_overlap_and_half_digits(spark, tmp_path):
     _equals_sql_on_pages(spark, tmp_path, "polygon_matches", [32, 49, 65, 107, 134, 148, 190])
 
 
+def test_end_to_end_scores_where_half_is_excused(spark, tmp_path):
+    """Predictions of which an unreadable region covers just half still count."""
+    _equals_sql_on_pages(spark, tmp_path, "end_to_end_scores", [71, 161, 187])
+
+
 def test_heatmap_regions_of_blocks(spark, sf_dir):
     rows = QUERIES["heatmap_regions"](spark, sf_dir).collect()
     assert rows and all(r.width > 240 and r.height > 80 and r.score > 0.9 for r in rows)
