@@ -45,6 +45,10 @@ def test_heatmap_regions_of_blocks(spark, sf_dir):
     assert rows and all(r.width > 240 and r.height > 80 and r.score > 0.9 for r in rows)
 
 
+def test_heatmaps_of_one_file_are_dealt_out(spark, sf_dir):
+    assert QUERIES["heatmap_regions"](spark, sf_dir).rdd.getNumPartitions() > 1
+
+
 def test_errors_count_code_points_of_any_script(spark, tmp_path):
     texts = ["é è 漢字", "è é 漢子", "à\u3000b\u2003c", "à b d", "Привет мир", "Привет мир", "😀 x", "", "ж"]
     rows = [(1, i, t) for i, t in enumerate(texts)]
